@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.shared import materialize
 from tidewater.llm.textstats import stats_batches
@@ -27,19 +28,24 @@ SYMBOL_PERCENT = 8
 HOST_RATE = 0.5
 
 
-def base_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
+def base_counts(docs: DataFrame, keep: list[str], prefix: str = "") -> DataFrame:
     """``keep`` and the counts of :mod:`textstats`, one row per document."""
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"{c} bigint" for c in COUNTS])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(stats_batches(COUNTS, keep), schema)
+    fields = [docs.schema[c] for c in keep] + [T.StructField(prefix + c, T.LongType()) for c in COUNTS]
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    return rows.mapInArrow(stats_batches(COUNTS, keep, prefix), T.StructType(fields))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (words < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * words)
 
 
-def symbols_failed() -> Column:
-    return 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("word_chars")
+def symbols_failed(prefix: str = "") -> Column:
+    return 100 * F.col(f"{prefix}n_symbols") > SYMBOL_PERCENT * F.col(f"{prefix}word_chars")
+
+
+def host_of() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("none"))
 
 
 def host_verdicts(rated: DataFrame) -> DataFrame:
@@ -60,10 +66,23 @@ def host_verdicts(rated: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Counts, rule outcomes, the host's rate and ``kept`` per document."""
     keep = keep or ["doc_id", "source"]
-    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("none"))
     base = materialize(base_counts(docs, keep), "rules")
-    base = base.withColumns({"host": host, "base_failed": base_failed(), "symbols_failed": symbols_failed()})
+    base = base.withColumns({"host": host_of(), "base_failed": base_failed(), "symbols_failed": symbols_failed()})
     base = base.withColumn("failed", F.col("base_failed") | F.col("symbols_failed"))
     hosts = host_verdicts(base)
     kept = ~F.col("failed") & F.col("host_ok")
     return base.join(hosts.select("host", "rate", "host_ok"), "host").withColumn("kept", kept)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, with their columns.
+
+    The texts are read twice, once for the hosts' sums and once to filter, so
+    that no text is shuffled.
+    """
+    p = "_rules_"
+    failed = base_failed(p) | symbols_failed(p)
+    rated = base_counts(docs, ["source"], p).select(host_of().alias("host"), failed.alias("failed"))
+    hosts = host_verdicts(rated).filter("host_ok").select(F.col("host").alias(f"{p}host"))
+    good = base_counts(docs, docs.columns, p).filter(~failed).withColumn(f"{p}host", host_of())
+    return good.join(hosts, f"{p}host", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import packing, quality_rules, token_counts, token_files
+from tidewater.llm import gam, ngram_join, packing, quality_rules, token_counts, token_files
 from tidewater.llm.shared import load, scratch_path
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(load(spark, sf_dir, "documents"))[0]
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     out = scratch_path(spark, "tokens")
@@ -22,6 +26,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = gam.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality_rules.judge(load(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
@@ -33,8 +42,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_files": op2_token_files,
     "op4_packing": op4_packing,
+    "op5_quality_gam": op5_quality_gam,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
 }

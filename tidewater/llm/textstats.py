@@ -116,15 +116,15 @@ def text_stats(text: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def stats_batches(columns: list[str], keep: list[str]):
+def stats_batches(columns: list[str], keep: list[str], prefix: str = ""):
     """A function for ``mapInArrow``: passes ``keep`` through and adds the
-    named counts as longs."""
+    named counts as longs, their names led by ``prefix``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole):
                 stats = text_stats(clean_text(batch))
                 arrays = [batch.column(c) for c in keep] + [pa.array(stats[c].astype(np.int64)) for c in columns]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *columns])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(prefix + c for c in columns)])
 
     return run
