@@ -151,3 +151,18 @@ def test_examples_keep_all_three_limits(spark):
         assert sum(r.tokens for r in s) <= 2048 and len(s) <= 5 and sum(r.loss_tokens for r in s) <= 900
     tokens, loss = sum(r[1] for r in data), sum(r[2] for r in data)
     assert len(by) <= 1.3 * max(tokens / 2048, loss / 900, 700 / 5)
+
+
+def test_slices_lower_as_a_whole():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tidewater.llm import shared
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["Aé b", None, "", "C" * 50, "dE F"])], names=["text"])
+    for a in range(5):
+        text = shared.clean_text(batch.slice(a))
+        text.validate(full=True)
+        lower = pc.ascii_lower(text)
+        lower.validate(full=True)
+        assert lower.to_pylist() == [(t or "").lower() for t in batch.column("text").to_pylist()[a:]]

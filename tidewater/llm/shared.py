@@ -66,8 +66,16 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.Reco
 
 
 def clean_text(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column with nulls as empty strings."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The text column with nulls as empty strings, its bytes starting at 0.
+
+    ``pyarrow.compute.ascii_lower`` gives wrong offsets for arrays whose bytes
+    start elsewhere, as those of slices do; so the bytes are laid out anew.
+    """
+    text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    data = text.buffers()[2] or pa.py_buffer(b"")
+    data = data.slice(offsets[0], offsets[-1] - offsets[0])
+    return pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(offsets - offsets[0]), data)
 
 
 def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
