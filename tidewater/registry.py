@@ -1,4 +1,10 @@
 """All queries of the library proper, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from tidewater.plans import relational
+
+_PLANS = [relational.PLANS]
+
+QUERIES = {name: run for p in _PLANS for name, run in p.queries.items()}
+ORACLE_SQL = {name: sql for p in _PLANS for name, sql in p.sql.items()}
