@@ -85,7 +85,8 @@ def matches(words: Column, query: str) -> Column:
 
 def ts_stat(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, ndoc, nentry over all texts."""
-    words = docs.select(F.explode(F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+"), lambda w: w != "")).alias("word"), F.monotonically_increasing_id().alias("_row"))
+    told = docs.select(F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))  # before the explode: one id a text
+    words = told.select(F.explode(F.filter(F.split(F.lower("_text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")).alias("word"), "_row")
     per = words.groupBy("word", "_row").agg(F.count("*").alias("n"))
     return per.groupBy("word").agg(F.count("*").alias("ndoc"), F.sum("n").alias("nentry"))
 

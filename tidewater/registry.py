@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import relational
+from tidewater.plans import relational, scalars
 
-_PLANS = [relational.PLANS]
+_PLANS = [relational.PLANS, scalars.PLANS]
 
 QUERIES = {name: run for p in _PLANS for name, run in p.queries.items()}
 ORACLE_SQL = {name: sql for p in _PLANS for name, sql in p.sql.items()}
