@@ -91,7 +91,17 @@ def date_parts(spark: SparkSession, sf: str) -> DataFrame:
 _UNITS = ("hour", "day", "week", "month", "quarter", "year", "decade", "century", "millennium")
 
 
-@PLANS.query("SELECT o_orderkey, " + ", ".join(f"strftime(date_trunc('{u}', o_orderdate), '%Y-%m-%d %H') AS {u}_" for u in _UNITS) + " FROM orders")
+_LONG = {"century": 100, "millennium": 1000}
+
+
+def _first_of(unit: str) -> str:
+    if unit not in _LONG:
+        return f"strftime(date_trunc('{unit}', o_orderdate), '%Y-%m-%d %H') AS {unit}_"
+    n = _LONG[unit]
+    return f"(year(o_orderdate) - 1) // {n} * {n} + 1 || '-01-01 00' AS {unit}_"
+
+
+@PLANS.query("SELECT o_orderkey, " + ", ".join(map(_first_of, _UNITS)) + " FROM orders")
 def date_trunc(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").select("o_orderkey", *(F.date_format(dates.trunc(u, F.col("o_orderdate")), "yyyy-MM-dd HH").alias(f"{u}_") for u in _UNITS))
 
