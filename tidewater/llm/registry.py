@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import embedding_dedup, gam, language_model, ngram_join, packing, quality_rules, token_counts, token_files
+from tidewater.llm import embedding_dedup, gam, language_model, ngram_join, packing, pieces, quality_rules, token_counts, token_files, toxicity
 from tidewater.llm.shared import load, scratch_path
 
 
@@ -35,6 +35,10 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality_rules.judge(load(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
@@ -45,6 +49,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, as a checksum, and whether they decode to it."""
+    made = pieces.encode_documents(load(spark, sf_dir, "documents"))
+    back = F.xxhash64(pieces.decode(F.col("ids"))) == F.col("text_hash")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", back.alias("round_trip"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(load(spark, sf_dir, "documents"))
 
@@ -55,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
     "op5_quality_gam": op5_quality_gam,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_language_model": op10_language_model,
 }
 
