@@ -2,7 +2,7 @@
 
 1.  A character language model (trigrams, all texts) gives the prior of letters.
 2.  The labelled rows give a lexicon: words found in texts marked toxic far more
-    often than in others (likelihood ratio, each distinct text once).
+    often than in others (likelihood ratio), and stems; copied passages count once.
 3.  A token that looks disguised (signs for letters, drawn-out letters, single
     letters with gaps) is a lattice of characters: each sign may stand for
     letters, a repeated letter or a separator may stand for nothing.  Viterbi
@@ -10,8 +10,8 @@
 4.  The distinct lexicon words of the restored text are a document's evidence;
     the share of toxic rows by evidence, made monotone, is its score.
 
-Only counts are shuffled: by character trigram, by word of labelled rows, by
-evidence.  The lexicon holds ``LEXICON`` words at most (a bound of the model).
+Only counts are shuffled: by character trigram, by word of labelled rows and
+its neighbours, by evidence.  The lexicon holds ``LEXICON`` words at most (a bound of the model).
 
 Defined cases: a null or empty text has no evidence and the score of that; null
 labels are not learned from; without labelled rows every score is 0.5; repeated
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,9 +39,13 @@ from tidewater.llm.shared import clean_text, materialize, owner, split_words, te
 LEXICON = 4096
 #: A word of the lexicon is this many times as frequent in toxic texts.
 RATIO = 8.0
+#: A stem is kept if at most this share of its uses is in other texts.
+IMPURE = 0.01
 #: Share of the language model's counts that the lexicon's words get.
 BOOST = 0.05
 MOST = 6
+#: Lengths of stems that can be learned besides whole words.
+STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 
 #: Signs that stand for letters.
@@ -98,7 +103,7 @@ def character_model(docs: DataFrame, lexicon: list[str]) -> np.ndarray:
     own = np.zeros_like(counts)
     for word in lexicon:
         a = b = EDGE
-        for c in [*map(symbol, word), EDGE]:
+        for c in [*map(symbol, word.rstrip("*")), *([] if word.endswith("*") else [EDGE])]:
             own[a, b, c] += 1
             a, b = b, c
     if lexicon:
@@ -137,9 +142,9 @@ class Restorer:
     """Looks lexicon words up in plain, disguised and spaced-out tokens."""
 
     def __init__(self, lexicon: list[str], model: np.ndarray):
-        self.words = pa.array(lexicon, pa.large_string())
-        self.place = {w: i for i, w in enumerate(lexicon)}
-        self.inside = re.compile("|".join(map(re.escape, sorted((w for w in lexicon if len(w) > 3), key=len, reverse=True))) or r"(?!)")
+        self.finder = Finder(lexicon)
+        self.words, self.place = self.finder.words, self.finder.place
+        self.inside = re.compile("|".join(map(re.escape, sorted((w for w in lexicon if len(w) > 3 and w[-1] != "*"), key=len, reverse=True))) or r"(?!)")
         self.decode = lru_cache(100_000)(lambda t: restore(t, model))
 
     def evidence(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,12 +156,12 @@ class Restorer:
         encoded = flat.dictionary_encode()
         words, codes = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
         bare = pc.utf8_trim(words, characters=MARKS)
-        place = pc.fill_null(pc.index_in(bare, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = self.finder.one_of(bare).copy()
         odd = pc.match_substring_regex(words, DISGUISED).to_numpy(zero_copy_only=False) & (place < 0)
         for i in np.nonzero(odd)[0]:
             token = words[int(i)].as_py()
             for form in dict.fromkeys((token, token.strip(".,;:!?\"'"))):
-                if (at := self.place.get(self.decode(form))) is not None:
+                if (at := self.finder.of(self.decode(form))) >= 0:
                     place[i] = at
                     break
         doc = owner(offsets)
@@ -177,43 +182,110 @@ class Restorer:
         return np.bincount(pairs // len(self.words), minlength=n), np.bincount(docs, minlength=n)
 
 
+def _strong(table: DataFrame, n: int, k: int, bar: float) -> DataFrame:
+    """Rows (word, n, k) that stand out among ``n`` rows of which ``k`` are toxic."""
+    share = k / n
+    x, y = F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double")
+    g = 2 * (F.when(x > 0, x * F.log(x / (F.col("n") * share))).otherwise(0.0) + F.when(y > 0, y * F.log(y / (F.col("n") * (1 - share)))).otherwise(0.0))
+    ratio = ((x + 0.5) / (k + 1)) / ((y + 0.5) / (n - k + 1))
+    return table.withColumn("g", g).filter((ratio >= RATIO) & (F.col("g") >= bar))
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON) -> tuple[list[str], float]:
-    """Words whose rate in toxic texts is ``RATIO`` times that in others, beyond
-    what chance gives among so many words; the strongest first.  And the share
-    of toxic ones among the texts that hold such a word."""
+    """Words, and stems (written ``stem*``), whose rate in toxic texts is
+    ``RATIO`` times that in others, beyond what chance gives among so many; the
+    strongest first.  And the share of toxic ones among texts that hold one.
+
+    Support is counted twice: by text, and then for what stood out by distinct
+    neighbours, so that a passage copied into many texts counts once.
+    """
     marked = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(marked, "doc_id").filter("text is not null")
-    # one row for each distinct text, so that a crowd of copies counts once
-    texts = rows.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    told = texts.mapInArrow(_distinct_words, "toxic int, word string").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
-    told = materialize(told, "labelled-words")
+    rows = docs.select("doc_id", "text").join(marked, "doc_id").filter("text is not null").select("toxic", "text")
+    told = materialize(rows.mapInArrow(_distinct_words, "toxic int, word string").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), "labelled-words")
     whole = told.filter("word is null").first()  # one row a text
     if whole is None or not whole["k"] or whole["k"] == whole["n"]:
         return [], 0.5
     n, k = int(whole["n"]), int(whole["k"])
-    share = k / n
     words = told.filter("word is not null")
-    kinds = max(words.count(), 1)
-    x, y = F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double")
-    g = 2 * (F.when(x > 0, x * F.log(x / (F.col("n") * share))).otherwise(0.0) + F.when(y > 0, y * F.log(y / (F.col("n") * (1 - share)))).otherwise(0.0))
-    ratio = ((x + 0.5) / (k + 1)) / ((y + 0.5) / (n - k + 1))
-    strong = words.withColumn("g", g).filter((ratio >= RATIO) & (F.col("g") >= 2 * math.log(kinds) + 4) & (F.length("word") >= 3))
-    kept = strong.orderBy(F.desc("g"), "word").limit(most).collect()
+    bar = 2 * math.log(max(words.count(), 1)) + 4
+    first = [r["word"] for r in _strong(words, n, k, bar).orderBy(F.desc("g"), "word").limit(most).collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(shared.value)
+        for whole in batches:
+            for batch in text_slices(whole):
+                flat, offsets = split_words(pc.utf8_lower(clean_text(batch)))
+                encoded = pc.utf8_trim(flat, characters=MARKS).dictionary_encode()
+                codes = encoded.indices.to_numpy().astype(np.int64)
+                hashes = np.array([hash_text(w) for w in encoded.dictionary.to_pylist()], np.uint64)[codes] if len(codes) else np.empty(0, np.uint64)
+                around = np.append(hashes[1:], np.uint64(0)) * np.uint64(3) + np.append(np.uint64(0), hashes[:-1]) if len(codes) else hashes
+                for found in finder.all_of(encoded.dictionary):
+                    at = found[codes] if len(codes) else codes
+                    hit = np.nonzero(at >= 0)[0]
+                    names = pa.array(shared.value, pa.string()).take(pa.array(at[hit]))
+                    toxic = batch.column("toxic").take(pa.array(owner(offsets)[hit]))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(around[hit].view(np.int64)), toxic], names=["word", "around", "toxic"])
+
+    met = rows.mapInArrow(contexts, "word string, around bigint, toxic int").groupBy("word", "around").agg(F.max("toxic").alias("toxic"))
+    kept = _strong(met.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), n, k, bar).orderBy(F.desc("g"), "word").collect()
+    kept = [r for r in kept if r["word"][-1] != "*" or r["n"] - r["k"] <= IMPURE * r["n"]]
+    stems = {r["word"][:-1] for r in kept if r["word"][-1] == "*"}
+    # a stem stands for longer stems; whole words stay beside it
+    kept = [r for r in kept if r["word"][-1] != "*" or not any(r["word"][:i] in stems for i in STEMS if i < len(r["word"]) - 1)]
     return [r["word"] for r in kept], sum(r["k"] for r in kept) / max(sum(r["n"] for r in kept), 1)
 
 
+def hash_text(word: str) -> int:
+    return zlib.crc32(word.encode()) | (zlib.adler32(word.encode()) << 31)
+
+
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct words and stems, and a null for the text itself."""
     for whole in batches:
         for batch in text_slices(whole):
             flat, offsets = split_words(pc.utf8_lower(clean_text(batch)))
             encoded = pc.utf8_trim(flat, characters=MARKS).dictionary_encode()
-            pairs = np.unique((owner(offsets) << 32) | encoded.indices.to_numpy().astype(np.int64))
-            toxic = batch.column("toxic")
-            words = encoded.dictionary.cast(pa.string()).take(pa.array(pairs & 0xFFFFFFFF))
-            yield pa.RecordBatch.from_arrays([toxic.take(pa.array(pairs >> 32)), words], names=["toxic", "word"])
+            codes = encoded.indices.to_numpy().astype(np.int64)
+            words, toxic = encoded.dictionary, batch.column("toxic")
+            length = pc.utf8_length(words).to_numpy(zero_copy_only=False) if len(words) else np.empty(0, np.int64)
+            for size in (None, *STEMS):
+                names = words if size is None else pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, size), pa.scalar("*", words.type), pa.scalar("", words.type)) if len(words) else words
+                kinds = names.dictionary_encode()
+                own = kinds.indices.to_numpy().astype(np.int64)
+                used = (length >= 3 if size is None else length > size)[codes] if len(codes) else np.zeros(0, bool)
+                pairs = np.unique((owner(offsets)[used] << 32) | own[codes][used]) if len(codes) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([toxic.take(pa.array(pairs >> 32)), kinds.dictionary.cast(pa.string()).take(pa.array(pairs & 0xFFFFFFFF))], names=["toxic", "word"])
             yield pa.RecordBatch.from_arrays([toxic, pa.nulls(len(toxic), pa.string())], names=["toxic", "word"])
 
 
+class Finder:
+    """Places of words in a lexicon of words and stems."""
+
+    def __init__(self, lexicon: list[str]):
+        self.words = pa.array(lexicon, pa.large_string())
+        self.place = {w: i for i, w in enumerate(lexicon)}
+
+    def all_of(self, words: pa.Array) -> Iterator[np.ndarray]:
+        """For whole words, then for stems of each length: places or -1."""
+        length = pc.utf8_length(words).to_numpy(zero_copy_only=False) if len(words) else np.empty(0, np.int64)
+        for size in (None, *STEMS):
+            names = words if size is None or not len(words) else pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, size), pa.scalar("*", words.type), pa.scalar("", words.type))
+            found = pc.fill_null(pc.index_in(names, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield found if size is None else np.where(length > size, found, -1)
+
+    def one_of(self, words: pa.Array) -> np.ndarray:
+        """The word itself, or else its longest stem."""
+        whole, *stems = self.all_of(words)
+        for found in reversed(stems):
+            whole = np.where(whole >= 0, whole, found)
+        return whole
+
+    def of(self, word: str) -> int:
+        names = [word, *(word[:i] + "*" for i in reversed(STEMS) if len(word) > i)]
+        return next((self.place[w] for w in names if w in self.place), -1)
+
+
 def evidence(docs: DataFrame, lexicon: list[str], model: np.ndarray) -> DataFrame:
     """doc_id, n_words (distinct lexicon words, restored), n_hits."""
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))
