@@ -138,18 +138,26 @@ def viterbi_fold(unit: Column, edges: Column, unknown: float) -> Column:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
-    """``units`` (unit, ...) with ``edges``: its pieces, with score and id."""
-    spans = units.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("unit")))).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest_piece), F.length("unit") - F.col("at") + 1))))
-    found = spans.select("unit", F.substr("unit", F.col("at"), F.col("size")).alias("piece")).join(F.broadcast(pieces), "piece")  # the vocabulary: a fixed size
-    grouped = found.groupBy("unit").agg(F.map_from_entries(F.collect_set(F.struct("piece", F.struct("score", "id")))).alias("edges"))
-    return units.join(grouped, "unit", "left")
+    """``units`` (unit, times) with ``edges``: a map of its pieces to score and id.
+
+    Units are dealt out once; substrings stay with their unit's task, so the
+    grouping shuffles nothing.  The empty substring meets an empty piece, which
+    keeps units without any.
+    """
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.select("unit", "times").repartition(n, "unit")
+    at = dealt.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("unit"))))
+    first = F.when(F.col("at") == 1, 0).otherwise(1)
+    spans = at.withColumn("size", F.explode(F.sequence(first, F.least(F.lit(longest_piece), F.length("unit") - F.col("at") + 1))))
+    spans = spans.select("unit", "times", F.substr("unit", F.col("at"), F.col("size")).alias("piece"))
+    known = pieces.select("piece", "score", "id").union(pieces.sparkSession.sql("SELECT '' AS piece, 0D AS score, -1 AS id"))
+    found = spans.join(F.broadcast(known), "piece")  # the vocabulary: a fixed size
+    return found.groupBy("unit", "times").agg(F.map_from_entries(F.collect_set(F.struct("piece", F.struct("score", "id")))).alias("edges"))
 
 
 def encode_units(units: DataFrame, pieces: DataFrame, fold: str = "merge", longest_piece: int = 16, first_byte: int | None = 3, unknown_id: int = 0, unknown: float = -1e6) -> DataFrame:
     """unit, times and ids (array<int>) of units of up to ``LONGEST``."""
     told = lattice(units, pieces, longest_piece)
-    edges = F.coalesce("edges", F.create_map().cast("map<string,struct<score:double,id:int>>"))
-    told = told.withColumn("edges", edges)
     symbols = merge_fold(F.col("unit"), F.col("edges")) if fold == "merge" else viterbi_fold(F.col("unit"), F.col("edges"), unknown)
 
     def spelled(x: Column) -> Column:

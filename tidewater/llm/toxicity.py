@@ -11,7 +11,9 @@
     the share of toxic rows by evidence, made monotone, is its score.
 
 Only counts are shuffled: by character trigram, by word of labelled rows and
-its neighbours, by evidence.  The lexicon holds ``LEXICON`` words at most (a bound of the model).
+its neighbours, by evidence.  The lexicon holds ``LEXICON`` words at most and is learned
+from ``SAMPLE_ROWS`` labelled rows at most (bounds of the fit); all texts are
+scored and no text is shuffled.
 
 Defined cases: a null or empty text has no evidence and the score of that; null
 labels are not learned from; without labelled rows every score is 0.5; repeated
@@ -37,6 +39,9 @@ from tidewater.llm.gam import bucket
 from tidewater.llm.shared import clean_text, materialize, owner, split_words, text_slices
 
 LEXICON = 4096
+#: The lexicon is learned from at most so many labelled rows, those with the
+#: smallest hash of their id; rates by evidence use all of them.
+SAMPLE_ROWS = 40_000
 #: A word of the lexicon is this many times as frequent in toxic texts.
 RATIO = 8.0
 #: A stem is kept if at most this share of its uses is in other texts.
@@ -191,7 +196,7 @@ def _strong(table: DataFrame, n: int, k: int, bar: float) -> DataFrame:
     return table.withColumn("g", g).filter((ratio >= RATIO) & (F.col("g") >= bar))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON) -> tuple[list[str], float]:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], float]:
     """Words, and stems (written ``stem*``), whose rate in toxic texts is
     ``RATIO`` times that in others, beyond what chance gives among so many; the
     strongest first.  And the share of toxic ones among texts that hold one.
@@ -200,7 +205,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON) -> tu
     neighbours, so that a passage copied into many texts counts once.
     """
     marked = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(marked, "doc_id").filter("text is not null").select("toxic", "text")
+    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").filter("text is not null").select("toxic", "text")
     told = materialize(rows.mapInArrow(_distinct_words, "toxic int, word string").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), "labelled-words")
     whole = told.filter("word is null").first()  # one row a text
     if whole is None or not whole["k"] or whole["k"] == whole["n"]:
