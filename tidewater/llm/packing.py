@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewater.llm.encode import default_path, encoder
+from tidewater.llm.encode import ENCODE_BYTES, default_path, encoder
 from tidewater.llm.shared import clean_text, text_slices
 
 VOCABULARY = "word_bpe_49k.json"
@@ -181,7 +181,7 @@ def pack_batches(path: str, limits: Limits, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PIECES)
 
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, slice_bytes=ENCODE_BYTES):
                 got, bounds = encoder(path).encode(clean_text(batch), end_id)
                 got = got.astype("<u4")
                 for name, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:], strict=True):

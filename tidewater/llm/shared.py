@@ -51,8 +51,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch cut into runs of rows with about ``SLICE_BYTES`` of text each."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows with about ``slice_bytes`` of text each."""
     if batch.num_rows == 0:
         return
     sizes = np.nan_to_num(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
@@ -60,7 +60,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.Reco
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, done + slice_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

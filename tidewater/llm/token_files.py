@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.encode import default_path, encoder
+from tidewater.llm.encode import ENCODE_BYTES, default_path, encoder
 from tidewater.llm.shared import clean_text, text_slices
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,7 +39,7 @@ def encode_shard(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for whole in batches:
-            for batch in text_slices(whole):
+            for batch in text_slices(whole, slice_bytes=ENCODE_BYTES):
                 ids, bounds = encoder(path).encode(clean_text(batch), end_id)
                 counts = np.diff(bounds)
                 arrays = [
