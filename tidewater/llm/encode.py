@@ -23,7 +23,7 @@ _BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _VISIBLE = {b: chr(b) for b in _BYTES} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_BYTES}))}
 
 #: Most chunks that a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 600_000
 #: Text encoded at a time: ids and their places take some twenty times its bytes.
 ENCODE_BYTES = 2 << 20
 
