@@ -75,6 +75,19 @@ def test_equals_brute_force(spark, width, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == want
 
 
+def test_similar_members_of_a_group_whose_head_is_similar_to_neither(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):  # shingles of a passage are in no other three: often all of the prefix
+        word = lambda: f"p{k}x{rng.randrange(10**6)}"  # noqa: E731, B023
+        passage, tail = [word() for _ in range(20)], [word() for _ in range(5)]
+        texts = [passage + [word() for _ in range(5)], passage + tail, [*passage, *tail[:-1], word()]]
+        rows += [(3 * k + i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    got, _ = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    want, _ = brute(rows, 5, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+
+
 def test_documents_table(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     want, _ = brute([(r.doc_id, r.text) for r in df.collect()], 4, 85)

@@ -12,8 +12,10 @@
     into components, and only groups of different components are paired then:
     a crowd of near copies costs one comparison each, not one for each pair.
 5.  Pairs of groups are met on the first shingle they can share, filtered by
-    size and by the bound that shared prefix shingles set to the overlap, expanded to members and verified on the whole
-    sets.  No link between components is lost.
+    size and by the bound that shared prefix shingles set to the overlap.  The
+    parts of one group that lie in different components share all of its prefix
+    and are paired by group.  Pairs are expanded to members and verified on the
+    whole sets.  No link between components is lost.
 
 Defined cases: a null text is empty; texts without words have no shingles and
 link with nothing; texts shorter than a shingle are one shingle; rows with the
@@ -282,6 +284,10 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> tup
     pairs = pairs.select("x", "y", "n1", "n2").distinct()
     pairs = pairs.join(prefix.select(col("cell").alias("x"), col("prefix").alias("px")), "x").join(prefix.select(col("cell").alias("y"), col("prefix").alias("py")), "y")
     pairs = pairs.filter(_possible(col("n1"), col("n2"), F.size(F.array_intersect("px", "py")), percent)).select("x", "y")
+    # parts of one group: its shingles may be in no other group, and then ``tokens`` has none of them
+    torn = materialize(cells.join(cells.groupBy("g").count().filter("count > 1").select("g"), "g").select("g", "c", "cell"), "torn")
+    parts = torn.select("g", col("c").alias("c1"), col("cell").alias("x")).join(torn.select("g", col("c").alias("c2"), col("cell").alias("y")), "g")
+    pairs = pairs.union(parts.filter((col("x") < col("y")) & (col("c1") != col("c2"))).select("x", "y")).distinct()
     inside = placed.join(cells, ["g", "c"]).select("cell", "rep")
     pairs = pairs.join(inside.select(col("cell").alias("x"), col("rep").alias("a")), "x").join(inside.select(col("cell").alias("y"), col("rep").alias("b")), "y")
     pairs = materialize(pairs.select("a", "b"), "pairs")
