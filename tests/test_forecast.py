@@ -123,6 +123,22 @@ def test_stream_ends_like_replay(spark, sf, tmp_path):
     assert {r["key"]: (r["n"], r["estimates"], r["forecast"]) for r in spark.table("kept").collect()} == want
 
 
+def test_reestimation_uses_all_values_of_a_hot_key(spark):
+    value = lambda i: float(i * 37 % 1000 if i < 900 else 5000 + i)
+    rows = [("hot", i, i, value(i)) for i in range(1200)] + [("b", i, i, 2.0) for i in range(3)] + [(None, 1, 1, 7.0)]
+    df = spark.createDataFrame(rows, "k string, t long, e long, v double").repartition(3)
+    got = {r["key"]: r for r in maintain.replay(df, "k", "t", "e", "v", policy="simple", every=400).collect()}
+    # the policy again, from its definition, with all rows kept
+    seen, errors, since, ref, base, times = [], [], 0, 0.0, 0.0, 0
+    for y in map(value, range(1200)):
+        errors = [*errors, maintain.smape(y, base) if seen else 0.0][-10:]
+        seen, since, mean = [*seen, y], since + 1, sum(errors) / len(errors)
+        if len(seen) == 1 or (since >= 10 and mean > ref * 1.1) or since >= 400:
+            base, ref, since, times = sum(seen) / len(seen), mean, 0, times + 1
+    assert set(got) == {"hot", "b", None} and got[None]["forecast"] == 7.0 and got["b"]["n"] == 3
+    assert (got["hot"]["n"], got["hot"]["estimates"]) == (1200, times) and abs(got["hot"]["forecast"] - base) < 1e-9 * base
+
+
 def test_not_in_with_nulls(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "a int")
     right = spark.createDataFrame([(1,), (None,)], "b int")

@@ -1,8 +1,9 @@
 """Keeping models fresh as rows arrive.
 
 A policy takes one value at a time for its key, compares it with the model's
-forecast and decides when to estimate anew.  The same code runs over a batch
-(replay) and over a stream, with state by key.
+forecast and decides when to estimate anew, from all values so far.  The same
+code runs over a batch (replay) and over a stream, with state by key.  A model's
+state has the same size however many values it has seen.
 """
 
 from __future__ import annotations
@@ -12,25 +13,25 @@ from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.forecast.graph import smape
 
-KEEP = 256
-
 
 @dataclass
 class Model:
-    """A mean with its sums, its error window and counters."""
+    """A mean with its sums, its error window and counters; ``carry`` is what
+    rounding took from ``total``."""
 
     total: float = 0.0
+    carry: float = 0.0
     n: int = 0
     base: float = 0.0
     since: int = 0
     reference: float = 0.0
     estimates: int = 0
     errors: list[float] = field(default_factory=list)
-    recent: list[float] = field(default_factory=list)
 
     def guess(self) -> float:
         return self.base
@@ -45,21 +46,22 @@ def update(m: Model, y: float, policy: str, window: int = 10, alpha: float = 0.5
     """
     error = smape(y, m.guess()) if m.n else 0.0
     m.errors = [*m.errors, error][-window:]
-    m.recent = [*m.recent, y][-KEEP:]
-    m.total, m.n, m.since = m.total + y, m.n + 1, m.since + 1
+    total = m.total + y
+    m.carry += (m.total - total) + y if abs(m.total) >= abs(y) else (y - total) + m.total
+    m.total, m.n, m.since = total, m.n + 1, m.since + 1
     mean = sum(m.errors) / len(m.errors)
     due = m.n == 1
     if policy == "simple":
         due |= m.since >= window and mean > m.reference * (1 + 0.05 / alpha)
         due |= every > 0 and m.since >= every
     if due:
-        m.base = sum(m.recent) / len(m.recent)
+        m.base = (m.total + m.carry) / m.n
         m.reference, m.since, m.estimates = mean, 0, m.estimates + 1
     return error
 
 
 SCHEMA = "key string, n bigint, estimates bigint, forecast double, mean_error double"
-STATE = "total double, n bigint, base double, since bigint, reference double, estimates bigint, errors array<double>, recent array<double>"
+STATE = "total double, carry double, n bigint, base double, since bigint, reference double, estimates bigint, errors array<double>"
 
 
 def _row(key: str, m: Model, errors: float) -> pd.DataFrame:
@@ -67,17 +69,25 @@ def _row(key: str, m: Model, errors: float) -> pd.DataFrame:
 
 
 def replay(df: DataFrame, key: str, time: str, tie: str, value: str, policy: str = "simple", **options: float) -> DataFrame:
-    """The state of each key after all rows in the order of time."""
-
-    def run(names: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(parts).sort_values(["t", "tie"])
-        m, total = Model(), 0.0
-        for y in pdf["y"]:
-            total += update(m, float(y), policy, **options)
-        yield _row(names[0], m, total / max(m.n, 1))
+    """The state of each key after all rows in the order of time.  A key's rows
+    pass through one task, as each forecast needs those before, but batch by
+    batch: the task holds no more than a batch and one model."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, key, total = Model(), None, 0.0
+        for pdf in batches:
+            for k, y in zip(pdf["key"], pdf["y"], strict=True):
+                if m.n and k != key:
+                    yield _row(key, m, total / m.n)
+                    m, total = Model(), 0.0
+                key = k
+                total += update(m, float(y), policy, **options)
+        if m.n:
+            yield _row(key, m, total / m.n)
 
     rows = df.selectExpr(f"cast({key} as string) key", f"{time} t", f"{tie} tie", f"cast({value} as double) y").na.drop(subset=["y"])
-    return rows.groupBy("key").applyInPandas(lambda pdf: next(run((pdf["key"].iloc[0],), iter([pdf]))), SCHEMA)
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.col("t").asc_nulls_last(), F.col("tie").asc_nulls_last())
+    return ordered.select("key", "y").mapInPandas(run, SCHEMA)
 
 
 def maintain(stream: DataFrame, key: str, time: str, tie: str, value: str, policy: str = "simple", **options: float) -> DataFrame:
@@ -85,7 +95,7 @@ def maintain(stream: DataFrame, key: str, time: str, tie: str, value: str, polic
 
     def run(names: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m = Model(*state.get) if state.exists else Model()
-        m.errors, m.recent = list(m.errors), list(m.recent)
+        m.errors = list(m.errors)
         pdf = pd.concat(parts).sort_values(["t", "tie"])
         for y in pdf["y"]:
             update(m, float(y), policy, **options)
