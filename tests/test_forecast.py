@@ -169,3 +169,37 @@ def test_numbered_is_one_to_n(spark):
     rows = spark.range(0, 5000, numPartitions=7).withColumn("v", F.col("id") * 7919 % 5000)
     got = ordering.numbered(rows, ["-v"]).select((F.col("rn") + F.col("v")).alias("s")).distinct().collect()
     assert [r["s"] for r in got] == [5000]
+
+
+def test_running_sum_spreads_over_tasks(spark, sf):
+    from tidewater.registry import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len({r["p"] for r in QUERIES["win_agg_over_agg"](spark, sf).withColumn("p", F.spark_partition_id()).collect()}) > 1
+        data = [(i // 3 if i % 50 else None, None if i % 7 == 0 or i < 9 else i) for i in range(2000)]
+        got = ordering.running_sum(spark.createDataFrame(data, "k int, v long"), ["k"], "v", "r", "t").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sums, peers = {}, {}
+    for k, v in data:
+        peers.setdefault(k, []).append(v)
+    so_far = None
+    for k in sorted(peers, key=lambda k: (k is None, k)):
+        kept = [v for v in peers[k] if v is not None]
+        so_far = (so_far or 0) + sum(kept) if kept else so_far
+        sums[k] = so_far
+    assert len(got) == 2000 and all(row["r"] == sums[row["k"]] and row["t"] == so_far for row in got)
+
+
+def test_user_aggregate_holds_no_whole_group(spark, sf, monkeypatch):
+    from tidewater.operators import aggregates
+    from tidewater.registry import QUERIES
+
+    plan = QUERIES["user_aggregate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 3 and "_chunk" in plan  # rows are listed by chunk, then only states
+    monkeypatch.setattr(aggregates, "CHUNK", 16)
+    rows = spark.createDataFrame([("hot", float(i)) for i in range(3000)] + [("b", 2.0), (None, 3.0)], "k string, v double").repartition(5)
+    got = aggregates.merged_aggregate(rows, ["k"], F.col("v"), "n", F.lit(0.0), lambda a, x: a + x * x, lambda a, b: a + b, F.sqrt)
+    want = {"hot": sum(i * i for i in range(3000)) ** 0.5, "b": 2.0, None: 3.0}
+    assert {r["k"]: round(r["n"], 6) for r in got.collect()} == {k: round(v, 6) for k, v in want.items()}

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources.tables import scratch_path
+
 
 def key(k: str | Column) -> Column:
     if isinstance(k, Column):
@@ -51,3 +53,19 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "rn") -> Data
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = per.select("_part", "_first", before.alias("_before"))
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_id") - F.col("_first") + F.col("_before") + 1).drop("_part", "_id", "_first", "_before")
+
+
+def running_sum(df: DataFrame, order: list[str | Column], value: str, running: str, total: str) -> DataFrame:
+    """SUM(value) OVER (ORDER BY ...), peers included, and OVER (), without one
+    task for all rows: ranges are summed in parallel behind the sums of those
+    before.  The ranges are written once, so that both uses see the same ones."""
+    path = scratch_path(df.sparkSession, "ranges")
+    ranged = order_by(df, *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    per = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = per.select("_part", before.alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias(total))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*keys(*order)))
+    found = ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_part")
+    return found.withColumn(running, F.coalesce(F.col("_before") + F.col("_inside"), "_before", "_inside")).select(*df.columns, running, total)

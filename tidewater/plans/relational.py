@@ -191,8 +191,9 @@ def cube_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @PLANS.query("""SELECT o_orderstatus, round(sqrt(sum(o_totalprice * o_totalprice)) / 1000, 3) AS norm FROM orders WHERE o_custkey < 20 GROUP BY 1""")
 def user_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    norm = aggregates.user_aggregate(F.col("o_totalprice"), F.lit(0.0), lambda a, x: a + x * x, F.sqrt)
-    return load(spark, sf, "orders").filter("o_custkey < 20").groupBy("o_orderstatus").agg(F.round(norm / 1000, 3).alias("norm"))
+    rows = load(spark, sf, "orders").filter("o_custkey < 20")
+    norm = aggregates.merged_aggregate(rows, ["o_orderstatus"], F.col("o_totalprice"), "norm", F.lit(0.0), lambda a, x: a + x * x, lambda a, b: a + b, F.sqrt)
+    return norm.select("o_orderstatus", F.round(F.col("norm") / 1000, 3).alias("norm"))
 
 
 _W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
@@ -237,8 +238,7 @@ def win_lag_by_column(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) WHERE o_custkey < 500 GROUP BY o_custkey""")
 def win_agg_over_agg(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf, "orders").filter("o_custkey < 500").groupBy("o_custkey").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total"))
-    w = Window.orderBy("o_custkey")
-    return g.select("o_custkey", "total", F.sum("total").over(w).alias("running"), F.sum("total").over(Window.partitionBy()).alias("everything"))
+    return ordering.running_sum(g, ["o_custkey"], "total", "running", "everything")
 
 
 @PLANS.query("""SELECT o_orderkey, count(*) OVER w AS peers, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running,
