@@ -203,3 +203,15 @@ def test_user_aggregate_holds_no_whole_group(spark, sf, monkeypatch):
     got = aggregates.merged_aggregate(rows, ["k"], F.col("v"), "n", F.lit(0.0), lambda a, x: a + x * x, lambda a, b: a + b, F.sqrt)
     want = {"hot": sum(i * i for i in range(3000)) ** 0.5, "b": 2.0, None: 3.0}
     assert {r["k"]: round(r["n"], 6) for r in got.collect()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_arima_and_target_beyond_the_stored_horizon(spark):
+    y = np.cumsum(np.sin(np.arange(80.0)) + 1)
+    made = models.train(frame(spark, y), [], "arima", ar=2, d=1, ma=1)
+    got = models.forecast(made, 150, "day").orderBy("h").toPandas()
+    want = numeric.fit_arima(y, ar=2, d=1, ma=1, horizon=150)
+    assert np.allclose(got["value"], want["path"]) and np.allclose(got["spread"], want["spread"])
+    until = models.forecast_until(made, "2021-01-01", "day").orderBy("h").toPandas()
+    assert len(until) > 200 and np.allclose(until["value"][:150], want["path"])
+    with pytest.raises(Exception, match="steps ahead"):
+        models.forecast_until(made, "2021-01-01", "day", most=100).collect()

@@ -60,23 +60,38 @@ def train(series: DataFrame, keys: list[str], algorithm: str, **options: float)
 def forecast(models: DataFrame, steps: int, granularity: str = "month", measure: str | None = None) -> DataFrame:
     """Rows ``h`` = 1..steps of each model: ``t`` and ``value``.  ``measure``
     casts back to the type of the measure."""
+    if steps > numeric.HORIZON:
+        models = models.withColumn("params", _longer("params", F.lit(steps)))
     return _at(models.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps)))), granularity, measure)
 
 
 def forecast_until(models: DataFrame, target: str, granularity: str = "month", measure: str | None = None, most: int = 100_000) -> DataFrame:
     """Steps while the time before the step is earlier than ``target``, which
-    must be later than the last training time."""
+    must be later than the last training time.  More than ``most`` steps are an
+    error."""
     goal = F.lit(target).cast("date")
     if granularity == "hour":
         goal = F.lit(target).cast("timestamp_ntz")
     checked = models.withColumn("last", F.when(F.col("last") < goal, F.col("last")).otherwise(F.raise_error(F.lit("the target must lie behind the training data"))))
     days = {"hour": 1 / 24, "day": 1, "week": 7, "month": 28, "quarter": 89, "year": 365}[granularity]
-    bound = F.least(F.lit(most), (F.datediff(goal.cast("date"), F.col("last").cast("date")) / days).cast("int") + 2)
+    bound = (F.datediff(goal.cast("date"), F.col("last").cast("date")) / days).cast("int") + 2
+    far = step(F.col("last"), F.lit(most), granularity) < goal
+    checked = checked.withColumn("last", F.when(far, F.raise_error(F.lit(f"the target lies more than {most} steps ahead"))).otherwise(F.col("last")))
+    checked = checked.withColumn("params", _longer("params", bound))
     rows = checked.withColumn("h", F.explode(F.sequence(F.lit(1), bound)))
     rows = rows.filter(step(F.col("last"), F.col("h") - 1, granularity) < goal)
     return _at(rows, granularity, measure)
 
 
+@F.udf(T.MapType(T.StringType(), T.ArrayType(T.DoubleType())))
+def _longer(params: dict[str, list[float]], steps: int) -> dict[str, list[float]]:
+    """The parameters, with as long a path as is asked for if they are an ARIMA model's."""
+    if not params or "path" not in params or steps is None or len(params["path"]) >= steps:
+        return params
+    path, spread = numeric.roll({k: v for k, v in params.items() if k not in ("path", "spread")}, steps)
+    return params | {"path": [float(v) for v in path], "spread": [float(v) for v in spread]}
+
+
 def _at(rows: DataFrame, granularity: str, measure: str | None) -> DataFrame:
     p, h = F.col("params"), F.col("h")
     one = lambda k: F.get(F.try_element_at(p, F.lit(k)), F.lit(0))

@@ -10,6 +10,7 @@ from statistics import NormalDist
 
 import numpy as np
 
+#: So many values a fit stores; ``roll`` gives any number from the state.
 HORIZON = 64
 
 
@@ -133,7 +134,22 @@ def fit_arima(y: np.ndarray, ar: int = 1, d: int = 0, ma: int = 0, period: int =
             phi, theta = best[: len(lags)], np.clip(best[len(lags) :], -0.99, 0.99)
     e = _residuals(z, phi, theta, lags)
     sigma = float(np.sqrt((e**2).mean())) if len(e) else 0.0
-    past, shocks, path = list(z), list(e), []
+    state = {
+        "phi": phi if len(phi) else np.zeros(1), "theta": theta if ma else np.zeros(1), "mean": np.array([mean]), "lags": lags.astype(float), "ma": np.array([ma]), "sigma": np.array([sigma]),
+        "past": z[-most:] if most else z[:0], "shocks": e[-ma:] if ma else e[:0], "orders": np.array([d, sd, period]), "tails": np.concatenate([*tails, np.empty(0)]), "seasonal_tails": np.concatenate([*seasonal_tails, np.empty(0)]),
+    }
+    values, spread = roll(state, horizon)
+    return {"path": values, "spread": spread} | state
+
+
+def roll(state: dict[str, np.ndarray], horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """The next ``horizon`` values of a fitted ARIMA model and their standard errors."""
+    state = {k: np.asarray(v, float) for k, v in state.items()}
+    lags, ma, mean = state["lags"].astype(int), int(state["ma"][0]), state["mean"][0]
+    d, sd, period = state["orders"].astype(int)
+    phi, theta = state["phi"][: len(lags)], state["theta"][:ma]
+    tails, seasonal_tails = np.split(state["tails"], d) if d else [], np.split(state["seasonal_tails"], sd) if sd else []
+    past, shocks, path = list(state["past"]), list(state["shocks"]), []
     for _ in range(horizon):
         v = sum(f * (past[-k] if k <= len(past) else 0.0) for f, k in zip(phi, lags, strict=True))
         v += sum(theta[j] * (shocks[-1 - j] if j < len(shocks) else 0.0) for j in range(ma))
@@ -148,7 +164,7 @@ def fit_arima(y: np.ndarray, ar: int = 1, d: int = 0, ma: int = 0, period: int =
     for _ in range(d):
         psi = np.cumsum(psi)
     values = undo(undo(np.array(path), tails), seasonal_tails, period)
-    return {"path": values, "spread": sigma * np.sqrt(np.cumsum(psi**2)), "phi": phi if len(phi) else np.zeros(1), "theta": theta if ma else np.zeros(1), "mean": np.array([mean])}
+    return values, state["sigma"][0] * np.sqrt(np.cumsum(psi**2))
 
 
 def fit_ets(y: np.ndarray, period: int = 1) -> dict[str, np.ndarray]:
