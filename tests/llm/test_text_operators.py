@@ -166,3 +166,87 @@ def test_slices_lower_as_a_whole():
         lower = pc.ascii_lower(text)
         lower.validate(full=True)
         assert lower.to_pylist() == [(t or "").lower() for t in batch.column("text").to_pylist()[a:]]
+
+
+def test_examples_over_a_limit_get_no_place(spark):
+    data = [(1, 100, 3000, "x"), (2, 9000, 0, "x"), (3, 10, 5, "x"), (3, 10, 5, "x"), (None, 7, None, None), (5, None, 4, "x"), (6, -4, -4, "x")]
+    frame = spark.createDataFrame(data, "example_id long, tokens long, loss_tokens long, offset string").coalesce(1)
+    got = packing.pack_examples(frame).collect()
+    assert collections.Counter((r.example_id, r.tokens, r.sequence_id is None) for r in got) == collections.Counter(
+        {(1, 100, True): 1, (2, 9000, True): 1, (3, 10, False): 2, (None, 7, False): 1, (5, None, True): 1, (6, -4, True): 1}
+    )
+    assert packing.pack_examples(frame.filter("tokens = 1")).count() == 0
+    with pytest.raises(ValueError):
+        packing.Limits(loss_tokens=0)
+
+
+@pytest.mark.parametrize("loss_limit", [2048, 300, 1])
+def test_cut_examples_keep_all_limits(loss_limit):
+    rng = np.random.default_rng(5)
+    masks = [rng.random(int(n)) < p for n, p in zip(rng.integers(0, 6000, 60), rng.choice([0.0, 0.05, 1.0], 60), strict=True)]
+    sums = [np.concatenate([[0], np.cumsum(m)]) for m in masks]
+    limits = packing.Limits(2048, 5, loss_limit)
+    pieces, _, rest = packing.pack(np.array([len(m) for m in masks]), np.array([m.sum() for m in masks]), limits, sums=sums)
+    covered = collections.Counter((p.item, j) for p in pieces for j in range(p.start, p.start + p.length))
+    assert not rest and covered == collections.Counter((i, j) for i, m in enumerate(masks) for j in range(len(m)))
+    by = collections.defaultdict(list)
+    for p in pieces:
+        by[p.sequence].append(p)
+    for s in by.values():
+        assert sum(p.length for p in s) <= 2048 and len(s) <= 5
+        assert sum(sums[p.item][p.start + p.length] - sums[p.item][p.start] for p in s) <= loss_limit
+
+
+def test_repeated_lines_bear_no_loss(spark):
+    data = [(1, "one line\nanother\n one line\none line\n\n\nanother"), (2, "same"), (3, None)]
+    plain = collections.Counter()
+    for p in packing.pack_documents(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect():
+        plain[p.doc_id] += p.length - p.loss_tokens  # a document may be cut
+    assert plain == {1: 3, 2: 0, 3: 0}
+
+
+def test_conversations_are_packed_under_three_limits(spark, sf):
+    from tidewater.llm import registry
+
+    got = registry.pack_conversations(spark, sf).collect()
+    turns = collections.defaultdict(lambda: [0, 0])
+    library = tokenizer(default_path(packing.VOCABULARY))
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+        turns[r.conv_id][0] += n
+        turns[r.conv_id][1] += n * (r.role == "assistant")
+    assert {r.example_id: [r.tokens, r.loss_tokens] for r in got} == turns
+    by = collections.defaultdict(list)
+    for r in got:
+        assert (r.sequence_id is None) == (r.tokens > 2048 or r.loss_tokens > 1024)
+        by[r.sequence_id].append(r)
+    by.pop(None, None)
+    for s in by.values():
+        assert sum(r.tokens for r in s) <= 2048 and sum(r.loss_tokens for r in s) <= 1024 and len(s) <= 8
+
+
+def test_encoder_of_another_vocabulary_and_of_clashing_keys(monkeypatch):
+    import pyarrow as pa
+
+    from tidewater.llm import encode
+
+    texts = ["Hello world, the End", "  a\tb\n", "", "straße, ÉÀ!"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = tokenizer(default_path(name))
+        for clash in (False, True):
+            if clash:
+                monkeypatch.setattr(encode, "string_keys", lambda a: np.arange(len(a), dtype=np.uint64) % np.uint64(2))
+            ids, bounds = encode.ChunkEncoder(default_path(name)).encode(pa.array(texts, pa.large_string()), None)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        monkeypatch.undo()
+
+
+def test_token_files_are_read_in_part(spark, docs):
+    out = scratch_path(spark, "tokens")
+    token_files.write_tokens(docs, out, shards=4)
+    some = token_files.read_some(spark, out, 50, 59)
+    assert {r.doc_id for r in some.collect()} == {r.doc_id for r in docs.filter("doc_id between 50 and 59").collect()}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,50)" in plan
+    plan = token_files.read_metadata(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:array" not in plan

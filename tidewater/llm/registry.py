@@ -30,6 +30,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under limits that all bind: tokens, segments, answers' tokens."""
+    turns = packing.conversation_examples(load(spark, sf_dir, "conversations"))
+    return packing.pack_examples(turns, packing.Limits(tokens=2048, segments=8, loss_tokens=1024))
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = gam.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_packing": op4_packing,
+    "pack_conversations": pack_conversations,
     "op5_quality_gam": op5_quality_gam,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,

@@ -17,7 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
+_BYTES_A_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @lru_cache(maxsize=1)
@@ -47,7 +49,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_BYTES`` for Python workers, unless the session
+    says how large: with Spark's default every worker may be sent 64 MB at once."""
+    if spark.conf.get(_BYTES_A_BATCH) == "67108864b":
+        spark.conf.set(_BYTES_A_BATCH, str(BATCH_BYTES))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -103,6 +113,17 @@ def owner(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
 
 
+def string_keys(text: pa.Array) -> np.ndarray:
+    """A 64-bit key of each string (``large_string`` whose bytes start at 0)."""
+    offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    data = text.buffers()[2]
+    size = np.diff(offsets)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) if data is not None else np.empty(0, np.uint64)
+    place = np.arange(len(raw), dtype=np.uint64) - np.repeat((offsets[:-1] - offsets[0]).astype(np.uint64), size)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix((place << np.uint64(8)) + raw + np.uint64(1)))])
+    return mix(total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]] + size.astype(np.uint64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; spreads small integers over all 64 bits."""
     x = x.astype(np.uint64)

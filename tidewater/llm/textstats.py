@@ -14,11 +14,12 @@ import pyarrow.compute as pc
 
 from tidewater.llm.shared import clean_text, mix, owner, per_text, split_words, text_slices, windows
 
+COUNT_BYTES = 1 << 20
 _CLASSES = ("space", "inside", "upper", "lower", "digit", "symbol", "exclaim", "comma", "other", "high")
 
 
 def _table() -> np.ndarray:
-    kind = np.full(256, _CLASSES.index("other"), np.int64)
+    kind = np.full(256, _CLASSES.index("other"), np.int32)
     for chars, name in (
         (b" \t\n\x0b\x0c\r", "space"),
         (bytes(range(0x80, 0xC0)), "inside"),
@@ -38,13 +39,20 @@ _KIND = _table()
 
 
 def char_counts(text: pa.Array) -> dict[str, np.ndarray]:
-    """Characters of each class in each text (UTF-8 continuation bytes apart)."""
-    n = len(text)
+    """Characters of each class in each text (UTF-8 continuation bytes apart),
+    counted ``COUNT_BYTES`` of text at a time."""
+    n, k = len(text), len(_CLASSES)
     offsets = np.frombuffer(text.buffers()[1], np.int64, n + 1, text.offset * 8)
     data = text.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    doc = np.repeat(np.arange(n, dtype=np.int64) * len(_CLASSES), np.diff(offsets))
-    counts = np.bincount(doc + _KIND[raw], minlength=n * len(_CLASSES)).reshape(n, -1)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    counts = np.zeros((n, k), np.int64)
+    for a in range(int(offsets[0]), int(offsets[-1]), COUNT_BYTES):
+        b = min(a + COUNT_BYTES, int(offsets[-1]))
+        lo, hi = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b, "left"))
+        inside = np.diff(np.clip(offsets[lo : hi + 1], a, b))
+        cell = np.repeat(np.arange(hi - lo, dtype=np.int32) * k, inside)
+        cell += _KIND[raw[a:b]]
+        counts[lo:hi] += np.bincount(cell, minlength=(hi - lo) * k).reshape(-1, k)
     return {name: counts[:, i] for i, name in enumerate(_CLASSES)}
 
 
