@@ -108,3 +108,26 @@ def test_toxicity_finds_disguised_words(spark):
     assert all(got[i]["predicted"] == int(i % 6 == 0) for i in range(600))
     assert all(r["score"] == 0.5 for r in toxicity.classify(docs, labels.limit(0)).collect())
     assert toxicity.classify(docs.limit(0), labels).count() == 0
+
+
+def test_neighbours_stay_apart_as_in_the_library():
+    sp, table = pieces.processor(PATH), pieces.piece_rows(PATH)
+    merges, names, ids = pieces.Merges(table), table["piece"].to_pylist(), table["id"].to_numpy()
+    rng = np.random.default_rng(4)
+    left, right = rng.integers(0, len(names), (2, 3000))
+    # pairs that split a piece in two, which must never stay apart
+    long = [i for i, n in enumerate(names) if len(n) > 3][:2000]
+    place = {n: i for i, n in enumerate(names)}
+    split = [(place[n[:2]], place[n[2:]]) for n in (names[i] for i in long) if n[:2] in place and n[2:] in place]
+    left, right = np.concatenate([left, [a for a, _ in split]]), np.concatenate([right, [b for _, b in split]])
+    got = merges.apart(left, right)
+    want = [pieces.unit_by_library(names[a] + names[b], PATH) == [ids[a], ids[b]] for a, b in zip(left, right, strict=True)]
+    assert got.tolist() == want and not got[3000:].any()
+
+
+def test_repeated_and_long_texts(spark):
+    texts = ["wordy " * 30000, "ab" * 3000, "x" * 5000 + " y", "日" * 3000, None]
+    docs = spark.createDataFrame([(i % 3, t, 1) for i, t in enumerate(texts * 2)], "doc_id bigint, text string, given int").repartition(3)
+    got = sorted((r["doc_id"], r["ids"]) for r in pieces.encode_documents(docs, head_units=2).collect())
+    sp = pieces.processor(PATH)
+    assert got == sorted((i % 3, sp.encode(t or "")) for i, t in enumerate(texts * 2))

@@ -1,20 +1,26 @@
 """Piece ids of texts by a relational lattice of substrings, and back.
 
-A text is a run of units: one or more blanks (written ``▁``; one is put before
-the text) and what follows up to the next blank.  No piece holds a blank behind
-another character, so units are encoded alone and each distinct unit once:
+A text is a run of units: it is cut (blanks are written ``▁``; one is put before
+the text) wherever no piece holds the two neighbouring characters, so that no
+piece can cross a cut.  Each distinct unit is encoded once:
 
 1.  its substrings of bounded length are exploded and joined to the piece table;
-2.  the pieces found (the edges of its lattice) are grouped by unit;
-3.  a fold over the lattice gives its pieces: ``viterbi`` (the path with the
-    largest sum of scores) for unigram tables, ``merge`` (the best-scored two
-    neighbours become one, again and again) for tables of merges, whose scores
-    are ranks and not probabilities.
-
-Both folds are Spark's ``aggregate``.  Units longer than ``LONGEST`` would cost
-the square of their length in a fold; they go to the vocabulary's library.
-Units found often (``HEAD_UNITS`` at most) are sent to all tasks, a document's
-other units are joined by unit and then to the document.
+2.  the pieces found, the edges of its lattice, are grouped by unit;
+3.  a Viterbi fold with Spark's ``aggregate`` keeps, for every position, the best
+    edge that ends there, and a second fold walks back from the end.
+
+For unigram tables the best path has the largest sum of scores.  The scores of a
+merge table are ranks, not log probabilities; its encoding is the one path on
+which every two neighbours stay apart when encoded together.  So each edge
+carries the lengths of the edges before it that it may follow (``Merges``), and
+the same fold takes the only path that is allowed.
+
+Units often found in a bounded sample of texts (``HEAD_UNITS`` of ``SAMPLE_DOCS``)
+are encoded first and sent to all tasks, which changes the cost but not the
+result; a text's other units are joined by unit, and to the text by its two
+64-bit hashes: texts are packed into codes of two or three bytes a unit where
+they are read, and only these are shuffled.  Units of over ``LONGEST`` characters
+would cost the square of their length in a fold; they go to the library.
 
 Defined cases: a null or empty text has no ids; a literal ``▁`` is a blank;
 characters without a piece become their bytes; repeated rows stay apart; an
@@ -39,8 +45,14 @@ from tidewater.llm.token_counts import head_threshold
 
 VOCABULARY = "piece_bpe_32k.model"
 HEAD_UNITS = 1 << 18
-LONGEST = 24
+SAMPLE_DOCS = 20_000
+LONGEST = 2048
+#: Texts whose rare units a task has sent; beyond so many it starts anew and may send some twice.
+SENT_TEXTS = 1 << 20
+#: Edges whose predecessors are looked up at a time.
+EDGES = 1 << 17
 BLANK = "▁"
+UNKNOWN = -1
 
 
 @lru_cache(maxsize=2)
@@ -50,18 +62,102 @@ def processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
+def piece_rows(path: str) -> pa.Table:
     """id, piece, score of the pieces that stand in texts (no control or byte
     pieces): as many rows as the vocabulary has."""
     sp = processor(path)
     rows = [(i, sp.id_to_piece(i), float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
     ids, names, scores = zip(*rows, strict=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(names), "score": pa.array(scores)}))
+    return pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(names), "score": pa.array(scores)})
 
 
-def text_units(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct units, the unit of each place and where each text starts."""
-    text = pc.replace_substring(text, BLANK, " ")
+@lru_cache(maxsize=2)
+def neighbours(path: str) -> np.ndarray:
+    """Sorted pairs of characters that stand side by side in some piece."""
+    return np.unique(np.array([(ord(a) << 21) | ord(b) for n in piece_rows(path)["piece"].to_pylist() for a, b in zip(n, n[1:], strict=False)], np.int64))
+
+
+class Merges:
+    """Which two pieces of a merge table stay apart when encoded together.
+
+    Taking two pieces' merges back, latest first, shows every pair of symbols
+    that ever stood at their border; a merge of such a pair that comes before the
+    one taken back last would have joined them.
+    """
+
+    def __init__(self, table: pa.Table):
+        names = table["piece"].to_pylist()
+        self.ids = table["id"].to_numpy()
+        place = {n: i for i, n in enumerate(names)}
+        order = np.argsort(-table["score"].to_numpy(), kind="stable")
+        self.rank = np.empty(len(names), np.int64)
+        self.rank[order] = np.arange(len(names))
+        single = np.array([len(n) == 1 for n in names])
+        self.left, self.right = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        self.reachable = single.copy()
+        made: dict[int, int] = {}
+        for i, n in enumerate(names):
+            for k in range(1, len(n)):
+                a, b = place.get(n[:k]), place.get(n[k:])
+                if a is not None and b is not None:
+                    made[a * len(names) + b] = int(self.rank[i])
+        for i, n in enumerate(names):
+            if len(n) > 1 and (split := self._last_merge([place.get(c, -1) for c in n], made, order, len(names))) is not None:
+                self.left[i], self.right[i] = split
+                self.reachable[i] = True
+        self.rank[single] = -1
+        self.keys = np.array(sorted(made), np.int64)
+        self.made = np.array([made[int(k)] for k in self.keys], np.int64)
+        self.size = len(names)
+
+    @staticmethod
+    def _last_merge(symbols: list[int], made: dict[int, int], order: np.ndarray, size: int) -> tuple[int, int] | None:
+        while len(symbols) > 1:
+            ranks = [made.get(a * size + b, size) if a >= 0 <= b else size for a, b in zip(symbols, symbols[1:], strict=False)]
+            k = ranks.index(min(ranks))
+            if ranks[k] == size:
+                return None
+            both = (symbols[k], symbols[k + 1])
+            symbols = [*symbols[:k], int(order[ranks[k]]), *symbols[k + 2 :]]
+        return both
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For places of left and right pieces in the table."""
+        x, y = a.copy(), b.copy()
+        limit, ok = np.full(len(x), self.size + 1), np.ones(len(x), bool)
+        live = np.arange(len(x))
+        while len(live):
+            key = x[live] * self.size + y[live]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            joined = (self.keys[at] == key) & (self.made[at] < limit[live])
+            ok[live[joined]] = False
+            live = live[~joined]
+            rx, ry = self.rank[x[live]], self.rank[y[live]]
+            live, rx, ry = (z[(rx >= 0) | (ry >= 0)] for z in (live, rx, ry))
+            later = rx > ry  # of two equal merges the left one comes first
+            limit[live] = np.where(later, rx, ry + 1)
+            x[live[later]] = self.right[x[live[later]]]
+            y[live[~later]] = self.left[y[live[~later]]]
+        return ok
+
+
+def cut_units(units: pa.Array, pairs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Units cut between characters that no piece holds side by side: all parts,
+    and where each unit's parts start."""
+    units = clean_text(pa.RecordBatch.from_arrays([units], names=["text"]))
+    ends = np.frombuffer(units.buffers()[1], np.int64, len(units) + 1)
+    raw = units.buffers()[2].to_pybytes()[: ends[-1]]
+    code = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    begin = np.nonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[0]
+    key = (code[:-1] << 21) | code[1:]
+    at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+    cuts = np.union1d(ends, begin[1:][pairs[at] != key])
+    return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)), np.searchsorted(cuts, ends)
+
+
+def blank_units(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct runs of blanks with what follows up to the next blank, the run of
+    each place and where each text starts."""
     lists = pc.split_pattern(text, " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -89,157 +185,307 @@ def text_units(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return units, unit.ravel()[order], np.concatenate([[0], np.cumsum(counts)])
 
 
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in text_slices(whole):
-            units, places, _ = text_units(clean_text(batch))
-            yield pa.RecordBatch.from_arrays([units.cast(pa.string()), pa.array(np.bincount(places, minlength=len(units)).astype(np.int64))], names=["unit", "times"])
+def text_units(text: pa.Array, pairs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct units, the unit of each place and where each text starts."""
+    runs, places, starts = blank_units(text)
+    if not len(runs):
+        return runs, places, starts
+    parts, first = cut_units(runs, pairs)
+    encoded = parts.dictionary_encode()
+    size = np.diff(first)[places]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(first[:-1][places] - ends[:-1], size) + np.arange(ends[-1])
+    return encoded.dictionary, encoded.indices.to_numpy()[at].astype(np.int64), ends[starts]
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
+    """unit and its edges: the start, size and place (in the piece table) of each
+    substring that is a piece, as one number.
 
+    ``units`` come dealt by unit, and substrings stay with their unit's task, so
+    the grouping shuffles nothing.  The empty substring keeps units without any.
+    """
+    at = units.select("unit").withColumn("at", F.explode(F.sequence(F.lit(1), F.length("unit"))))
+    first = F.when(F.col("at") == 1, 0).otherwise(1)
+    spans = at.withColumn("size", F.explode(F.sequence(first, F.least(F.lit(longest_piece), F.length("unit") - F.col("at") + 1))))
+    spans = spans.withColumn("piece", F.substr("unit", F.col("at"), F.col("size")))
+    known = pieces.select("piece", "place").union(pieces.sparkSession.sql("SELECT '' AS piece, 0L AS place"))
+    found = spans.join(F.broadcast(known), "piece")  # the vocabulary: a fixed size
+    edge = (F.col("at") - 1).cast("long") * (1 << 32) + F.col("size") * (1 << 24) + F.col("place")
+    return found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+
+
+def _edge_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows with about ``EDGES`` edges each."""
+    ends = batch.column("edges").offsets.to_numpy().astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + EDGES, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def follow_batches(table: pa.Table, merges: Merges | None, unknown: float):
+    """For ``mapInArrow``: (unit, edges) to unit and, for each end position, the
+    edges there: size, id, score and the sizes of edges that it may follow."""
+    ids, score = table["id"].to_numpy().astype(np.int64), table["score"].to_numpy()
+
+    def allowed(prev: np.ndarray, here: np.ndarray) -> np.ndarray:
+        if merges is None:
+            return np.ones(len(prev), bool)
+        both = (prev >= 0) & (here >= 0)
+        keys, back = np.unique(prev[both] * len(ids) + here[both], return_inverse=True)
+        out = np.ones(len(prev), bool)
+        out[both] = merges.apart(keys // len(ids), keys % len(ids))[back]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _edge_slices(whole):
+                length = pc.utf8_length(batch.column("unit")).to_numpy(zero_copy_only=False).astype(np.int64)
+                lists = batch.column("edges")
+                packed = lists.flatten().to_numpy()
+                unit = np.repeat(np.arange(len(length)), np.diff(lists.offsets.to_numpy()))
+                real = ((packed >> 24) & 0xFF) > 0
+                packed, unit = packed[real], unit[real]
+                base = np.concatenate([[0], np.cumsum(length + 1)])  # a node before and behind each character
+                start, size, place = base[unit] + (packed >> 32), (packed >> 24) & 0xFF, packed & 0xFFFFFF
+                if merges is not None:
+                    kept = merges.reachable[place]
+                    start, size, place = start[kept], size[kept], place[kept]
+                # characters without a piece
+                bare = np.ones(base[-1], bool)
+                bare[start[size == 1]] = False
+                bare[base[1:] - 1] = False
+                bare = np.nonzero(bare)[0]
+                start, size, place = np.concatenate([start, bare]), np.concatenate([size, np.ones(len(bare), np.int64)]), np.concatenate([place, np.full(len(bare), UNKNOWN)])
+                order = np.argsort((start + size) * 32 + size, kind="stable")
+                start, size, place = start[order], size[order], place[order]
+                count = np.bincount(start + size, minlength=base[-1])
+                bounds = np.concatenate([[0], np.cumsum(count)])
+                before = count[start]
+                first = np.concatenate([[0], np.cumsum(before)])
+                prev = np.repeat(bounds[start] - first[:-1], before) + np.arange(first[-1])
+                here = np.repeat(np.arange(len(start)), before)
+                after = np.bincount(here, (allowed(place[prev], place[here])) * (1 << size[prev]), len(start)).astype(np.int32)
+                opens = np.zeros(base[-1], bool)
+                opens[base[:-1]] = True
+                after += opens[start]
+                node = ~opens  # each unit's positions 1, 2, ...
+                inner = np.concatenate([[0], np.cumsum(count[node])]).astype(np.int32)
+                outer = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                known_place = np.maximum(place, 0)
+                value = np.where(place >= 0, 0.0 if merges is not None else score[known_place], unknown)
+                edge = pa.StructArray.from_arrays(
+                    [pa.array(size.astype(np.int32)), pa.array(np.where(place >= 0, ids[known_place], UNKNOWN).astype(np.int32)), pa.array(value), pa.array(after)], names=["size", "id", "score", "after"]
+                )
+                ends = pa.ListArray.from_arrays(pa.array(inner), edge)
+                yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.ListArray.from_arrays(pa.array(outer), ends)], names=["unit", "ends"])
+
+    return run
 
-def merge_fold(unit: Column, edges: Column) -> Column:
-    """Symbols of a unit after all merges; ``edges`` maps pieces to (score, id)."""
-    letters = F.filter(F.split(unit, ""), lambda c: c != "")
 
-    def one(s: Column, _: Column) -> Column:
-        pairs = F.transform(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: F.try_element_at(edges, F.concat(x, F.get(s, i + 1)))["score"])
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-        def joined(scores: Column) -> Column:
-            best = F.array_max(scores)
-            return _let(F.coalesce(F.array_position(scores, best), F.lit(0)).cast("int"), lambda at: F.when(at == 0, s).otherwise(
-                F.concat(F.slice(s, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(F.concat(F.get(s, at - 1), F.get(s, at))), F.slice(s, at + 2, F.greatest(F.size(s) - at - 1, F.lit(0))))
-            ))
 
-        return _let(pairs, joined)
+def viterbi(ends: Column) -> Column:
+    """Sizes and ids of the best path, from the end backwards.  ``ends`` lists
+    the edges for each end position; ties go to the path whose last edge is
+    longest."""
+    none = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("size"), F.lit(0).alias("id")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(unit), F.lit(1))), letters, one)
+    def one(best: Column, here: Column) -> Column:
+        def option(edge: Column) -> Column:
+            came = F.get(best, F.size(best) - edge["size"])
+            open_ = F.getbit(edge["after"], came["size"]) == 1
+            return F.when(open_, F.struct((came["score"] + edge["score"]).alias("score"), edge["size"].alias("size"), edge["id"].alias("id")))
 
+        return F.array_append(best, F.array_max(F.transform(here, option)))
 
-def viterbi_fold(unit: Column, edges: Column, unknown: float) -> Column:
-    """Symbols of the path with the largest sum of scores; characters without a
-    piece cost ``unknown``.  Ties go to the path whose last piece is longest."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("path")))
+    def walk(best: Column) -> Column:
+        start = F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<struct<at:int,size:int,id:int>>").alias("path"))
 
-    def one(best: Column, end: Column) -> Column:
-        def option(size: Column) -> Column:
-            piece = F.substr(unit, end - size + 1, size)
-            score = F.coalesce(F.try_element_at(edges, piece)["score"], F.when(size == 1, F.lit(unknown)))
-            came = F.get(best, end - size)
-            return F.struct((came["score"] + score).alias("score"), size.alias("size"), F.array_append(came["path"], piece).alias("path"))
+        def back(state: Column, i: Column) -> Column:
+            edge = F.get(best, i)
+            told = F.struct((i - edge["size"]).alias("at"), edge["size"].alias("size"), edge["id"].alias("id"))
+            return F.when(state["at"] == i, F.struct((i - edge["size"]).alias("at"), F.array_append(state["path"], told).alias("path"))).otherwise(state)
 
-        top = F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.least(end, F.lit(LONGEST))), option), lambda o: o["score"].isNotNull()))
-        return F.array_append(best, F.struct(top["score"].alias("score"), top["path"].alias("path")))
+        return F.aggregate(F.sequence(F.size(best) - 1, F.lit(1), F.lit(-1)), start, back)["path"]
 
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(unit)), start, one), -1)["path"]
+    return _let(F.aggregate(ends, none, one), walk)
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFrame:
-    """``units`` (unit, times) with ``edges``: a map of its pieces to score and id.
+def encode_units(units: DataFrame, pieces: DataFrame, fold: str = "merge", longest_piece: int = 16, first_byte: int | None = 3, unknown_id: int = 0, unknown: float = -1e6) -> DataFrame:
+    """unit and ids (array<int>) of units of up to ``LONGEST`` characters.
 
-    Units are dealt out once; substrings stay with their unit's task, so the
-    grouping shuffles nothing.  The empty substring meets an empty piece, which
-    keeps units without any.
-    """
-    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = units.select("unit", "times").repartition(n, "unit")
-    at = dealt.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("unit"))))
-    first = F.when(F.col("at") == 1, 0).otherwise(1)
-    spans = at.withColumn("size", F.explode(F.sequence(first, F.least(F.lit(longest_piece), F.length("unit") - F.col("at") + 1))))
-    spans = spans.select("unit", "times", F.substr("unit", F.col("at"), F.col("size")).alias("piece"))
-    known = pieces.select("piece", "score", "id").union(pieces.sparkSession.sql("SELECT '' AS piece, 0D AS score, -1 AS id"))
-    found = spans.join(F.broadcast(known), "piece")  # the vocabulary: a fixed size
-    return found.groupBy("unit", "times").agg(F.map_from_entries(F.collect_set(F.struct("piece", F.struct("score", "id")))).alias("edges"))
+    ``units`` should come dealt by unit (as a grouping leaves them)."""
+    spark = units.sparkSession
+    table = pieces.select("id", "piece", "score").orderBy("id").toArrow().combine_chunks()  # the vocabulary: a fixed size
+    merges = Merges(table) if fold == "merge" else None
+    placed = spark.createDataFrame(pa.table({"piece": table["piece"], "place": pa.array(np.arange(len(table)))}))
+    shared = spark.sparkContext.broadcast((table, merges))
 
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from follow_batches(*shared.value, unknown)(batches)
 
-def encode_units(units: DataFrame, pieces: DataFrame, fold: str = "merge", longest_piece: int = 16, first_byte: int | None = 3, unknown_id: int = 0, unknown: float = -1e6) -> DataFrame:
-    """unit, times and ids (array<int>) of units of up to ``LONGEST``."""
-    told = lattice(units, pieces, longest_piece)
-    symbols = merge_fold(F.col("unit"), F.col("edges")) if fold == "merge" else viterbi_fold(F.col("unit"), F.col("edges"), unknown)
+    edge = "struct<size:int,id:int,score:double,after:int>"
+    told = lattice(units, placed, longest_piece).mapInArrow(follow, f"unit string, ends array<array<{edge}>>")
+    path = told.select("unit", F.reverse(viterbi(F.col("ends"))).alias("path"))
 
     def spelled(x: Column) -> Column:
         if first_byte is None:
             return F.array(F.lit(unknown_id))
-        code = F.hex(F.encode(x, "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.octet_length(x)), lambda j: (F.conv(F.substr(code, 2 * j - 1, F.lit(2)), 16, 10).cast("int") + first_byte))
+        letter = F.substr("unit", x["at"] + 1, x["size"])
+        code = F.hex(F.encode(letter, "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.octet_length(letter)), lambda j: (F.conv(F.substr(code, 2 * j - 1, F.lit(2)), 16, 10).cast("int") + first_byte))
 
-    ids = F.flatten(F.transform(symbols, lambda x: F.when(F.try_element_at(F.col("edges"), x).isNotNull(), F.array(F.try_element_at(F.col("edges"), x)["id"])).otherwise(spelled(x))))
-    return told.select("unit", "times", ids.alias("ids"))
+    plain = F.transform("path", lambda x: x["id"])
+    odd = F.flatten(F.transform("path", lambda x: F.when(x["id"] == UNKNOWN, spelled(x)).otherwise(F.array(x["id"]))))
+    return path.select("unit", F.when(F.exists("path", lambda x: x["id"] == UNKNOWN), odd).otherwise(plain).alias("ids"))
 
 
-def unit_ids(docs: DataFrame, path: str) -> DataFrame:
-    """unit, times, ids: one row for each distinct unit of all texts."""
-    seen = docs.select("text").mapInArrow(_unit_batches, "unit string, times bigint")
-    units = materialize(seen.groupBy("unit").agg(F.sum("times").alias("times")), "pieces-units")
+def unit_ids(units: DataFrame, path: str) -> DataFrame:
+    """unit, ids of distinct units (dealt by unit)."""
 
     def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "unit"):
-                texts = [u[1:].replace(BLANK, " ") for u in batch.column("unit").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(processor(path).encode(texts, num_threads=1), pa.list_(pa.int32()))], names=["unit", "times", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([unit_by_library(u, path) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))], names=["unit", "ids"])
+
+    short = encode_units(units.filter(F.length("unit") <= LONGEST), units.sparkSession.createDataFrame(piece_rows(path)))
+    long = units.select("unit").filter(F.length("unit") > LONGEST).mapInArrow(by_library, "unit string, ids array<int>")
+    return short.union(long)
+
+
+def unit_by_library(unit: str, path: str) -> list[int]:
+    """Ids of one unit: those of the unit behind a newline, which no piece holds
+    beside another character, without what the newline gives."""
+    lead = processor(path).encode("\n", num_threads=1)
+    return processor(path).encode("\n" + unit.replace(BLANK, " "), num_threads=1)[len(lead) :]
+
+
+def head_units(docs: DataFrame, path: str, most: int) -> DataFrame:
+    """unit, ids of the units most often found in a sample of the texts."""
+    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = neighbours(path)
+        for whole in batches:
+            for batch in text_slices(whole, "plain"):
+                units, places, _ = text_units(clean_text(batch, "plain"), pairs)
+                yield pa.RecordBatch.from_arrays([units.cast(pa.string()), pa.array(np.bincount(places, minlength=len(units)).astype(np.int64))], names=["unit", "times"])
+
+    some = docs if share == 1 else docs.sample(share, seed=9)
+    units = some.select("plain").mapInArrow(run, "unit string, times bigint").groupBy("unit").agg(F.sum("times").alias("times"))
+    units = materialize(units.filter(F.length("unit") <= 64), "pieces-head")
+    often = units.filter(F.col("times") >= head_threshold(units, most)).select("unit")
+    return unit_ids(often.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit"), path)
 
-    short = encode_units(units.filter(F.length("unit") <= LONGEST), piece_table(docs.sparkSession, path))
-    long = units.filter(F.length("unit") > LONGEST).mapInArrow(by_library, "unit string, times bigint, ids array<int>")
-    return materialize(short.union(long), "pieces-ids")
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Numbers below 2**24 as bytes, lowest bytes first, compressed."""
+    return zlib.compress(b"".join(((codes >> s) & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16)), 1)
+
+
+def unpack_codes(packed: bytes) -> np.ndarray:
+    low, middle, high = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
+    return low | (middle << 8) | (high << 16)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, head_units: int = HEAD_UNITS) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), ids and ids_crc32 of every row."""
+    """doc_id, text_hash (xxhash64 of the text with blanks), ids and ids_crc32 of
+    every row."""
     path = vocabulary or default_path(VOCABULARY)
     spark = docs.sparkSession
-    units = unit_ids(docs, path)
-    floor = head_threshold(units, head_units)
-    often = (F.col("times") >= floor) & (F.length("unit") <= 64)
-    head = units.filter(often).select("unit", "ids").toArrow().combine_chunks()  # at most HEAD_UNITS short rows
-    shared = spark.sparkContext.broadcast((head["unit"].combine_chunks().cast(pa.large_string()), head["ids"].combine_chunks()))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" "))
+    rows = docs.select("doc_id", plain.alias("plain")).withColumns({"h1": F.xxhash64("plain"), "h2": F.xxhash64(F.lit(1), "plain")})
+    head = _head(rows, path, head_units)
+    shared = spark.sparkContext.broadcast(head)
 
     def rare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _ = shared.value
+        (known, _, _), pairs = shared.value, neighbours(path)
+        sent: set[tuple[int, int]] = set()
         for whole in batches:
-            for batch in text_slices(whole):
-                found, places, starts = text_units(clean_text(batch))
+            for batch in text_slices(whole, "plain"):
+                h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+                fresh = np.zeros(len(h1), bool)  # copies of a text send their units once
+                for i, both in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+                    if both not in sent:
+                        fresh[i] = True
+                        sent.add(both)
+                if len(sent) > SENT_TEXTS:
+                    sent.clear()
+                batch = batch.filter(pa.array(fresh))
+                found, places, starts = text_units(clean_text(batch, "plain"), pairs)
                 rare = pc.index_in(found, value_set=known).is_null().to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-                pairs = np.unique((doc << 32) | places)
-                pairs = pairs[rare[pairs & 0xFFFFFFFF]] if len(pairs) else pairs
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(pairs >> 32)), found.take(pa.array(pairs & 0xFFFFFFFF)).cast(pa.string())], names=["row", "unit"])
-
-    missing = rows.select("row", "text").mapInArrow(rare_units, "row bigint, unit string")
-    given = missing.join(units.select("unit", "ids"), "unit").groupBy("row").agg(F.collect_list(F.struct("unit", "ids")).alias("given"))
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids = shared.value
+                some = rare[places] if len(places) else np.zeros(0, bool)
+                both = np.unique((doc[some] << 32) | places[some])
+                own = pa.array(both >> 32)
+                yield pa.RecordBatch.from_arrays([batch.column("h1").take(own), batch.column("h2").take(own), found.take(pa.array(both & 0xFFFFFFFF)).cast(pa.string())], names=["h1", "h2", "unit"])
+
+    missing = materialize(rows.select("h1", "h2", "plain").mapInArrow(rare_units, "h1 bigint, h2 bigint, unit string"), "pieces-rare")
+    made = unit_ids(missing.groupBy("unit").agg(F.first("h1")), path)
+    given = missing.join(made, "unit").groupBy("h1", "h2").agg(F.collect_set(F.struct("unit", "ids")).alias("given"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes of all places: a head unit's number, or behind those the number
+        of a rare unit among the text's own, sorted."""
+        (known, _, _), pairs = shared.value, neighbours(path)
         for whole in batches:
-            for batch in text_slices(whole):
-                found, places, starts = text_units(clean_text(batch))
-                own = batch.column("given").flatten()
-                names, lists = (pc.struct_field(own, [i]) for i in (0, 1))
-                spelled = pa.concat_arrays([known, names.cast(pa.large_string())])
-                every = pa.concat_arrays([ids, lists.cast(ids.type)])
+            for batch in text_slices(whole, "plain"):
+                found, places, starts = text_units(clean_text(batch, "plain"), pairs)
                 at = pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                left = np.nonzero(at < 0)[0]
-                if len(left):
-                    at[left] = pc.index_in(found.take(pa.array(left)), value_set=names.cast(pa.large_string())).to_numpy(zero_copy_only=False) + len(known)
-                assert len(spelled) == len(every)
-                made = every.take(pa.array(at[places]))
-                ends = made.offsets.to_numpy().astype(np.int64)[starts] - made.offsets[0].as_py()
-                flat = made.flatten()
-                values = flat.to_numpy().astype("<u4")
-                sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), out, pa.array(sums, pa.int64())], names=["doc_id", "text_hash", "ids", "ids_crc32"])
-
-    empty = F.array().cast("array<struct<unit:string,ids:array<int>>>")
-    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" "))
-    both = rows.join(given, "row", "left").select("doc_id", "text", plain.alias("plain"), F.coalesce("given", empty).alias("given"))
-    both = both.select("doc_id", "text", F.xxhash64("plain").alias("text_hash"), "given")
+                order = np.empty(len(found), np.int64)
+                order[pc.sort_indices(found.cast(pa.large_binary())).to_numpy()] = np.arange(len(found))
+                out = []
+                for a, b in zip(starts[:-1], starts[1:], strict=True):
+                    code = at[places[a:b]]
+                    left = np.nonzero(code < 0)[0]
+                    code[left] = len(known) + np.unique(order[places[a:b][left]], return_inverse=True)[1]
+                    out.append(pack_codes(code))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(out, pa.binary())], names=["doc_id", "h1", "h2", "packed"])
+
+    packed = rows.mapInArrow(pack, "doc_id bigint, h1 bigint, h2 bigint, packed binary")
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values, bounds = shared.value
+        for batch in batches:
+            out, ends, sums = [], [0], []
+            own = batch.column("given")
+            for i, codes in enumerate(map(unpack_codes, batch.column("packed").to_pylist())):
+                rare = sorted((g["unit"].encode(), g["ids"]) for g in own[i].as_py() or [])
+                more = np.array([x for _, ids in rare for x in ids], np.uint32)
+                size = np.concatenate([np.diff(bounds), [len(ids) for _, ids in rare]]).astype(np.int64) if rare else np.diff(bounds)
+                start = np.concatenate([bounds[:-1], len(values) + np.cumsum(size[len(known) :]) - size[len(known) :]]) if rare else bounds[:-1]
+                length = size[codes]
+                first = np.concatenate([[0], np.cumsum(length)])
+                at = np.repeat(start[codes] - first[:-1], length) + np.arange(first[-1])
+                ids = np.where(at < len(values), values[np.minimum(at, len(values) - 1)] if len(values) else 0, more[np.maximum(at - len(values), 0)] if len(more) else 0).astype("<u4")
+                out.append(ids)
+                ends.append(ends[-1] + len(ids))
+                sums.append(zlib.crc32(ids.tobytes()))
+            flat = pa.array(np.concatenate([*out, np.empty(0, "<u4")]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), lists, pa.array(sums, pa.int64())], names=["doc_id", "text_hash", "ids", "ids_crc32"])
+
+    both = packed.join(given, ["h1", "h2"], "left").select("doc_id", "h1", "packed", "given")
     return both.mapInArrow(assemble, "doc_id bigint, text_hash bigint, ids array<int>, ids_crc32 bigint")
 
 
+def _head(rows: DataFrame, path: str, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Names of head units, all their ids, and where each unit's ids start: at
+    most ``most`` rows of up to 64 characters."""
+    found = head_units(rows, path, most).toArrow().combine_chunks()
+    if not found.num_rows:
+        return pa.array([], pa.large_string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
+    ids = found["ids"].combine_chunks()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
+    return found["unit"].combine_chunks().cast(pa.large_string()), ids.flatten().to_numpy().astype(np.uint32), bounds
+
+
 def decode(ids: Column, vocabulary: str | None = None) -> Column:
     """The text of an array of ids: bytes of all pieces joined, without the
     blank put before the text.  Unknown and control ids give nothing."""
