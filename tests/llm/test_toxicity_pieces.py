@@ -86,7 +86,7 @@ def test_restore(token, word):
 def test_evidence_counts_distinct_words():
     found = toxicity.Restorer(["idiot", "loser"], model(WORDS))
     texts = pa.array(["You IDIOT, idiot!", "i d i o t here", "1d10t l0ser", "a clean text of 12 words", "", "l o s e r", "x " * 5000 + "idiiiot."], pa.large_string())
-    assert found.evidence(texts)[0].tolist() == [1, 1, 2, 0, 0, 1, 1]
+    assert np.diff(found.evidence(texts)[1]).tolist() == [1, 1, 2, 0, 0, 1, 1]
 
 
 def test_toxicity_finds_disguised_words(spark):
@@ -131,3 +131,71 @@ def test_repeated_and_long_texts(spark):
     got = sorted((r["doc_id"], r["ids"]) for r in pieces.encode_documents(docs, head_units=2).collect())
     sp = pieces.processor(PATH)
     assert got == sorted((i % 3, sp.encode(t or "")) for i, t in enumerate(texts * 2))
+
+
+def brute_restore(token, model):
+    """The likeliest of all readings of a token, one by one."""
+    readings = [("", 0.0)]
+    before = ""
+    for c in token:
+        emit = [(c, 0.0)] if c.isalpha() else [(x, toxicity.AS_SIGN if len(toxicity.SIGNS[c]) < 3 else toxicity.AS_WILD) for x in toxicity.SIGNS.get(c, "")]
+        if not emit and c not in toxicity.SEPARATORS:
+            emit = [(c, 0.0)]
+        if c == before:
+            emit.append(("", toxicity.REPEATED))
+        elif c in toxicity.SEPARATORS or c in "!*#":
+            emit.append(("", toxicity.DROPPED))
+        readings = [(t + x, p + q) for t, p in readings for x, q in emit]
+        before = c
+
+    def cost(text):
+        total, a, b = 0.0, 0, 0
+        for s in [*map(toxicity.symbol, text), 0]:
+            total += model[a, b, s]
+            a, b = b, s
+        return total
+
+    return max(p + cost(t) for t, p in readings), {t: p + cost(t) for t, p in readings}
+
+
+def test_restore_equals_brute_force():
+    rng, m = np.random.default_rng(8), model(WORDS)
+    for _ in range(300):
+        token = "".join(rng.choice(list("idotlser104!$.-_|7") + (["*"] if rng.random() < 0.3 else []), rng.integers(1, 6)))
+        best, all_ = brute_restore(token, m)
+        assert abs(max(v for t, v in all_.items() if t == toxicity.restore(token, m)) - best) < 1e-9, token
+
+
+def test_scores_equal_the_odds_of_the_words_found(spark, sf):
+    """Scores of all documents from the labelled rows' evidence, in plain Python."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    learned = labels.filter(~toxicity.held_out())
+    lexicon, _ = toxicity.learn_lexicon(docs, learned)
+    m = toxicity.character_model(docs, lexicon)
+    finder = toxicity.Restorer(lexicon, m)
+    rows = docs.collect()
+    found = {}
+    for r in rows:
+        places, _, _ = finder.evidence(pa.array([r.text or ""], pa.large_string()))
+        found[r.doc_id] = set(places.tolist())
+    marked = [(r.doc_id, r.toxic) for r in learned.collect() if r.toxic is not None and r.doc_id in found]
+    n, k = len(marked), sum(t for _, t in marked)
+    bare = [t for i, t in marked if not found[i]]
+    want = {}
+    for i, words in found.items():
+        total = math.log((k + 0.5) / (n - k + 0.5))
+        for w in words:
+            seen = [t for j, t in marked if w in found[j]]
+            total += math.log((sum(seen) + 0.5) / (k + 1)) - math.log((len(seen) - sum(seen) + 0.5) / (n - k + 1)) if seen else math.log(toxicity.RATIO)
+        want[i] = 1 / (1 + math.exp(-total)) if words else (sum(bare) + k / n) / (len(bare) + 1)
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i].score - want[i]) < 1e-9 and got[i].predicted == (want[i] >= 0.3) for i in want)
+
+
+def test_short_words_and_signs_at_the_end():
+    found = toxicity.Restorer(["ass", "idiot", "clown"], model([*WORDS, "ass"]))
+    texts = pa.array(["a s s", "you idio7###", "clow^ idio+", "as a sack", "a s s o c"], pa.large_string())
+    assert [finding > 0 for finding in np.diff(found.evidence(texts)[1])] == [True, True, True, False, False]

@@ -1,18 +1,25 @@
 """Near duplicates among embeddings by randomised-rotation binary codes.
 
-Vectors are scaled to length one and turned by random rotations; a code holds
-the signs of the turned components, and a correction factor how far the code
-points from the vector.  Parts of the codes (bands) place vectors in buckets,
-in so many tables that a pair at the threshold is met with ``RECALL``.  Within
-a bucket, the code and factor of one vector give an unbiased estimate of its
-inner product with another, and a bound that holds with ``DEVIATIONS`` standard
-deviations; only pairs whose bound reaches the threshold are recomputed exactly.
+Vectors are scaled to length one and turned by random rotations.  What is stored
+of a vector (its record) are the signs of the turned components, a correction
+factor (how far the code points from the vector), and the turned components in
+``LEVELS`` steps with random rounding, as bit planes.  Counting the common bits of
+one record's code and another's planes gives an unbiased estimate of their inner
+product, and the factors a bound that holds with ``DEVIATIONS`` standard
+deviations.
+
+1.  Parts of the codes (bands) place records in buckets, in so many tables that a
+    pair at the threshold is met with ``RECALL``.  Only records are shuffled.  A
+    vector that no bound in its bucket lets reach the threshold is done there.
+2.  The vectors of the others are joined to their buckets, and pairs within the
+    bounds are recomputed exactly.
 
 Equal vectors are one weighted vector.  A bucket with more than ``BLOCK`` rows
 is cut into blocks and every two blocks meet in a task of their own.  Links are
 counted where a pair first meets, so none counts twice; pairs are never
 emitted: a task returns a count and one edge to its local component for each of
-its vectors.
+its vectors.  A pair that no table brings together is not found: its chance is
+``1 - RECALL`` at the threshold and less above it.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and stand alone; vectors of unlike length do not
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,13 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.shared import materialize
+from tidewater.llm.shared import materialize, mix
 
 THRESHOLD = 0.9
 RECALL = 0.998
 DEVIATIONS = 4.0
 BLOCK = 2048
+#: Buckets hold about so many vectors.
+BUCKET = 512
 SEED = 20
+#: Rows of a bucket estimated at a time, and pairs recomputed at a time.
+ROWS, PAIRS = 128, 1 << 16
+PLANES = 4
+LEVELS = (1 << PLANES) - 1
 
 
 @lru_cache(maxsize=8)
@@ -52,18 +66,81 @@ def rotations(dim: int, count: int) -> np.ndarray:
 
 def tables(rows: int, threshold: float) -> tuple[int, int]:
     """Bits of a band and number of tables for so many vectors."""
-    bits = min(24, max(6, round(math.log2(max(rows, 2))) - 6))
+    bits = min(24, max(4, round(math.log2(max(rows, 2) / BUCKET))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - agree)))
 
 
-def band_keys(unit: np.ndarray, bits: int, count: int) -> np.ndarray:
-    """The ``count`` band keys of each row, from the signs of its turned
-    components."""
-    dim = unit.shape[1]
-    turned = unit @ rotations(dim, -(-bits * count // dim))
-    signs = (turned[:, : bits * count] > 0).reshape(len(unit), count, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+@dataclass
+class Records:
+    """What is stored of vectors: words of sign bits, words of the first
+    rotation's bit planes, and (factor, lowest level, step)."""
+
+    dim: int
+    code: np.ndarray
+    planes: np.ndarray
+    scale: np.ndarray
+
+    def packed(self) -> list[bytes]:
+        return [a.tobytes() + b.tobytes() + c.tobytes() for a, b, c in zip(self.code, self.planes, self.scale, strict=True)]
+
+    def take(self, at: np.ndarray) -> Records:
+        return Records(self.dim, self.code[at], self.planes[at], self.scale[at])
+
+    def keys(self, bits: int, count: int) -> np.ndarray:
+        """The ``count`` band keys of each row."""
+        words = -(-self.dim // 64)
+        signs = np.unpackbits(self.code.view(np.uint8).reshape(len(self.code), -1, words * 8), axis=2, bitorder="little")[:, :, : self.dim]
+        signs = signs.reshape(len(self.code), -1)[:, : bits * count].reshape(len(self.code), count, bits)
+        return signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """The last axis of a boolean array as little-endian 64-bit words."""
+    room = -bits.shape[-1] % 64
+    padded = np.concatenate([bits, np.zeros((*bits.shape[:-1], room), bool)], -1)
+    return np.packbits(padded, axis=-1, bitorder="little").view("<u8")
+
+
+def make_records(unit: np.ndarray, turns: int, seeds: np.ndarray) -> Records:
+    """``seeds``: one number a row, which its rounding depends on."""
+    n, dim = unit.shape
+    turned = unit @ rotations(dim, turns)
+    code = _words((turned > 0).reshape(n, turns, dim)).reshape(n, -1)
+    first = turned[:, :dim]
+    low = first.min(1)
+    step = np.maximum((first.max(1) - low) / LEVELS, 1e-12)
+    dither = mix(mix(seeds.astype(np.uint64))[:, None] + np.arange(dim, dtype=np.uint64)).astype(np.float64) / 2.0**64
+    level = np.clip(np.floor((first - low[:, None]) / step[:, None] + dither), 0, LEVELS).astype(np.int64)
+    planes = _words((level[:, None, :] >> np.arange(PLANES)[:, None]) & 1 > 0).reshape(n, -1)
+    factor = np.abs(first).sum(1) / math.sqrt(dim)  # the code's inner product with its vector
+    return Records(dim, code, planes, np.stack([factor, low, step], 1))
+
+
+def read_records(packed: pa.Array, dim: int, turns: int) -> Records:
+    words = -(-dim // 64)
+    raw = np.frombuffer(b"".join(packed.to_pylist()), "<u8").reshape(len(packed), -1)
+    a, b = words * turns, words * (turns + PLANES)
+    return Records(dim, np.ascontiguousarray(raw[:, :a]), np.ascontiguousarray(raw[:, a:b]), raw[:, b:].view(np.float64))
+
+
+def upper(left: Records, right: Records) -> np.ndarray:
+    """Upper confidence bounds of all inner products, from planes of ``left`` and
+    codes and factors of ``right``."""
+    dim, words = left.dim, -(-left.dim // 64)
+    code = right.code[:, :words]
+    planes = left.planes.reshape(len(left.code), PLANES, words)
+    common = np.zeros((len(left.code), len(code)), np.int32)
+    for k in range(PLANES):
+        for w in range(words):
+            common += np.bitwise_count(planes[:, k, w, None] & code[None, :, w]).astype(np.int32) << k
+    ones = np.bitwise_count(code).sum(1, dtype=np.int64)
+    total = (np.bitwise_count(planes).sum(2, dtype=np.int64) << np.arange(PLANES)).sum(1)
+    factor, (low, step) = right.scale[:, 0], left.scale[:, 1:].T
+    # the code's components are +-1/sqrt(dim), the vector's low + step * level
+    product = low[:, None] * (2 * ones - dim)[None] + step[:, None] * (2 * common - total[:, None])
+    spread = np.sqrt(np.maximum(1 - factor**2, 0) / max(dim - 1, 1))[None] + (step / 2)[:, None]
+    return (product / math.sqrt(dim) + DEVIATIONS * spread) / factor[None]
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,29 +168,45 @@ def unit_rows(vectors: pa.Array, dim: int) -> np.ndarray:
 
 
 def bounds(unit: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Upper confidence bounds of the inner products of ``unit`` (as they are)
-    with ``other`` (by code and correction factor)."""
-    dim = unit.shape[1]
-    turn = rotations(dim, 1)
-    coded = other @ turn
-    factor = np.abs(coded).sum(1) / math.sqrt(dim)  # the code's inner product with its vector
-    estimate = (unit @ turn) @ np.where(coded > 0, 1.0, -1.0).T / math.sqrt(dim) / factor
-    spread = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(dim - 1, 1))
-    return estimate + DEVIATIONS * spread
-
-
-def linked_pairs(left: np.ndarray, right: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all pairs with cosine >= threshold; i < j if ``same``."""
-    maybe = bounds(left, right) >= threshold
-    if same:
-        maybe = np.triu(maybe, 1)
-    i, j = np.nonzero(maybe)
-    if len(i) * 4 > maybe.size:
-        exact = left @ right.T
-        keep = exact[i, j] >= threshold
-    else:
-        keep = np.concatenate([np.einsum("ij,ij->i", left[i[a : a + 65536]], right[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.empty(0)]) >= threshold
-    return i[keep], j[keep]
+    """Upper confidence bounds of the inner products of ``unit`` with ``other``."""
+    left, right = (make_records(x, 1, np.arange(len(x))) for x in (unit, other))
+    return upper(left, right)
+
+
+def possible_pairs(left: Records, right: Records, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs whose bound reaches the threshold, some rows
+    at a time; i < j if ``same``."""
+    for a in range(0, len(left.code), ROWS):
+        maybe = upper(left.take(np.s_[a : a + ROWS]), right) >= threshold
+        if same:
+            maybe &= np.arange(a, a + len(maybe))[:, None] < np.arange(len(right.code))[None]
+        i, j = np.nonzero(maybe)
+        yield i + a, j
+
+
+def first_met(keys: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether table ``t`` is the first in which rows i and j share a bucket."""
+    seen = np.zeros(len(i), bool)
+    for u in range(t):
+        seen |= keys[i, u] == keys[j, u]
+    return ~seen
+
+
+def bucket_pairs(records: Records, mine: np.ndarray, r: int, s: int, t: int, bits: int, count: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of blocks r and s within the bounds that share a bucket of table t,
+    and of no table before."""
+    keys = records.keys(bits, count)
+    order = np.argsort(keys[:, t], kind="stable")
+    ranked = keys[order, t]
+    cuts = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))[0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        here = order[a:b]
+        left, right = (here, here) if r == s else (here[mine[here] == r], here[mine[here] == s])
+        if b - a > 1 and len(left) and len(right):
+            for i, j in possible_pairs(records.take(left), records.take(right), r == s, threshold):
+                i, j = left[i], right[j]
+                new = first_met(keys, t, i, j)
+                yield i[new], j[new]
 
 
 def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -134,67 +227,68 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "embedding")
     rows = materialize(rows.mapInArrow(_usable, "rid bigint, vec_id bigint, dim int, vector binary"), "vectors")
     distinct = rows.filter("vector is not null").groupBy("dim", "vector").agg(F.min("rid").alias("rep"), F.count("*").alias("weight"))
-    distinct = materialize(distinct, "distinct")
-    total = distinct.count()
-    bits, count = tables(total, threshold)
-    coarse = min(bits, max(0, math.ceil(math.log2(max(total, 1) / BLOCK)) + 1))
+    bits, count = tables(rows.count(), threshold)
+    coarse = min(bits, 31)
+
+    def turns(dim: int) -> int:
+        return -(-bits * count // dim)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the record and the bucket in each table."""
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 for a in range(0, part.num_rows, 4096):
                     some = part.slice(a, 4096)
-                    keys = band_keys(unit_rows(some.column("vector"), int(dim)), bits, count)
-                    for t in range(count):
-                        arrays = [*some.columns, pa.array(np.full(some.num_rows, t, np.int32)), pa.array((keys[:, t] >> (bits - coarse)).astype(np.int32))]
-                        yield pa.RecordBatch.from_arrays(arrays, names=[*some.schema.names, "t", "p"])
-
-    placed = distinct.select("rep", "weight", "dim", "vector").mapInArrow(place, "rep bigint, weight bigint, dim int, vector binary, t int, p int")
-    sizes = placed.groupBy("dim", "t", "p").agg(F.count("*").alias("size")).filter("size > 1")
-    sizes = sizes.select("dim", "t", "p", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    met = placed.join(sizes, ["dim", "t", "p"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+                    made = make_records(unit_rows(some.column("vector"), int(dim)), turns(int(dim)), some.column("rep").to_numpy())
+                    places = made.keys(bits, count) >> (bits - coarse)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(places) + 1, dtype=np.int32) * count), pa.array(places.ravel().astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(made.packed(), pa.binary()), lists], names=[*some.schema.names, "record", "places"])
+
+    stored = distinct.mapInArrow(store, "dim int, vector binary, rep bigint, weight bigint, record binary, places array<int>")
+    distinct = materialize(stored, "records")
+    placed = distinct.select("rep", "dim", "record", F.posexplode("places").alias("t", "p"))
+    # buckets of more than a block are cut into blocks, every two of which meet
+    large = placed.groupBy("dim", "t", "p").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    large = large.select("dim", "t", "p", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    met = placed.join(large, ["dim", "t", "p"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"r": F.least("mine", "other"), "s": F.greatest("mine", "other")})
+    cell = ["dim", "t", "p", "r", "s"]
+
+    def opened(part: pa.Table) -> tuple[list[int], Records, np.ndarray]:
+        place = [part[c][0].as_py() for c in cell]
+        return place, read_records(part["record"].combine_chunks(), place[0], turns(place[0])), part["mine"].to_numpy()
+
+    def estimate(part: pa.Table) -> pa.Table:
+        """The vectors that some bound lets reach the threshold."""
+        (_, t, _, r, s), records, mine = opened(part)
+        near = np.zeros(part.num_rows, bool)
+        for i, j in bucket_pairs(records, mine, r, s, t, bits, count, threshold):
+            near[i] = near[j] = True
+        return part.select(["rep", *cell, "mine"]).filter(pa.array(near))
 
-    def meet(part: pa.Table) -> pa.Table:
-        dim, t = part["dim"][0].as_py(), part["t"][0].as_py()
-        r, s = part["r"][0].as_py(), part["s"][0].as_py()
+    def recompute(part: pa.Table) -> pa.Table:
         part = part.take(pc.sort_indices(part["rep"]))
-        rep, weight, mine = (part[c].to_numpy() for c in ("rep", "weight", "mine"))
+        (dim, t, _, r, s), records, mine = opened(part)
         unit = unit_rows(part["vector"].combine_chunks(), dim)
-        keys = band_keys(unit, bits, count)
-        order = np.argsort(keys[:, t], kind="stable")
-        ranked = keys[order, t]
-        cuts = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))[0]
+        rep, weight = part["rep"].to_numpy(), part["weight"].to_numpy()
         links = np.zeros(len(rep), np.int64)
-        all_i, all_j = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a < 2:
-                continue
-            here = order[a:b]
-            left, right = (here, here) if r == s else (here[mine[here] == r], here[mine[here] == s])
-            if not len(left) or not len(right):
-                continue
-            i, j = linked_pairs(unit[left], unit[right], r == s, threshold)
-            i, j = left[i], right[j]
-            all_i.append(i)
-            all_j.append(j)
-            for c in range(0, len(i), 1 << 18):
-                x, y = i[c : c + (1 << 18)], j[c : c + (1 << 18)]
-                seen = np.zeros(len(x), bool)
-                for u in range(t):
-                    seen |= keys[x, u] == keys[y, u]
-                x, y = x[~seen], y[~seen]
-                np.add.at(links, x, weight[y])
-                np.add.at(links, y, weight[x])
-        i, j = (np.concatenate([*z, np.empty(0, np.int64)]).astype(np.int64) for z in (all_i, all_j))
-        root = local_components(len(rep), i, j)
+        root = np.arange(len(rep))
+        for i, j in bucket_pairs(records, mine, r, s, t, bits, count, threshold):
+            exact = np.concatenate([np.einsum("ij,ij->i", unit[i[a : a + PAIRS]], unit[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)] or [np.empty(0)])
+            i, j = i[exact >= threshold], j[exact >= threshold]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            root = local_components(len(rep), np.concatenate([i, np.arange(len(rep))]), np.concatenate([j, root]))
         told = np.nonzero((links > 0) | (root != np.arange(len(rep))))[0]
         return pa.table({"rep": rep[told], "links": links[told], "root": rep[root[told]]})
 
-    told = materialize(met.drop("other").groupBy("dim", "t", "p", "r", "s").applyInArrow(meet, "rep bigint, links bigint, root bigint"), "links")
+    near = met.drop("other", "blocks").repartition(*cell).groupBy(*cell).applyInArrow(estimate, "rep bigint, dim int, t int, p int, r int, s int, mine int")
+    near = materialize(near, "near").join(distinct.select("rep", "weight", "vector", "record"), "rep").repartition(*cell)
+    told = materialize(near.groupBy(*cell).applyInArrow(recompute, "rep bigint, links bigint, root bigint"), "links")
     found = components(told.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     counts = told.groupBy("rep").agg(F.sum("links").alias("links"))
     each = distinct.select("dim", "vector", "rep", "weight").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")

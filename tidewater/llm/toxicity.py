@@ -7,11 +7,13 @@
     letters with gaps) is a lattice of characters: each sign may stand for
     letters, a repeated letter or a separator may stand for nothing.  Viterbi
     finds the likeliest letters under the language model.
-4.  The distinct lexicon words of the restored text are a document's evidence;
-    the share of toxic rows by evidence, made monotone, is its score.
+4.  The distinct lexicon words of the restored text are a document's evidence.
+    Each has a log odds ratio, learned from the evidence of the labelled rows;
+    the score is the probability that their sum and the prior odds give, and
+    without evidence the share of toxic rows among labelled ones without any.
 
 Only counts are shuffled: by character trigram, by word of labelled rows and
-its neighbours, by evidence.  The lexicon holds ``LEXICON`` words at most and is learned
+its neighbours, by word of the evidence.  The lexicon holds ``LEXICON`` words at most and is learned
 from ``SAMPLE_ROWS`` labelled rows at most (bounds of the fit); all texts are
 scored and no text is shuffled.
 
@@ -27,6 +29,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -42,13 +45,15 @@ LEXICON = 4096
 #: The lexicon is learned from at most so many labelled rows, those with the
 #: smallest hash of their id; rates by evidence use all of them.
 SAMPLE_ROWS = 40_000
+#: Shortest word that is looked for inside a run of single letters; shorter ones
+#: must be the whole run.
+INSIDE = 4
 #: A word of the lexicon is this many times as frequent in toxic texts.
 RATIO = 8.0
 #: A stem is kept if at most this share of its uses is in other texts.
 IMPURE = 0.01
 #: Share of the language model's counts that the lexicon's words get.
 BOOST = 0.05
-MOST = 6
 #: Lengths of stems that can be learned besides whole words.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -61,10 +66,10 @@ SIGNS = {
 SEPARATORS = ".-_*~'`,/\\:;·"
 #: Log probabilities of the channel.
 AS_SIGN, AS_WILD, REPEATED, DROPPED = math.log(0.1), math.log(0.01), math.log(0.3), math.log(0.3)
-EDGE, OTHER, SYMBOLS = 0, 27, 28
+EDGE, OTHER, SYMBOLS, INNER = 0, 27, 28, -1
 
 #: Something within letters that isn't one, a sign at an end, or drawn-out letters.
-DISGUISED = r"(\p{L}[^\p{L}\s]+\p{L})|(^[0-9@$!|+(€*#][^\s]*\p{L})|(\p{L}[0-9@$€]+[.,;:!?]*$)" + "".join(f"|{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+DISGUISED = r"(\p{L}[^\p{L}\s]+\p{L})|(^[0-9@$!|+(€*#^][^\s]*\p{L})|(\p{L}[0-9@$€+^(]+[^\p{L}\p{N}\s]*$)" + "".join(f"|{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz")
 MARKS = ".,;:!?\"'()[]{}*#$%&|<>-_~"
 
 
@@ -73,7 +78,9 @@ def symbol(c: str) -> int:
 
 
 def _byte_codes() -> np.ndarray:
+    """Symbols by byte: a character of several bytes is one OTHER, its first byte."""
     codes = np.full(256, OTHER, np.int64)
+    codes[0x80:0xC0] = INNER
     codes[97:123] = np.arange(1, 27)
     codes[list(b" \t\n\x0b\x0c\r")] = EDGE
     return codes
@@ -90,6 +97,7 @@ def trigram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
             cuts = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)
             codes = np.insert(_CODES[data], cuts[1:], EDGE) if len(data) else np.zeros(len(text), np.int64)
+            codes = codes[codes != INNER]
             # an edge stands for both symbols before a word
             a, b, c = (np.concatenate([np.zeros(k, np.int64), codes])[: len(codes)] for k in (2, 1, 0))
             a = np.where(b == EDGE, EDGE, a)
@@ -149,15 +157,16 @@ class Restorer:
     def __init__(self, lexicon: list[str], model: np.ndarray):
         self.finder = Finder(lexicon)
         self.words, self.place = self.finder.words, self.finder.place
-        self.inside = re.compile("|".join(map(re.escape, sorted((w for w in lexicon if len(w) > 3 and w[-1] != "*"), key=len, reverse=True))) or r"(?!)")
+        self.inside = re.compile("|".join(map(re.escape, sorted((w for w in lexicon if len(w) >= INSIDE and w[-1] != "*"), key=len, reverse=True))) or r"(?!)")
         self.decode = lru_cache(100_000)(lambda t: restore(t, model))
 
-    def evidence(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: distinct lexicon words, and how often they occur."""
+    def evidence(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the lexicon of each text's distinct lexicon words, one after
+        another; their bounds; and how often such words occur in each text."""
         n = len(text)
         flat, offsets = split_words(pc.utf8_lower(text))
         if not len(flat) or not len(self.words):
-            return np.zeros(n, np.int64), np.zeros(n, np.int64)
+            return np.empty(0, np.int64), np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
         encoded = flat.dictionary_encode()
         words, codes = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
         bare = pc.utf8_trim(words, characters=MARKS)
@@ -165,7 +174,7 @@ class Restorer:
         odd = pc.match_substring_regex(words, DISGUISED).to_numpy(zero_copy_only=False) & (place < 0)
         for i in np.nonzero(odd)[0]:
             token = words[int(i)].as_py()
-            for form in dict.fromkeys((token, token.strip(".,;:!?\"'"))):
+            for form in dict.fromkeys((token, token.strip(".,;:!?\"'"), token.rstrip(MARKS))):
                 if (at := self.finder.of(self.decode(form))) >= 0:
                     place[i] = at
                     break
@@ -177,14 +186,15 @@ class Restorer:
         single = (pc.utf8_length(pc.utf8_trim(words, characters=".,;:\"'-_~")).to_numpy(zero_copy_only=False) == 1)[codes]
         cut = np.nonzero(np.diff(np.concatenate([[0], (single * (doc + 1)).astype(np.int64), [0]])))[0]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if single[a] and b - a >= 4:
-                run = "".join(pc.utf8_trim(flat.slice(a, b - a), characters=".,;:\"'-_~").to_pylist())
-                for word in self.inside.findall(self.decode(run)):
+            if single[a] and b - a >= 3:
+                run = self.decode("".join(pc.utf8_trim(flat.slice(a, b - a), characters=".,;:\"'-_~").to_pylist()))
+                for word in self.inside.findall(run) or ([run] if run in self.place else []):
                     docs.append(np.array([doc[a]]))
                     found.append(np.array([self.place[word]]))
         docs, found = np.concatenate(docs), np.concatenate(found)
         pairs = np.unique(docs * len(self.words) + found)
-        return np.bincount(pairs // len(self.words), minlength=n), np.bincount(docs, minlength=n)
+        bounds = np.searchsorted(pairs, np.arange(n + 1) * len(self.words))
+        return pairs % len(self.words), bounds, np.bincount(docs, minlength=n)
 
 
 def _strong(table: DataFrame, n: int, k: int, bar: float) -> DataFrame:
@@ -293,35 +303,50 @@ class Finder:
 
 
 def evidence(docs: DataFrame, lexicon: list[str], model: np.ndarray) -> DataFrame:
-    """doc_id, n_words (distinct lexicon words, restored), n_hits."""
+    """doc_id, found (places of distinct lexicon words, restored), n_hits."""
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(*shared.value)
         for whole in batches:
             for batch in text_slices(whole):
-                distinct, hits = restorer.evidence(clean_text(batch))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(distinct), pa.array(hits)], names=["doc_id", "n_words", "n_hits"])
+                found, bounds, hits = restorer.evidence(clean_text(batch))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(hits)], names=["doc_id", "found", "n_hits"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_hits bigint"), "evidence")
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, found array<int>, n_hits bigint"), "evidence")
 
 
-def level() -> Column:
-    """Evidence as a level: distinct words, capped for the table of rates only."""
-    return F.least(F.col("n_words"), F.lit(MOST)).cast("int")
+@dataclass
+class Odds:
+    """Log odds ratios of lexicon words, prior log odds, and the share of toxic
+    rows among those without evidence."""
 
+    words: list[float]
+    prior: float
+    bare: float
 
-def monotone(n: np.ndarray, k: np.ndarray, precision: float) -> np.ndarray:
-    """Smoothed shares by level that never fall (pooled neighbours); a level
-    without rows takes the share of its kind: no word, or some."""
-    share = k[0] / n[0] if n[0] else 0.0
-    pools: list[list[float]] = []
-    for i, (a, b) in enumerate(zip(n, k, strict=True)):
-        pools.append([a + 1.0, b + (precision if i else share), 1])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][0] > pools[-1][1] / pools[-1][0]:
-            top = pools.pop()
-            pools[-1] = [x + y for x, y in zip(pools[-1], top, strict=True)]
-    return np.concatenate([np.full(int(c), b / a) for a, b, c in pools])
+
+def learn_odds(found: DataFrame, marked: DataFrame, size: int) -> Odds:
+    """From the evidence of labelled rows (doc_id, toxic)."""
+    rows = found.join(marked, "doc_id").select("toxic", "found")
+    some = F.when(F.size("found") == 0, F.array(F.lit(-1))).otherwise(F.array_append("found", -2))
+    counts = rows.select("toxic", F.explode(some).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
+    got = {r["word"]: (r["n"], r["k"]) for r in counts.collect()}  # a row for each word of the lexicon, and two
+    (n0, k0), (n1, k1) = got.get(-1, (0, 0)), got.get(-2, (0, 0))
+    n, k = n0 + n1, k0 + k1
+    if not n:
+        return Odds([0.0] * size, 0.0, 0.5)
+    words = [got.get(w, (0, 0)) for w in range(size)]
+    ratios = [math.log((b + 0.5) / (k + 1)) - math.log((a - b + 0.5) / (n - k + 1)) for a, b in words]
+    # a word that no labelled text holds counts as much as the bar for the lexicon
+    ratios = [r if a else math.log(RATIO) for r, (a, _) in zip(ratios, words, strict=True)]
+    return Odds(ratios, math.log((k + 0.5) / (n - k + 0.5)), (k0 + k / n) / (n0 + 1))
+
+
+def scored(odds: Odds) -> Column:
+    total = F.aggregate("found", F.lit(odds.prior), lambda s, w: s + F.get(F.array(*map(F.lit, odds.words)) if odds.words else F.array(F.lit(0.0)), w))
+    return F.when(F.size("found") == 0, F.lit(odds.bare)).otherwise(1 / (1 + F.exp(-total)))
 
 
 def held_out() -> Column:
@@ -329,16 +354,11 @@ def held_out() -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_words, n_hits of every row."""
+    """doc_id, held_out, score, predicted, n_words (distinct lexicon words) and
+    n_hits of every row."""
     learned = labels.filter(~held_out())
-    lexicon, precision = learn_lexicon(docs, learned)
+    lexicon, _ = learn_lexicon(docs, learned)
     found = evidence(docs, lexicon, character_model(docs, lexicon))
     marked = learned.filter("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rates = found.join(marked, "doc_id").groupBy(level().alias("level")).agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).collect()  # MOST + 1 rows
-    n, k = np.zeros(MOST + 1), np.zeros(MOST + 1)
-    for r in rates:
-        n[r["level"]], k[r["level"]] = r["n"], r["k"]
-    table = F.array(*(F.lit(float(x)) for x in monotone(n, k, precision)))
-    score = F.get(table, level()) if n.sum() else F.lit(0.5)
-    out = found.withColumn("score", score).withColumn("held_out", held_out())
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_words", "n_hits")
+    out = found.withColumns({"score": scored(learn_odds(found, marked, len(lexicon))), "held_out": held_out()})
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("found").cast("long").alias("n_words"), "n_hits")
