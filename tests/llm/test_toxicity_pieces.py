@@ -1,3 +1,4 @@
+import collections
 import zlib
 
 import numpy as np
@@ -183,16 +184,27 @@ def test_scores_equal_the_odds_of_the_words_found(spark, sf):
     marked = [(r.doc_id, r.toxic) for r in learned.collect() if r.toxic is not None and r.doc_id in found]
     n, k = len(marked), sum(t for _, t in marked)
     bare = [t for i, t in marked if not found[i]]
+    with_n = collections.Counter(w for i, _ in marked for w in found[i])
+    with_k = collections.Counter(w for i, t in marked if t for w in found[i])
+
+    def ratio(w, toxic=0, clean=0):
+        a, b = with_k[w] - toxic + 0.5, with_n[w] - with_k[w] - clean + 0.5
+        return math.log(a / (k - toxic + 1)) - math.log(b / (n - k - clean + 1))
+
+    x = np.array([math.floor(4 * sum(ratio(w, t, 1 - t) for w in found[i]) + 0.5) / 4 for i, t in marked if found[i]])
+    y = np.array([t for i, t in marked if found[i]])
+    shift, slope = 0.0, 1.0
+    for _ in range(20000):  # plain steps uphill
+        p = 1 / (1 + np.exp(-(shift + slope * x)))
+        shift += 0.05 * ((y - p).sum() - 0.01 * shift) / len(y)
+        slope += 0.05 * (((y - p) * x).sum() - (slope - 1)) / (x @ x)
     want = {}
     for i, words in found.items():
-        total = math.log((k + 0.5) / (n - k + 0.5))
-        for w in words:
-            seen = [t for j, t in marked if w in found[j]]
-            total += math.log((sum(seen) + 0.5) / (k + 1)) - math.log((len(seen) - sum(seen) + 0.5) / (n - k + 1)) if seen else math.log(toxicity.RATIO)
-        want[i] = 1 / (1 + math.exp(-total)) if words else (sum(bare) + k / n) / (len(bare) + 1)
+        total = sum(ratio(w) if with_n[w] else math.log(toxicity.RATIO) for w in words)
+        want[i] = 1 / (1 + math.exp(-(shift + slope * total))) if words else (sum(bare) + k / n) / (len(bare) + 1)
     got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
     assert got.keys() == want.keys()
-    assert all(abs(got[i].score - want[i]) < 1e-9 and got[i].predicted == (want[i] >= 0.3) for i in want)
+    assert all(abs(got[i].score - want[i]) < 0.01 and got[i].predicted == (got[i].score >= 0.3) for i in want)
 
 
 def test_short_words_and_signs_at_the_end():

@@ -41,6 +41,11 @@ BITMAP_BITS = 26
 #: A shingle in at least this many documents goes last; more in a large corpus,
 #: so that at most a quarter of the bitmap is set.
 FREQUENT = 32
+#: A range of shingles for about so many documents.
+RANGE_DOCS = 1024
+#: A class of at least so many rows (more, if that makes over ``HOT_CLASSES`` of
+#: them possible) isn't joined by its key, which one task would get.
+HOT_ROWS, HOT_CLASSES = 1000, 10_000
 
 
 def shingle_sets(text: pa.Array, width: int) -> list[np.ndarray]:
@@ -73,10 +78,11 @@ def frequent_bitmap(docs: DataFrame, width: int) -> np.ndarray:
 
     Tasks send the 32 highest bits of their shingles with counts, cut by range,
     one row a range; each range is merged alone and gives its part of the
-    bitmap.  The driver gets the bitmap only, 8 MB at any size.
+    bitmap.  There are more ranges the more documents there are, so a range stays
+    small.  The driver gets the bitmap only, 8 MB at any size.
     """
     spark = docs.sparkSession
-    bits = max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = min(20, max(8, (docs.count() // RANGE_DOCS).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -167,7 +173,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, bitmap: np.ndarray) -> D
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-ID_BITS = 26
+ID_BITS, PAGE_BITS = 26, 16
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -181,13 +187,18 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.unique(_slots(batch.column("id").to_numpy().astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 12), pa.array(at & 4095)], names=["page", "slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(at >> PAGE_BITS), pa.array(at & (1 << PAGE_BITS) - 1)], names=["page", "slot"])
 
-    pages = ids.select("id").mapInArrow(mark, "page bigint, slot bigint").groupBy("page").agg(F.collect_set("slot").alias("slots"))
-    marks = np.zeros(1 << ID_BITS, bool)
-    for page, slots in pages.collect():
-        marks[(page << 12) + np.array(slots)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks, bitorder="little"))
+    def pack(part: pa.Table) -> pa.Table:
+        marks = np.zeros(1 << PAGE_BITS, bool)
+        marks[part["slot"].to_numpy()] = True
+        return pa.table({"page": part["page"].slice(0, 1), "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    slots = ids.select("id").mapInArrow(mark, "page bigint, slot bigint").distinct()  # a page has 2**PAGE_BITS rows at most
+    bitmap = np.zeros(1 << (ID_BITS - 3), np.uint8)  # 8 MB at any size
+    for page, packed in slots.groupBy("page").applyInArrow(pack, "page bigint, bits binary").toLocalIterator():
+        bitmap[page << (PAGE_BITS - 3) : (page + 1) << (PAGE_BITS - 3)] = np.frombuffer(packed, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -239,6 +250,20 @@ def _sizes(n1: Column, n2: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)
 
 
+def class_members(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """doc_id, rep of every row of (doc_id, n, k1, k2).
+
+    Classes of one row need no join.  Those of many rows, of which there cannot
+    be more than ``HOT_CLASSES``, are sent to all tasks; the others are joined.
+    """
+    key = ["n", "k1", "k2"]
+    least = max(HOT_ROWS, total // HOT_CLASSES + 1)
+    hot = F.broadcast(classes.filter(F.col("m") >= least).select(*key, "rep"))
+    few = classes.filter((F.col("m") > 1) & (F.col("m") < least)).select(*key, "rep")
+    cold = rows.join(hot, key, "left_anti").join(few, key, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    return rows.join(hot, key).select("doc_id", "rep").union(cold)
+
+
 def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, class_id, component_id), one for each row of
     ``docs``, and links (a, b) between classes that span the components."""
@@ -246,9 +271,10 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> tup
     rows = materialize(prefixes(docs, width, percent, frequent_bitmap(docs, width)), "prefixes")
     filled = rows.filter("n > 0 and doc_id is not null")
     # 1. one class for each distinct set, led by the smallest id; an id with several texts joins their classes
-    classes = filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(filled.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("doc_id", "rep").distinct(), "members")
-    leads = filled.withColumn("ph", F.xxhash64("prefix")).join(classes, ["n", "k1", "k2"]).filter("doc_id = rep").select("rep", "n", "k1", "k2", "ph", "prefix")
+    classes = materialize(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "classes")
+    member = materialize(class_members(filled.select("doc_id", "n", "k1", "k2"), classes, rows.count()).distinct(), "members")
+    leads = filled.withColumn("ph", F.xxhash64("prefix")).join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "k1", "k2"])
+    leads = leads.select(col("doc_id").alias("rep"), "n", "k1", "k2", "ph", "prefix")
     leads = materialize(leads.dropDuplicates(["n", "k1", "k2"]).select("rep", "n", "ph", "prefix"), "leads")
     # 3. groups of classes with the same prefix and size
     groups = leads.groupBy("n", "ph").agg(F.min("rep").alias("g"))

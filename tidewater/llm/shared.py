@@ -7,6 +7,7 @@ helpers work on Arrow batches inside tasks and never hold more than a slice of
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,6 +74,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", slice_bytes: int =
         stop = max(start + 1, int(np.searchsorted(ends, done + slice_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of this Python worker goes back to the system: workers live on
+    for other tasks, beside the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
 
 
 def clean_text(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

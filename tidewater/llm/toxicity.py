@@ -8,9 +8,10 @@
     letters, a repeated letter or a separator may stand for nothing.  Viterbi
     finds the likeliest letters under the language model.
 4.  The distinct lexicon words of the restored text are a document's evidence.
-    Each has a log odds ratio, learned from the evidence of the labelled rows;
-    the score is the probability that their sum and the prior odds give, and
-    without evidence the share of toxic rows among labelled ones without any.
+    Each has a log odds ratio, learned from the evidence of the labelled rows.
+    The score is a logistic function of their sum, fitted to sums for which each
+    labelled row's own part was left out; without evidence it is the share of
+    toxic rows among labelled ones without any.
 
 Only counts are shuffled: by character trigram, by word of labelled rows and
 its neighbours, by word of the evidence.  The lexicon holds ``LEXICON`` words at most and is learned
@@ -211,13 +212,14 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON, sampl
     ``RATIO`` times that in others, beyond what chance gives among so many; the
     strongest first.  And the share of toxic ones among texts that hold one.
 
-    Support is counted twice: by text, and then for what stood out by distinct
-    neighbours, so that a passage copied into many texts counts once.
+    Support is counted twice: by text, and then for what stood out by texts that
+    are the first (by id) to hold the word between its two neighbours, so that a
+    passage or text copied many times counts once.
     """
     marked = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").filter("text is not null").select("toxic", "text")
-    told = materialize(rows.mapInArrow(_distinct_words, "toxic int, word string").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), "labelled-words")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").filter("text is not null").select("doc_id", "toxic", "text")
+    told = materialize(rows.select("toxic", "text").mapInArrow(_distinct_words, "toxic int, word string").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), "labelled-words")
     whole = told.filter("word is null").first()  # one row a text
     if whole is None or not whole["k"] or whole["k"] == whole["n"]:
         return [], 0.5
@@ -240,10 +242,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON, sampl
                     at = found[codes] if len(codes) else codes
                     hit = np.nonzero(at >= 0)[0]
                     names = pa.array(shared.value, pa.string()).take(pa.array(at[hit]))
-                    toxic = batch.column("toxic").take(pa.array(owner(offsets)[hit]))
-                    yield pa.RecordBatch.from_arrays([names, pa.array(around[hit].view(np.int64)), toxic], names=["word", "around", "toxic"])
+                    own = pa.array(owner(offsets)[hit])
+                    yield pa.RecordBatch.from_arrays(
+                        [names, pa.array(around[hit].view(np.int64)), batch.column("doc_id").take(own), batch.column("toxic").take(own)], names=["word", "around", "doc_id", "toxic"]
+                    )
 
-    met = rows.mapInArrow(contexts, "word string, around bigint, toxic int").groupBy("word", "around").agg(F.max("toxic").alias("toxic"))
+    met = rows.mapInArrow(contexts, "word string, around bigint, doc_id bigint, toxic int")
+    met = met.groupBy("word", "around").agg(F.min("doc_id").alias("first"), F.max("toxic").alias("toxic")).groupBy("word", "first").agg(F.max("toxic").alias("toxic"))
     kept = _strong(met.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k")), n, k, bar).orderBy(F.desc("g"), "word").collect()
     kept = [r for r in kept if r["word"][-1] != "*" or r["n"] - r["k"] <= IMPURE * r["n"]]
     stems = {r["word"][:-1] for r in kept if r["word"][-1] == "*"}
@@ -319,14 +324,45 @@ def evidence(docs: DataFrame, lexicon: list[str], model: np.ndarray) -> DataFram
 
 @dataclass
 class Odds:
-    """Log odds ratios of lexicon words, prior log odds, and the share of toxic
-    rows among those without evidence."""
+    """Log odds ratios of lexicon words, the logistic function of their sum, and
+    the share of toxic rows among those without evidence."""
 
     words: list[float]
-    prior: float
+    shift: float
+    slope: float
     bare: float
 
 
+def log_ratio(k, n, toxic, clean):
+    """Of a word that k of ``toxic`` and n - k of ``clean`` texts hold; for
+    numbers and columns alike."""
+    log = F.log if isinstance(k, Column) else math.log
+    return log((k + 0.5) / (toxic + 1.0)) - log((n - k + 0.5) / (clean + 1.0))
+
+
+def fit_logistic(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> tuple[float, float]:
+    """Shift and slope for k of n rows at each x: Newton's method with halved
+    steps; weak priors (shift 0, slope 1) keep both finite."""
+
+    def gain(at: np.ndarray) -> float:
+        z = at[0] + at[1] * x
+        return float((k * z - n * np.logaddexp(0, z)).sum() - 0.005 * at[0] ** 2 - 0.5 * (at[1] - 1) ** 2)
+
+    at = np.array([0.0, 1.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at[0] + at[1] * x, -500, 500)))
+        w = n * p * (1 - p)
+        g = np.array([(k - n * p).sum() - 0.01 * at[0], ((k - n * p) * x).sum() - (at[1] - 1)])
+        h = np.array([[w.sum() + 0.01, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1]])
+        step = np.linalg.solve(h, g)
+        while gain(at + step) < gain(at) and np.abs(step).max() > 1e-12:
+            step = step / 2
+        at = at + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(at[0]), float(at[1])
+
+
 def learn_odds(found: DataFrame, marked: DataFrame, size: int) -> Odds:
     """From the evidence of labelled rows (doc_id, toxic)."""
     rows = found.join(marked, "doc_id").select("toxic", "found")
@@ -336,16 +372,23 @@ def learn_odds(found: DataFrame, marked: DataFrame, size: int) -> Odds:
     (n0, k0), (n1, k1) = got.get(-1, (0, 0)), got.get(-2, (0, 0))
     n, k = n0 + n1, k0 + k1
     if not n:
-        return Odds([0.0] * size, 0.0, 0.5)
+        return Odds([0.0] * size, 0.0, 0.0, 0.5)
     words = [got.get(w, (0, 0)) for w in range(size)]
-    ratios = [math.log((b + 0.5) / (k + 1)) - math.log((a - b + 0.5) / (n - k + 1)) for a, b in words]
     # a word that no labelled text holds counts as much as the bar for the lexicon
-    ratios = [r if a else math.log(RATIO) for r, (a, _) in zip(ratios, words, strict=True)]
-    return Odds(ratios, math.log((k + 0.5) / (n - k + 0.5)), (k0 + k / n) / (n0 + 1))
+    ratios = [log_ratio(b, a, k, n - k) if a else math.log(RATIO) for a, b in words]
+    with_n, with_k = (F.array(*(F.lit(float(x)) for x in [*column, 0])) for column in ([a for a, _ in words], [b for _, b in words]))
+    toxic = F.col("toxic").cast("double")
+    without = F.aggregate("found", F.lit(0.0), lambda s, w: s + log_ratio(F.get(with_k, w) - toxic, F.get(with_n, w) - 1, k - toxic, n - k - 1 + toxic))
+    bins = rows.filter(F.size("found") > 0).groupBy(F.round(without * 4).alias("bin")).agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).orderBy("bin").toArrow()
+    x, of, hit = (bins[c].to_numpy().astype(float) for c in ("bin", "n", "k"))  # a row for each quarter of a unit
+    shift, slope = fit_logistic(np.clip(x / 4, -30, 30), of, hit)
+    return Odds(ratios, shift, slope, (k0 + k / n) / (n0 + 1))
 
 
 def scored(odds: Odds) -> Column:
-    total = F.aggregate("found", F.lit(odds.prior), lambda s, w: s + F.get(F.array(*map(F.lit, odds.words)) if odds.words else F.array(F.lit(0.0)), w))
+    words = F.array(*map(F.lit, [*odds.words, 0.0]))
+    total = F.aggregate("found", F.lit(0.0), lambda s, w: s + F.get(words, w))
+    total = F.lit(odds.shift) + F.lit(odds.slope) * F.greatest(F.least(total, F.lit(30.0)), F.lit(-30.0))
     return F.when(F.size("found") == 0, F.lit(odds.bare)).otherwise(1 / (1 + F.exp(-total)))
 
 
