@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewater.functions import textsearch
+
 
 def contains(a: Column, b: Column) -> Column:
     """a @> b."""
@@ -23,16 +25,50 @@ def slice_(a: Column, low: int, high: int) -> Column:
     return F.slice(a, low, high - low + 1) if high >= low else F.slice(a, 1, 0)
 
 
-def any_(a: Column, test) -> Column:
-    return F.exists(a, test)
+#: Comparisons by their signs.
+COMPARE = {
+    "=": lambda x, y: x == y, "<>": lambda x, y: x != y, "<": lambda x, y: x < y,
+    "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y,
+}
+
+
+def any_(x: Column, sign: str, a: Column) -> Column:
+    """x sign ANY (array): true, false, or null if only nulls keep it from false."""
+    return F.exists(a, lambda y: COMPARE[sign](x, y))
+
+
+def all_(x: Column, sign: str, a: Column) -> Column:
+    return F.forall(a, lambda y: COMPARE[sign](x, y))
+
+
+def dims(a: Column) -> Column:
+    """``[1:n]``; null for an empty array."""
+    return F.when(F.size(a) > 0, F.concat(F.lit("[1:"), F.size(a), F.lit("]")))
+
+
+def ndims(a: Column) -> Column:
+    return F.when(F.size(a) > 0, 1)
+
 
+def bounds(a: Column) -> tuple[Column, Column]:
+    """The lowest and highest subscript; null for an empty array."""
+    return ndims(a), F.when(F.size(a) > 0, F.size(a))
 
-def all_(a: Column, test) -> Column:
-    return F.forall(a, test)
 
+def subscripts(a: Column) -> Column:
+    """All subscripts, to be exploded."""
+    return F.when(F.size(a) > 0, F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-def fill(value: Column, n: int) -> Column:
-    return F.array_repeat(value, n)
+
+def assign(a: Column, at: int, value: Column) -> Column:
+    """a[at] := value; beyond the end, nulls fill the gap."""
+    grown = F.concat(a, F.array_repeat(F.lit(None), F.greatest(F.lit(at) - F.size(a), F.lit(0))))
+    return F.transform(grown, lambda x, i: F.when(i == at - 1, value).otherwise(x))
+
+
+def matches_int(a: Column, query: str) -> Column:
+    """A boolean query of integers, such as ``1&(2|3)&!4``."""
+    return textsearch.matches(a.cast("array<string>"), query)
 
 
 def to_string(a: Column, delimiter: str) -> Column:
@@ -51,10 +87,6 @@ def uniq(a: Column) -> Column:
     return F.transform(kept, lambda i: F.get(a, i))
 
 
-def idx(a: Column, x: Column) -> Column:
-    return F.array_position(a, x)
-
-
 # maps
 
 
@@ -76,6 +108,14 @@ def hs_defined(a: Column, key: Column) -> Column:
     return F.coalesce(F.try_element_at(a, key).isNotNull(), F.lit(False))
 
 
+def hs_from_arrays(keys: Column, values: Column) -> Column:
+    return F.map_from_arrays(keys, values)
+
+
+def hs_slice(a: Column, keys: Column) -> Column:
+    return F.map_filter(a, lambda k, _: F.array_contains(keys, k))
+
+
 # cubes: the corners as two arrays
 
 
@@ -104,6 +144,44 @@ def cube_overlap(la: Column, ha: Column, lb: Column, hb: Column) -> Column:
     return F.forall(F.arrays_zip(la.alias("a"), ha.alias("b"), lb.alias("c"), hb.alias("d")), lambda z: (z["a"] <= z["d"]) & (z["c"] <= z["b"]))
 
 
+def cube_enlarge(low: Column, high: Column, by: float) -> tuple[Column, Column]:
+    """Moved apart by ``by`` on each side; where that turns a side round, it
+    becomes the middle."""
+    wide = F.zip_with(low, high, lambda a, b: F.struct((a - by).alias("a"), (b + by).alias("b"), ((a + b) / 2).alias("m")))
+    return F.transform(wide, lambda z: F.when(z["a"] > z["b"], z["m"]).otherwise(z["a"])), F.transform(wide, lambda z: F.when(z["a"] > z["b"], z["m"]).otherwise(z["b"]))
+
+
+def cube_subset(corner: Column, axes: list[int]) -> Column:
+    """Axes of a corner, counted from 1, in the order named."""
+    return F.array(*(F.element_at(corner, k) for k in axes))
+
+
+# line segments (intervals of numbers): low and high
+
+
+def seg_parse(text: Column) -> tuple[Column, Column]:
+    """``a .. b``, ``a ..``, ``.. b``, ``a(+-)d`` or ``a``; marks of certainty
+    (``< > ~``) are passed over."""
+    number = r"([-+]?[0-9.]*[0-9](?:[eE][-+]?[0-9]+)?)"
+    bare = F.regexp_replace(text, "[<>~ ]", "")
+    around = bare.rlike(rf"^{number}\(\+-\){number}$")
+    middle, by = (F.regexp_extract(bare, rf"^{number}\(\+-\){number}$", k).try_cast("double") for k in (1, 2))
+    ranged = F.contains(bare, F.lit(".."))
+    left, right = F.split_part(bare, F.lit(".."), F.lit(1)).try_cast("double"), F.split_part(bare, F.lit(".."), F.lit(2)).try_cast("double")
+    one = bare.try_cast("double")
+    low = F.when(around, middle - by).when(ranged, F.coalesce(left, F.lit(float("-inf")))).otherwise(one)
+    high = F.when(around, middle + by).when(ranged, F.coalesce(right, F.lit(float("inf")))).otherwise(one)
+    return low, high
+
+
+def seg_overlap(la: Column, ha: Column, lb: Column, hb: Column) -> Column:
+    return (la <= hb) & (lb <= ha)
+
+
+def seg_contains(la: Column, ha: Column, lb: Column, hb: Column) -> Column:
+    return (la <= lb) & (hb <= ha)
+
+
 # label paths
 
 
@@ -128,6 +206,23 @@ def lca(a: Column, b: Column) -> Column:
     return F.array_join(F.slice(x, F.lit(1), F.coalesce(F.array_max(same), F.lit(0))), ".")
 
 
+def path_index(path: Column, part: Column) -> Column:
+    """Where the labels of ``part`` first stand in ``path``, from 0; -1 if nowhere."""
+    x, y = F.split(path, r"\."), F.split(part, r"\.")
+    places = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: F.slice(x, i, F.size(y)) == y)
+    return F.coalesce(F.array_min(places) - 1, F.lit(-1))
+
+
+def ltxtquery(path: Column, query: str) -> Column:
+    """A boolean query of whole labels, case ignored, in any place."""
+    return textsearch.matches(F.split(F.lower(path), r"\."), query)
+
+
+def any_ancestor(paths: Column, path: Column) -> Column:
+    """Whether one of an array of paths is ``path`` or above it."""
+    return F.exists(paths, lambda p: is_ancestor(p, path))
+
+
 def lquery(path: Column, query: str) -> Column:
     """Path patterns: ``*``, ``*{n}``, ``*{n,m}``, ``a|b``, ``!a``, ``a*``, ``a@``."""
     out = ""

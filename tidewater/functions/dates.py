@@ -82,3 +82,55 @@ def justify_days(months: Column, days: Column) -> tuple[Column, Column]:
     """Whole months of 30 days move to the months: (months, days)."""
     moved = F.when(days >= 0, F.floor(days / 30)).otherwise(F.ceil(days / 30))
     return months + moved, days - moved * 30
+
+
+def justify_interval(months: Column, days: Column, micros: Column) -> tuple[Column, Column, Column]:
+    """Hours move to the days, days to the months, and all take one sign."""
+    days, micros = justify_hours(days, micros)
+    months, days = justify_days(months, days)
+    back = (months > 0) & ((days < 0) | ((days == 0) & (micros < 0)))
+    on = (months < 0) & ((days > 0) | ((days == 0) & (micros > 0)))
+    turn = F.when(back, -1).when(on, 1).otherwise(0)
+    months, days = months + turn, days - turn * 30
+    back, on = (days > 0) & (micros < 0), (days < 0) & (micros > 0)
+    turn = F.when(back, -1).when(on, 1).otherwise(0)
+    return months, days + turn, micros - turn * F.lit(86_400_000_000)
+
+
+def at_time_zone(local: Column, zone: str) -> Column:
+    """The instant of a local time in a zone (a timestamp of the session)."""
+    return F.to_utc_timestamp(local.cast("timestamp"), zone)
+
+
+def in_time_zone(instant: Column, zone: str) -> Column:
+    """The local time of an instant in a zone."""
+    return F.from_utc_timestamp(instant, zone)
+
+
+def to_timestamp(value: Column, text: str) -> Column:
+    return F.to_timestamp(value, template(text))
+
+
+def from_epoch(seconds: Column) -> Column:
+    return F.timestamp_seconds(seconds)
+
+
+def difference(a: Column, b: Column) -> tuple[Column, Column]:
+    """timestamp - timestamp: whole days and the rest in microseconds."""
+    micros = F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))
+    return justify_hours(F.lit(0).cast("long"), micros)
+
+
+def times(days: Column, micros: Column, factor: Column) -> tuple[Column, Column]:
+    """interval * number: a part of a day goes to the time."""
+    exact = days * factor
+    whole = F.when(exact >= 0, F.floor(exact)).otherwise(F.ceil(exact))
+    return whole, F.round(micros * factor + (exact - whole) * F.lit(86_400_000_000)).cast("long")
+
+
+def add_interval(ts: Column, days: Column, micros: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(ts.cast("timestamp")) + days.cast("long") * F.lit(86_400_000_000) + micros)
+
+
+def date_plus_time(day: Column, hours: Column, minutes: Column) -> Column:
+    return add_interval(day.cast("timestamp"), F.lit(0), (hours * 60 + minutes).cast("long") * F.lit(60_000_000).cast("long"))

@@ -71,3 +71,52 @@ def within(a: Column, b: Column) -> Column:
     """a << b: a's network lies in b's and is smaller."""
     size = F.pow(F.lit(2), 32 - masklen(b)).cast("long")
     return (masklen(a) > masklen(b)) & (F.floor(inet_value(a) / size) == F.floor(inet_value(b) / size))
+
+
+def netmask(address: Column) -> Column:
+    return inet_text(F.lit(2**32) - F.pow(F.lit(2), 32 - masklen(address)).cast("long"))
+
+
+def hostmask(address: Column) -> Column:
+    return inet_text(F.pow(F.lit(2), 32 - masklen(address)).cast("long") - 1)
+
+
+def set_masklen(address: Column, bits: int) -> Column:
+    return F.concat(F.split_part(address, F.lit("/"), F.lit(1)), F.lit(f"/{bits}"))
+
+
+def host(address: Column) -> Column:
+    return F.split_part(address, F.lit("/"), F.lit(1))
+
+
+def macaddr(text: Column) -> Column:
+    """A hardware address in any usual spelling, in lower case with colons."""
+    digits = F.lower(F.regexp_replace(text, "[^0-9A-Fa-f]", ""))
+    spelled = F.regexp_replace(digits, "(..)(?=.)", "$1:")
+    return F.when(F.length(digits) == 12, spelled).otherwise(F.raise_error(F.concat(F.lit("invalid hardware address: "), text)))
+
+
+def macaddr_trunc(address: Column) -> Column:
+    """The maker's part, the rest zero."""
+    return F.concat(F.left(address, F.lit(8)), F.lit(":00:00:00"))
+
+
+def xmlconcat(*parts: Column) -> Column:
+    """Null parts are left out; null if all are."""
+    return F.when(F.coalesce(*(p.cast("string") for p in parts)).isNotNull(), F.concat_ws("", *parts))
+
+
+def xmlcomment(text: Column) -> Column:
+    bad = F.contains(text, F.lit("--")) | F.endswith(text, F.lit("-"))
+    return F.when(bad, F.raise_error(F.lit("invalid XML comment"))).otherwise(F.concat(F.lit("<!--"), text, F.lit("-->")))
+
+
+def xmlpi(name: str, content: Column | None = None) -> Column:
+    if name.lower() == "xml":
+        raise ValueError("a processing instruction cannot be named xml")
+    return F.lit(f"<?{name}?>") if content is None else F.concat(F.lit(f"<?{name} "), F.ltrim(content), F.lit("?>"))
+
+
+def xmlroot(document: Column, version: str = "1.0", standalone: bool | None = None) -> Column:
+    alone = "" if standalone is None else f' standalone="{"yes" if standalone else "no"}"'
+    return F.concat(F.lit(f'<?xml version="{version}"{alone}?>'), F.regexp_replace(document, r"^<\?xml [^>]*\?>", ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: So many rows or states at most meet in one array of a merged aggregate's first steps.
@@ -20,7 +20,7 @@ def array_agg(value: Column, *order: Column) -> Column:
 
 def exact_avg(value: Column) -> Column:
     """The mean of integers as a decimal."""
-    return F.avg(value.cast("decimal(20,0)"))
+    return F.avg(value.cast("decimal(20,6)"))
 
 
 def xmlagg(value: Column, *order: Column) -> Column:
@@ -54,3 +54,8 @@ def merged_aggregate(
     states = rows.groupBy(*by, "_chunk").agg(F.aggregate(F.collect_list(F.struct("_v")), zero, lambda a, x: step(a, x["_v"])).alias("_s"))
     states = states.groupBy(*by, F.pmod(F.xxhash64("_chunk"), F.lit(CHUNK)).alias("_salt")).agg(F.aggregate(F.collect_list(F.struct("_s")), zero, lambda a, x: merge(a, x["_s"])).alias("_s"))
     return states.groupBy(*by).agg(F.aggregate(F.collect_list(F.struct("_s")), zero, lambda a, x: merge(a, x["_s"]), final).alias(name))
+
+
+def normal_rand(spark: SparkSession, n: int, mean: float, deviation: float, seed: int | None = None) -> DataFrame:
+    """``n`` normally distributed values."""
+    return spark.range(n).select((F.randn(seed) * deviation + mean).alias("value"))

@@ -17,14 +17,6 @@ def natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, shared, how) if shared else left.crossJoin(right)
 
 
-def exists(left: DataFrame, right: DataFrame, on: Column | list[str]) -> DataFrame:
-    return left.join(right, on, "left_semi")
-
-
-def not_exists(left: DataFrame, right: DataFrame, on: Column | list[str]) -> DataFrame:
-    return left.join(right, on, "left_anti")
-
-
 def not_in(left: DataFrame, column: str, right: DataFrame, value: str) -> DataFrame:
     """``column NOT IN (SELECT value ...)`` with SQL's nulls: no row passes when
     the right side holds a null, no null passes unless the right side is empty.
@@ -50,3 +42,44 @@ def scalar(df: DataFrame, value: DataFrame) -> DataFrame:
 def row(*columns: str) -> Column:
     """A row value; compares field by field."""
     return F.struct(*(F.col(c).alias(f"f{i}") for i, c in enumerate(columns)))
+
+
+def compare_any(left: DataFrame, column: str, sign: str, right: DataFrame, value: str, name: str) -> DataFrame:
+    """``left`` with ``name``: whether ``column sign ANY (SELECT value ...)``, null
+    if only nulls keep it from being false.  The right side becomes one row."""
+    return _compared(left, column, sign, right, value, name, True)
+
+
+def compare_all(left: DataFrame, column: str, sign: str, right: DataFrame, value: str, name: str) -> DataFrame:
+    """Whether ``column sign ALL (SELECT value ...)``; true for no rows."""
+    return _compared(left, column, sign, right, value, name, False)
+
+
+def _compared(left: DataFrame, column: str, sign: str, right: DataFrame, value: str, name: str, some: bool) -> DataFrame:
+    x, low, high = F.col(column), F.col("_low"), F.col("_high")
+    if (sign, some) in (("=", True), ("<>", False)):
+        found = right.filter(F.col(value).isNotNull()).select(F.col(value).alias(column)).distinct().withColumn("_in", F.lit(True))
+        left = left.join(found, column, "left")
+        told = F.coalesce("_in", F.lit(False)) if some else F.col("_in").isNull()
+    else:
+        least, most = (low, high) if some else (high, low)
+        told = {"<": x < most, "<=": x <= most, ">": x > least, ">=": x >= least, "=": (x == low) & (x == high), "<>": (x != low) | (x != high)}[sign]
+    one = right.agg(F.count("*").alias("_n"), F.count(F.col(value)).alias("_known"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    settled = F.when(F.col("_n") == 0, F.lit(not some)).when(x.isNull(), F.lit(None).cast("boolean"))
+    settled = settled.when((F.col("_known") > 0) & (told if some else ~told), F.lit(some)).when(F.col("_n") > F.col("_known"), F.lit(None).cast("boolean")).otherwise(F.lit(not some))
+    return left.join(F.broadcast(one)).withColumn(name, settled).drop("_n", "_known", "_low", "_high", "_in")  # one row
+
+
+def array_of(df: DataFrame, rows: DataFrame, on: list[str], value: Column, order: list[str], name: str) -> DataFrame:
+    """``df`` with ARRAY(SELECT value ... ORDER BY order) for its key; empty
+    without rows."""
+    lists = rows.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*order, value.alias("_value")))).alias("_list"))
+    kind = rows.select(value.alias("v")).schema["v"].dataType.simpleString()
+    got = F.transform("_list", lambda z: z["_value"])
+    return df.join(lists, on, "left").withColumn(name, F.coalesce(got, F.array().cast(f"array<{kind}>"))).drop("_list")
+
+
+def unique_inner(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``left`` for the distinct keys of ``right``: the join with a
+    right side made unique first."""
+    return left.join(right.select(*on).distinct(), on)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.sources.tables import scratch_path
+from tidewater.sources.tables import cut
 
 
 def key(k: str | Column) -> Column:
@@ -47,8 +47,9 @@ def distinct_on(df: DataFrame, by: list[str], order: list[str | Column]) -> Data
 
 def numbered(df: DataFrame, order: list[str | Column], name: str = "rn") -> DataFrame:
     """Rows numbered from 1 in a total order, without one task for all rows:
-    ranges are sorted in parallel and numbered behind the counts of those before."""
-    ranged = order_by(df, *order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    ranges are sorted in parallel and numbered behind the counts of those before.
+    The ranges are written once, so that both uses see the same ones."""
+    ranged = cut(order_by(df, *order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "ranges")
     per = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = per.select("_part", "_first", before.alias("_before"))
@@ -59,10 +60,7 @@ def running_sum(df: DataFrame, order: list[str | Column], value: str, running: s
     """SUM(value) OVER (ORDER BY ...), peers included, and OVER (), without one
     task for all rows: ranges are summed in parallel behind the sums of those
     before.  The ranges are written once, so that both uses see the same ones."""
-    path = scratch_path(df.sparkSession, "ranges")
-    ranged = order_by(df, *order).withColumn("_part", F.spark_partition_id())
-    ranged.write.parquet(path)
-    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    ranged = cut(order_by(df, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     per = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = per.select("_part", before.alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias(total))

@@ -60,6 +60,20 @@ def connect_by(rows: DataFrame, key: str, parent: str, start: object, depth: int
     return recursive_union(seed, step, distinct=False)
 
 
+def paths(edges: DataFrame, start: DataFrame, depth: int = 0) -> DataFrame:
+    """All paths along edges (parent, child) from the nodes of ``start``: node,
+    path and ``cycle``, true where the last node stands in the path before; a path
+    ends there."""
+    seed = start.select("node", F.array("node").alias("path"), F.lit(False).alias("cycle"))
+
+    def step(last: DataFrame) -> DataFrame:
+        going = last.filter(~F.col("cycle") & ((F.size("path") <= depth) if depth else F.lit(True)))
+        met = going.join(edges, F.col("node") == F.col("parent"))
+        return met.select(F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cycle"))
+
+    return recursive_union(seed, step, distinct=False)
+
+
 def crosstab(df: DataFrame, row: str, category: str, value: Column, categories: list[str]) -> DataFrame:
     """One column a category; categories without a row are null."""
     return df.groupBy(row).pivot(category, categories).agg(value)

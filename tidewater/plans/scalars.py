@@ -58,7 +58,7 @@ def num_arith(spark: SparkSession, sf: str) -> DataFrame:
     k, q, n = F.col("l_partkey"), F.col("l_quantity"), F.col("l_linenumber")
     return load(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", numbers.int_div(k, F.lit(7)).alias("d"), (k % 7).alias("m"), (-F.col("l_orderkey")).alias("neg"), F.abs(n - 4).alias("a"),
-        F.round(F.ln(q), 9).alias("ln"), F.round(F.sqrt(q), 9).alias("root"), F.round(numbers.cbrt(q), 9).alias("cube_root"), F.round(F.exp("l_discount"), 9).alias("e"),
+        F.round(F.ln(q), 9).alias("ln"), F.round(F.sqrt(q), 9).alias("root"), F.round(F.cbrt(q), 9).alias("cube_root"), F.round(F.exp("l_discount"), 9).alias("e"),
         F.round(F.pow(q, 2), 4).alias("p"), F.signum(F.col("l_discount") - 0.05).alias("s"),
     )
 
@@ -144,13 +144,13 @@ def arr_setops(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", text(F.array_union(a, b)).alias("u"), text(F.array_intersect(a, b)).alias("i"), arrays.contains(a, b).alias("contains"), arrays.overlap(a, b).alias("overlaps"))
 
 
-@PLANS.query("SELECT vec_id, i - 1 AS place, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE label = 1)")
+@PLANS.query("SELECT vec_id, i - 1 AS place, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def unnest(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "embeddings").filter("label = 1")
+    e = load(spark, sf, "embeddings")
     return e.select("vec_id", F.posexplode("embedding").alias("place", "value")).select("vec_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-@PLANS.query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS t, 'b' AS a_wins, NOT event_type = 'click' AS kept FROM events""")
+@PLANS.query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS t, json_extract_string(json_merge_patch(json_merge_patch(props, json_object('t', event_type, 'a', 'a')), '{"a":"b"}'), '$.a') AS a_wins, NOT event_type = 'click' AS kept FROM events""")
 def map_ops(spark: SparkSession, sf: str) -> DataFrame:
     m = F.from_json("props", "map<string,string>")
     m = arrays.hs_concat(m, F.create_map(F.lit("t"), F.col("event_type"), F.lit("a"), F.lit("a")))
@@ -225,7 +225,7 @@ def inet_ops(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@PLANS.query("""SELECT p_partkey, 3 AS levels, p_type AS top, (p_type = 'ECONOMY' AND p_name LIKE 'red%') AS hit FROM part""")
+@PLANS.query("""SELECT p_partkey, CAST(len(string_split(p_type || '.' || replace(p_name, ' ', '_') || '.' || replace(p_brand, '#', ''), '.')) AS INTEGER) AS levels, p_type AS top, (p_type = 'ECONOMY' AND p_name LIKE 'red%') AS hit FROM part""")
 def path_ops(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat_ws(".", "p_type", F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.replace(F.col("p_brand"), F.lit("#"), F.lit("")))
     return load(spark, sf, "part").select("p_partkey", arrays.nlevel(path).alias("levels"), arrays.subpath(path, 0, 1).alias("top"), arrays.lquery(path, "ECONOMY.red*.*{1}").alias("hit"))
