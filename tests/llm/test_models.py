@@ -139,3 +139,17 @@ def test_language_model_without_training_rows(spark):
     held = next(i for i in range(1000) if crc32(str(i).encode()) % 10 == 0)
     got = language_model.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0)]
+
+
+def test_recall_of_planted_pairs(spark):
+    """Every 50th row against all rows: pairs at cosines from 0.9 on are found."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x[1000:2000] = x[:1000] + rng.uniform(0.05, 0.5, (1000, 1)) * rng.standard_normal((1000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {i: int((unit @ unit[i] >= 0.9).sum()) - 1 for i in range(0, 3000, 50)}
+    assert sum(want.values()) > 5 and all(got[i] <= want[i] for i in want)
+    assert sum(got[i] for i in want) >= 0.99 * sum(want.values())

@@ -3,10 +3,12 @@
 Vectors are scaled to length one and turned by random rotations.  What is stored
 of a vector (its record) are the signs of the turned components, a correction
 factor (how far the code points from the vector), and the turned components in
-``LEVELS`` steps with random rounding, as bit planes.  Counting the common bits of
-one record's code and another's planes gives an unbiased estimate of their inner
-product, and the factors a bound that holds with ``DEVIATIONS`` standard
-deviations.
+``LEVELS`` steps with random rounding, as bit planes; for ``TURNS`` rotations.  One
+record's code and another's planes give an unbiased estimate of their inner
+product.  The mean over rotations and over both ways round has a bound that holds
+with ``DEVIATIONS`` standard deviations, which the factors give.  Records are
+unpacked in the task, where all estimates of a bucket are one product of small
+matrices.
 
 1.  Parts of the codes (bands) place records in buckets, in so many tables that a
     pair at the threshold is met with ``RECALL``.  Only records are shuffled.  A
@@ -46,13 +48,15 @@ from tidewater.llm.shared import materialize, mix
 
 THRESHOLD = 0.9
 RECALL = 0.998
-DEVIATIONS = 4.0
+DEVIATIONS = 3.5
 BLOCK = 2048
 #: Buckets hold about so many vectors.
 BUCKET = 512
 SEED = 20
 #: Rows of a bucket estimated at a time, and pairs recomputed at a time.
 ROWS, PAIRS = 128, 1 << 16
+#: Rotations that estimates use; bands take more if they need more bits.
+TURNS = 2
 PLANES = 4
 LEVELS = (1 << PLANES) - 1
 
@@ -73,8 +77,8 @@ def tables(rows: int, threshold: float) -> tuple[int, int]:
 
 @dataclass
 class Records:
-    """What is stored of vectors: words of sign bits, words of the first
-    rotation's bit planes, and (factor, lowest level, step)."""
+    """What is stored of vectors: words of sign bits, words of bit planes, and
+    (factor, lowest level, step) of each rotation used for estimates."""
 
     dim: int
     code: np.ndarray
@@ -84,14 +88,13 @@ class Records:
     def packed(self) -> list[bytes]:
         return [a.tobytes() + b.tobytes() + c.tobytes() for a, b, c in zip(self.code, self.planes, self.scale, strict=True)]
 
-    def take(self, at: np.ndarray) -> Records:
-        return Records(self.dim, self.code[at], self.planes[at], self.scale[at])
+    def signs(self) -> np.ndarray:
+        """Rows by rotations by components: 0 or 1."""
+        return _bits(self.code, self.dim)
 
     def keys(self, bits: int, count: int) -> np.ndarray:
         """The ``count`` band keys of each row."""
-        words = -(-self.dim // 64)
-        signs = np.unpackbits(self.code.view(np.uint8).reshape(len(self.code), -1, words * 8), axis=2, bitorder="little")[:, :, : self.dim]
-        signs = signs.reshape(len(self.code), -1)[:, : bits * count].reshape(len(self.code), count, bits)
+        signs = self.signs().reshape(len(self.code), -1)[:, : bits * count].reshape(len(self.code), count, bits)
         return signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -102,45 +105,67 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=-1, bitorder="little").view("<u8")
 
 
+def _bits(words: np.ndarray, dim: int) -> np.ndarray:
+    """Rows of words as rows by parts by ``dim`` bits."""
+    wide = -(-dim // 64) * 8
+    return np.unpackbits(words.view(np.uint8).reshape(len(words), -1, wide), axis=2, bitorder="little")[:, :, :dim]
+
+
 def make_records(unit: np.ndarray, turns: int, seeds: np.ndarray) -> Records:
     """``seeds``: one number a row, which its rounding depends on."""
     n, dim = unit.shape
-    turned = unit @ rotations(dim, turns)
-    code = _words((turned > 0).reshape(n, turns, dim)).reshape(n, -1)
-    first = turned[:, :dim]
-    low = first.min(1)
-    step = np.maximum((first.max(1) - low) / LEVELS, 1e-12)
-    dither = mix(mix(seeds.astype(np.uint64))[:, None] + np.arange(dim, dtype=np.uint64)).astype(np.float64) / 2.0**64
-    level = np.clip(np.floor((first - low[:, None]) / step[:, None] + dither), 0, LEVELS).astype(np.int64)
-    planes = _words((level[:, None, :] >> np.arange(PLANES)[:, None]) & 1 > 0).reshape(n, -1)
-    factor = np.abs(first).sum(1) / math.sqrt(dim)  # the code's inner product with its vector
-    return Records(dim, code, planes, np.stack([factor, low, step], 1))
+    turned = (unit @ rotations(dim, max(turns, TURNS))).reshape(n, -1, dim)
+    code = _words(turned > 0).reshape(n, -1)
+    used = turned[:, :TURNS]
+    low = used.min(2)
+    step = np.maximum((used.max(2) - low) / LEVELS, 1e-12)
+    dither = mix(mix(seeds.astype(np.uint64))[:, None] + np.arange(TURNS * dim, dtype=np.uint64)).astype(np.float64) / 2.0**64
+    level = np.clip(np.floor((used - low[:, :, None]) / step[:, :, None] + dither.reshape(used.shape)), 0, LEVELS).astype(np.int64)
+    planes = _words((level[:, :, None, :] >> np.arange(PLANES)[:, None]) & 1 > 0).reshape(n, -1)
+    factor = np.abs(used).sum(2) / math.sqrt(dim)  # the code's inner product with its vector
+    return Records(dim, code, planes, np.stack([factor, low, step], 2).astype(np.float32))
 
 
 def read_records(packed: pa.Array, dim: int, turns: int) -> Records:
     words = -(-dim // 64)
-    raw = np.frombuffer(b"".join(packed.to_pylist()), "<u8").reshape(len(packed), -1)
-    a, b = words * turns, words * (turns + PLANES)
-    return Records(dim, np.ascontiguousarray(raw[:, :a]), np.ascontiguousarray(raw[:, a:b]), raw[:, b:].view(np.float64))
-
-
-def upper(left: Records, right: Records) -> np.ndarray:
-    """Upper confidence bounds of all inner products, from planes of ``left`` and
-    codes and factors of ``right``."""
-    dim, words = left.dim, -(-left.dim // 64)
-    code = right.code[:, :words]
-    planes = left.planes.reshape(len(left.code), PLANES, words)
-    common = np.zeros((len(left.code), len(code)), np.int32)
-    for k in range(PLANES):
-        for w in range(words):
-            common += np.bitwise_count(planes[:, k, w, None] & code[None, :, w]).astype(np.int32) << k
-    ones = np.bitwise_count(code).sum(1, dtype=np.int64)
-    total = (np.bitwise_count(planes).sum(2, dtype=np.int64) << np.arange(PLANES)).sum(1)
-    factor, (low, step) = right.scale[:, 0], left.scale[:, 1:].T
-    # the code's components are +-1/sqrt(dim), the vector's low + step * level
-    product = low[:, None] * (2 * ones - dim)[None] + step[:, None] * (2 * common - total[:, None])
-    spread = np.sqrt(np.maximum(1 - factor**2, 0) / max(dim - 1, 1))[None] + (step / 2)[:, None]
-    return (product / math.sqrt(dim) + DEVIATIONS * spread) / factor[None]
+    raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+    a = words * max(turns, TURNS) * 8
+    b = a + words * TURNS * PLANES * 8
+    code, planes, scale = (np.ascontiguousarray(x) for x in (raw[:, :a], raw[:, a:b], raw[:, b:]))
+    return Records(dim, code.view("<u8"), planes.view("<u8"), scale.view(np.float32).reshape(len(packed), TURNS, 3))
+
+
+@dataclass
+class Estimator:
+    """Unpacked records: ``left @ right.T`` is the mean of the estimates from one
+    record's levels and the other's code, both ways round; ``spread`` is each
+    record's part of its variance."""
+
+    left: np.ndarray
+    right: np.ndarray
+    spread: np.ndarray
+
+    @classmethod
+    def of(cls, records: Records) -> Estimator:
+        n, dim = len(records.code), records.dim
+        factor, low, step = (records.scale[:, :, k] for k in range(3))
+        signs = records.signs()[:, :TURNS].astype(np.float32) * 2 - 1
+        code = signs / (math.sqrt(dim) * factor)[:, :, None]
+        planes = _bits(records.planes, dim).reshape(n, TURNS, PLANES, dim)
+        level = (planes << np.arange(PLANES, dtype=np.uint8)[:, None]).sum(2, dtype=np.uint8).astype(np.float32)
+        value = low[:, :, None] + step[:, :, None] * level
+        # the code's error, and the rounding of the other's levels under this code
+        error = np.maximum(1 - factor**2, 0) / max(dim - 1, 1) / factor**2 + (step / 2) ** 2 / np.minimum(factor, 1) ** 2
+        left = np.concatenate([value, code], 1).reshape(n, -1) / (2 * TURNS)
+        return cls(left, np.concatenate([code, value], 1).reshape(n, -1), error.sum(1) / (2 * TURNS) ** 2)
+
+    def take(self, at: np.ndarray) -> Estimator:
+        return Estimator(self.left[at], self.right[at], self.spread[at])
+
+
+def upper(left: Estimator, right: Estimator) -> np.ndarray:
+    """Upper confidence bounds of all inner products of two sets of records."""
+    return left.left @ right.right.T + DEVIATIONS * np.sqrt(left.spread[:, None] + right.spread[None])
 
 
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +194,17 @@ def unit_rows(vectors: pa.Array, dim: int) -> np.ndarray:
 
 def bounds(unit: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Upper confidence bounds of the inner products of ``unit`` with ``other``."""
-    left, right = (make_records(x, 1, np.arange(len(x))) for x in (unit, other))
+    left, right = (Estimator.of(make_records(x, 1, np.arange(len(x)))) for x in (unit, other))
     return upper(left, right)
 
 
-def possible_pairs(left: Records, right: Records, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def possible_pairs(left: Estimator, right: Estimator, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of the pairs whose bound reaches the threshold, some rows
     at a time; i < j if ``same``."""
-    for a in range(0, len(left.code), ROWS):
+    for a in range(0, len(left.spread), ROWS):
         maybe = upper(left.take(np.s_[a : a + ROWS]), right) >= threshold
         if same:
-            maybe &= np.arange(a, a + len(maybe))[:, None] < np.arange(len(right.code))[None]
+            maybe &= np.arange(a, a + len(maybe))[:, None] < np.arange(len(right.spread))[None]
         i, j = np.nonzero(maybe)
         yield i + a, j
 
@@ -195,7 +220,7 @@ def first_met(keys: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> np.ndar
 def bucket_pairs(records: Records, mine: np.ndarray, r: int, s: int, t: int, bits: int, count: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of blocks r and s within the bounds that share a bucket of table t,
     and of no table before."""
-    keys = records.keys(bits, count)
+    keys, told = records.keys(bits, count), Estimator.of(records)
     order = np.argsort(keys[:, t], kind="stable")
     ranked = keys[order, t]
     cuts = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))[0]
@@ -203,7 +228,7 @@ def bucket_pairs(records: Records, mine: np.ndarray, r: int, s: int, t: int, bit
         here = order[a:b]
         left, right = (here, here) if r == s else (here[mine[here] == r], here[mine[here] == s])
         if b - a > 1 and len(left) and len(right):
-            for i, j in possible_pairs(records.take(left), records.take(right), r == s, threshold):
+            for i, j in possible_pairs(told.take(left), told.take(right), r == s, threshold):
                 i, j = left[i], right[j]
                 new = first_met(keys, t, i, j)
                 yield i[new], j[new]
