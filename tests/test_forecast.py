@@ -215,3 +215,107 @@ def test_arima_and_target_beyond_the_stored_horizon(spark):
     assert len(until) > 200 and np.allclose(until["value"][:150], want["path"])
     with pytest.raises(Exception, match="steps ahead"):
         models.forecast_until(made, "2021-01-01", "day", most=100).collect()
+
+
+def test_minimax_line_equals_brute_force():
+    import numpy as np
+
+    from tidewater.forecast import smoothers
+
+    rng = np.random.default_rng(0)
+    for k in range(200):
+        n = int(rng.integers(1, 25))
+        y = rng.integers(0, 4, n).astype(float) if k % 3 == 0 else rng.normal(size=n)
+        slope, intercept, error = smoothers.minimax_line(y)
+        x = np.arange(n)
+        slopes = {0.0} | {(y[b] - y[a]) / (b - a) for a in range(n) for b in range(a + 1, n)}
+        assert abs(np.abs(y - intercept - slope * x).max() - error) < 1e-9
+        assert abs(min(np.ptp(y - s * x) / 2 for s in slopes) - error) < 1e-9
+
+
+def test_stl_finds_trend_and_season():
+    import numpy as np
+
+    from tidewater.forecast import smoothers
+
+    x = np.arange(240)
+    trend, season = smoothers.stl(0.3 * x + 10 * np.sin(x / 12 * 2 * np.pi), 12)
+    assert np.abs(trend - 0.3 * x)[6:-6].max() < 0.2 and np.abs(season - 10 * np.sin(x / 12 * 2 * np.pi))[6:-6].max() < 0.2
+
+
+def test_orders_are_chosen_and_trends_damped():
+    import numpy as np
+
+    from tidewater.forecast import numeric
+
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=600)
+    y = np.zeros(600)
+    for i in range(2, 600):
+        y[i] = 0.6 * y[i - 1] - 0.3 * y[i - 2] + e[i]
+    found = numeric.fit_auto_arima(y)
+    assert found["orders"][0] == 0 and len(found["phi"]) + found["ma"][0] >= 1 and found["sigma"][0] < 1.1
+    assert numeric.fit_auto_arima(np.cumsum(np.cumsum(e)))["orders"][0] >= 1
+    flat = numeric.fit_ets(100 - 50 * 0.9 ** np.arange(80))
+    assert flat["damping"][0] < 1
+
+
+def test_star_is_a_value_of_its_own(spark):
+    import datetime
+
+    from tidewater.forecast import graph
+
+    rows = [(v, datetime.date(2024, m, 1), 1.0) for v in ("*", "?", None, "a", "\\") for m in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "d string, t date, y double")
+    nodes = graph.nodes(df, ["d"], df.t, df.y).collect()
+    assert {r.d for r in nodes} == {"*", "\\*", "?", "\\?", "a", "\\\\"}
+    assert all(r.y == (5.0 if r.d == "*" else 1.0) for r in nodes) and max(r.x for r in nodes) == 3
+
+
+def test_names_in_the_catalog_are_single(spark, tmp_path):
+    import datetime
+
+    from pyspark.sql import functions as F
+    from tidewater.forecast import catalog, models
+
+    s = spark.createDataFrame([(datetime.date(2024, m, 1), float(m), m) for m in range(1, 7)], "t date, y double, x int")
+    told = lambda name=None, **o: catalog.describe(models.train(s, [], "ses", **o), "a", "t", "y", "month", "sum", options=o, name=name)
+    path = str(tmp_path / "models")
+    catalog.store(told(alpha=0.5), path)
+    with pytest.raises(ValueError):
+        catalog.store(told(alpha=0.5), path)
+    catalog.store(told("other", alpha=0.9), path)
+    found = catalog.match(catalog.restore(spark, path), "a", "t", "y", "month", "sum", options={"alpha": 0.9})
+    assert [r["name"] for r in found.select(F.col("name")).collect()] == ["other"]
+
+
+def test_upkeep_widens_and_narrows_its_interval():
+    from tidewater.streaming.maintain import Model, update
+
+    m, seen = Model(), []
+    for i in range(200):
+        update(m, 10.0 + (i % 2), "simple")
+        seen.append(m.limit)
+    assert max(seen) > 10  # an error that doesn't fall: less often
+
+
+def test_autoregression_is_kept_on_demand(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    y = [0.0]
+    for i in range(600):
+        y.append((0.8 if i < 300 else -0.8) * y[-1] + rng.normal())
+    df = spark.createDataFrame([(1, i, i, v) for i, v in enumerate(y)], "k int, t int, e int, v double")
+    got = maintain.replay_ar(df, "k", "t", "e", "v", order=1).first()
+    assert got.estimates >= 2 and got.n == 600 and got.mean_error < 4
+
+
+def test_appended_parts_are_scanned_behind_the_first(spark):
+    from pyspark.sql import functions as F
+    from tidewater.approx import segment
+
+    s = spark.range(1, 81).select(F.lit("a").alias("k"), F.col("id").alias("x"), (F.col("id") * 2.0).alias("y"))
+    nodes = segment.append(segment.build(s.filter("x <= 60"), ["k"], 2), ["k"], s.filter("x > 60"), 2)
+    got = {r.p: r.value for r in segment.scan_parts(nodes, ["k"], 1).collect()}
+    assert got == pytest.approx({i: 2.0 * (i + 1) for i in range(80)})

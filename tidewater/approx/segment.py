@@ -8,8 +8,12 @@ error is below it.  Seasons are means of what layer 0 leaves, by place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewater.forecast import smoothers
 
 
 def build(series: DataFrame, keys: list[str], layers: int = 3, fanout: int = 4, frequency: int = 1) -> DataFrame:
@@ -73,3 +77,66 @@ def grouped(rows: DataFrame, keys: list[str], length: int, how: str) -> DataFram
     v = F.col("value")
     found = {"s": F.sum(v), "a": F.avg(v), "m": F.max(v), "M": F.min(v), "n": F.max_by(v, "p")}[how]
     return rows.groupBy(*keys, F.floor(F.col("p") / length).alias("run")).agg(found.cast("long").alias("value"))
+
+
+def append(nodes: DataFrame, keys: list[str], fresh: DataFrame, layers: int = 3, fanout: int = 4, frequency: int = 1) -> DataFrame:
+    """Nodes of appended data as further parts: ``fresh`` has ``x`` going on
+    behind what the nodes cover; its tree stands beside theirs, its positions
+    counted from its own start (``offset``)."""
+    starts = fresh.groupBy(*keys).agg(F.min("x").alias("_x0")) if keys else fresh.agg(F.min("x").alias("_x0"))
+    moved = (fresh.join(starts, keys) if keys else fresh.crossJoin(F.broadcast(starts))).withColumn("x", F.col("x") - F.col("_x0") + 1)
+    more = build(moved.drop("_x0"), keys, layers, fanout, frequency)
+    more = (more.join(starts, keys) if keys else more.crossJoin(F.broadcast(starts))).withColumn("offset", F.col("_x0") - 1).drop("_x0")
+    known = nodes if "offset" in nodes.columns else nodes.withColumn("offset", F.lit(0).cast("long"))
+    return known.unionByName(more)
+
+
+def scan_parts(nodes: DataFrame, keys: list[str], layer: int, frequency: int = 1, fanout: int = 4) -> DataFrame:
+    """keys, p, value of a relation with appended parts."""
+    return scan(nodes.withColumn("_part", F.col("offset")), [*keys, "_part"], layer=layer, frequency=frequency, fanout=fanout).withColumn("p", F.col("p") + F.col("_part")).select(*keys, "p", "value")
+
+
+def minimax(series: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """keys, segment, slope, intercept, error: in each of ``parts`` segments of a
+    series the line whose largest error is least."""
+    ends = series.groupBy(*keys).agg(F.max("x").alias("_n"))
+    told = (series.join(ends, keys) if keys else series.crossJoin(F.broadcast(ends))).withColumn("segment", F.floor((F.col("x") - 1) * parts / F.col("_n")).cast("long"))
+    fields = [series.schema[k] for k in keys] + [T.StructField("segment", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("slope", "intercept", "error")]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        slope, intercept, error = smoothers.minimax_line(pdf["y"].to_numpy(float))
+        first = float(pdf["x"].iloc[0]) - 1
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in [*keys, "segment"]} | {"slope": slope, "intercept": intercept - slope * first, "error": error}])
+
+    return told.select(*keys, "segment", "x", "y").groupBy(*keys, "segment").applyInPandas(fit, T.StructType(fields))
+
+
+def seasons(series: DataFrame, keys: list[str], periods: list[int]) -> DataFrame:
+    """keys, x, trend, season_0, ...: each period's season is taken out by local
+    regression before the next, longer one is.  A period of which there are not
+    two leaves no season."""
+    fields = [series.schema[k] for k in keys] + [series.schema["x"]] + [T.StructField(c, T.DoubleType()) for c in ("trend", *(f"season_{i}" for i in range(len(periods))))]
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")
+        rest = pdf["y"].to_numpy(float)
+        out = {k: pdf[k].to_numpy() for k in [*keys, "x"]}
+        trend = rest
+        for i, period in enumerate(sorted(periods)):
+            if len(rest) < 2 * period:
+                out[f"season_{i}"] = 0.0
+                continue
+            trend, out[f"season_{i}"] = smoothers.stl(rest, period)
+            rest = rest - out[f"season_{i}"]
+        return pd.DataFrame(out | {"trend": trend})
+
+    return series.select(*keys, "x", "y").groupBy(*keys).applyInPandas(split, T.StructType(fields))
+
+
+def write_tree(nodes: DataFrame, path: str) -> None:
+    nodes.write.parquet(path)
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

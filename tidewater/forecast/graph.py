@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.forecast import numeric
@@ -22,14 +22,64 @@ ALL = "*"
 
 def nodes(df: DataFrame, dims: list[str], time: Column, measure: Column) -> DataFrame:
     """dims (``*`` for all), level (grouping id), t, y, x.  Null values of a
-    dimension are a value of their own, written ``?``."""
-    base = df.select(*(F.coalesce(F.col(d).cast("string"), F.lit("?")).alias(d) for d in dims), time.alias("t"), measure.alias("_y"))
+    dimension are a value of their own, written ``?``; values that begin with one
+    of these signs or a backslash are written with a backslash before them."""
+    base = df.select(*(written(F.col(d)).alias(d) for d in dims), time.alias("t"), measure.alias("_y"))
     sets = base.groupBy(*dims, "t").agg(F.sum("_y").alias("_y"))  # once by the finest node; the cube adds those sums
     cubed = sets.cube(*dims, "t").agg(F.grouping_id().cast("long").alias("_id"), F.sum("_y").alias("y"))
     kept = cubed.filter(F.col("_id") % 2 == 0).withColumn("level", F.shiftright("_id", 1)).drop("_id")  # t itself is always grouped
     return number(kept.fillna(ALL, dims), dims)
 
 
+def written(value: Column) -> Column:
+    text = value.cast("string")
+    return F.coalesce(F.when(text.rlike(r"^[*?\\]"), F.concat(F.lit("\\"), text)).otherwise(text), F.lit("?"))
+
+
+def targets(graph: DataFrame, dims: list[str], conditions: dict[str, list[str]]) -> DataFrame:
+    """The nodes that a predicate needs: ``conditions`` gives for a dimension the
+    values of an equality or IN; a dimension without one is taken as a whole."""
+    found = graph.select(*dims, "level").distinct()
+    for d in dims:
+        wanted = conditions.get(d)
+        found = found.filter(F.col(d) == ALL if wanted is None else F.col(d).isin([("\\" + v) if v[:1] in ("*", "?", "\\") else v for v in wanted]))
+    return found
+
+
+def sources(wanted: DataFrame, models: DataFrame, dims: list[str]) -> DataFrame:
+    """For each wanted node the nearest node above it that has a model: the one
+    that takes the fewest dimensions as a whole."""
+    up = ancestors(wanted, dims)
+    s_dims = [f"s_{d}" for d in dims]
+    owned = models.select(*(F.col(d).alias(f"s_{d}") for d in dims)).distinct()
+    wide = sum((F.when(F.col(d) == ALL, 1).otherwise(0) for d in s_dims), F.lit(0))
+    return up.join(owned, s_dims).groupBy(*dims).agg(F.min_by(F.struct(*s_dims), F.struct(wide, *s_dims)).alias("source")).select(*dims, "source.*")
+
+
+def down(forecasts: DataFrame, scheme: DataFrame, dims: list[str]) -> DataFrame:
+    """DISAGGSCHEME: forecasts of sources by fixed keys on the edges (dims,
+    s_dims, key)."""
+    named = forecasts.select(*(F.col(d).alias(f"s_{d}") for d in dims), *(c for c in forecasts.columns if c not in dims))
+    return scheme.join(named, [f"s_{d}" for d in dims]).withColumn("value", F.col("value") * F.col("key")).drop("key", *(f"s_{d}" for d in dims))
+
+
+def upward(forecasts: DataFrame, scheme: DataFrame, dims: list[str], by: list[str]) -> DataFrame:
+    """AGGSCHEME: forecasts of targets summed by fixed keys into their sources;
+    ``by`` names the columns of a step."""
+    joined = scheme.join(forecasts, dims).groupBy(*(f"s_{d}" for d in dims), *by).agg(F.sum(F.col("value") * F.col("key")).alias("value"))
+    return joined.select(*(F.col(f"s_{d}").alias(d) for d in dims), *by, "value")
+
+
+def store(graph: DataFrame, models: DataFrame, path: str) -> None:
+    """STORE MODELGRAPH: nodes and models side by side."""
+    graph.write.parquet(f"{path}/nodes")
+    models.write.parquet(f"{path}/models")
+
+
+def restore(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/models")
+
+
 def fill(graph: DataFrame, dims: list[str], strategy: str) -> DataFrame:
     """Nodes that own models: ``topdown`` the node of all, ``bottomup`` the
     finest nodes, ``complete`` every node."""

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tidewater.forecast import numeric
 from tidewater.forecast.series import step
 
-ALIASES = {"holtwinters": "hwmodel", "arima": "armodel", "ets": "gnur", "mean": "medium"}
+ALIASES = {"holtwinters": "hwmodel", "arima": "armodel", "ets": "gnur", "mean": "medium", "auto_arima": "auto.arima"}
 
 
 def _params(**values: Column) -> Column:
@@ -98,14 +98,16 @@ def _at(rows: DataFrame, granularity: str, measure: str | None) -> DataFrame:
     season = F.try_element_at(p, F.lit("season"))
     size = F.size(season)
     turn = F.when(size > 0, F.get(season, ((h - 1) % F.greatest(size, F.lit(1))).cast("int")))
-    line = one("level") + h * F.coalesce(one("trend"), F.lit(0.0))
+    damping = F.coalesce(one("damping"), F.lit(1.0))
+    steps = F.when(damping == 1, h).otherwise(damping * (1 - F.pow(damping, h)) / F.nullif(1 - damping, F.lit(0.0)))
+    line = one("level") + steps * F.coalesce(one("trend"), F.lit(0.0))
     smooth = F.when(one("multiplicative") == 1, line * F.coalesce(turn, F.lit(1.0))).otherwise(line + F.coalesce(turn, F.lit(0.0)))
     path = F.try_element_at(p, F.lit("path"))
     value = (
         F.when(F.col("algorithm") == "medium", one("sum") / one("count"))
         .when(F.col("algorithm") == "linreg", one("intercept") + one("slope") * (F.col("n") + h))
         .when(F.col("algorithm") == "ses", one("level"))
-        .when(F.col("algorithm") == "armodel", F.try_element_at(path, h))
+        .when(F.col("algorithm").isin("armodel", "auto.arima"), F.try_element_at(path, h))
         .otherwise(smooth)
     )
     half = F.try_element_at(F.try_element_at(p, F.lit("spread")), h)
@@ -113,6 +115,14 @@ def _at(rows: DataFrame, granularity: str, measure: str | None) -> DataFrame:
     return out.drop("params", "n", "last")
 
 
+def explain(models: DataFrame, steps: int, keys: list[str] | None = None) -> DataFrame:
+    """EXPLAIN of a forecast: a line for each model, with what it is made of."""
+    names = F.array_join(F.array_sort(F.map_keys("params")), ", ")
+    of = F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys or []))
+    head = F.concat(F.lit("Forecast  (algorithm="), F.col("algorithm"), F.lit(" steps="), F.lit(str(steps)), F.lit(" n="), F.col("n").cast("string"), F.lit(" after="), F.date_format("last", "yyyy-MM-dd"), F.lit(")"))
+    return models.select(F.concat(head, F.lit("  Model: "), names, F.when(of != "", F.concat(F.lit("  Keys: "), of)).otherwise("")).alias("plan"))
+
+
 def with_interval(forecasts: DataFrame, percent: float) -> DataFrame:
     """Half-widths of prediction intervals, for models that carry a spread."""
     z = numeric.quantile(0.5 + percent / 200)

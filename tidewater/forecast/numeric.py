@@ -49,9 +49,9 @@ def simplex(f: Callable[[np.ndarray], float], start: np.ndarray, spread: float =
     return points[costs.argmin()]
 
 
-def holt_winters(y: np.ndarray, alpha: float, beta: float, gamma: float, period: int, trend: bool, multiplicative: bool) -> tuple[float, dict[str, np.ndarray]]:
+def holt_winters(y: np.ndarray, alpha: float, beta: float, gamma: float, period: int, trend: bool, multiplicative: bool, damping: float = 1.0) -> tuple[float, dict[str, np.ndarray]]:
     """Squared one-step errors, and the state after the last value; ``season``
-    starts with the next step's."""
+    starts with the next step's.  A slope is damped from step to step."""
     seasonal = period > 1 and len(y) >= 2 * period
     if seasonal:
         first, second = y[:period].mean(), y[period : 2 * period].mean()
@@ -63,6 +63,7 @@ def holt_winters(y: np.ndarray, alpha: float, beta: float, gamma: float, period:
     total = 0.0
     for i in range(at, len(y)):
         s = season[i % period] if seasonal else (1.0 if multiplicative else 0.0)
+        slope *= damping
         guess = (level + slope) * s if multiplicative and seasonal else level + slope + (s if seasonal else 0.0)
         total += (y[i] - guess) ** 2
         before = level
@@ -73,20 +74,29 @@ def holt_winters(y: np.ndarray, alpha: float, beta: float, gamma: float, period:
         if seasonal:
             new = (y[i] / level if level else 1.0) if multiplicative else y[i] - level
             season[i % period] = gamma * new + (1 - gamma) * s
-    out = {"level": np.array([level]), "trend": np.array([slope]), "multiplicative": np.array([float(multiplicative and seasonal)])}
+    out = {"level": np.array([level]), "trend": np.array([slope]), "multiplicative": np.array([float(multiplicative and seasonal)]), "damping": np.array([damping])}
     if seasonal:
         out["season"] = np.roll(np.array(season), -(len(y) % period))
     return total, out
 
 
-def fit_holt_winters(y: np.ndarray, period: int = 1, trend: bool = True, multiplicative: bool = False) -> dict[str, np.ndarray]:
+def fit_holt_winters(y: np.ndarray, period: int = 1, trend: bool = True, multiplicative: bool = False, damped: bool = False, weights: tuple[float, float, float] | None = None) -> dict[str, np.ndarray]:
+    """``weights`` fixes the three smoothing weights; else all are fitted, with
+    ``damped`` the damping too (between 0.8 and 1)."""
+
+    def run(p: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        inside = np.clip(p, 1e-4, 1 - 1e-4)
+        return holt_winters(y, *inside[:3], period, trend, multiplicative, 0.8 + 0.2 * inside[3] if damped else 1.0)
+
     def cost(p: np.ndarray) -> float:
-        a, b, g = np.clip(p, 1e-4, 1 - 1e-4)
-        return holt_winters(y, a, b, g, period, trend, multiplicative)[0] + 1e6 * float(np.abs(p - np.clip(p, 0, 1)).sum())
+        return run(p)[0] + 1e6 * float(np.abs(p - np.clip(p, 0, 1)).sum())
 
-    p = np.clip(simplex(cost, np.array([0.3, 0.1, 0.1])), 1e-4, 1 - 1e-4)
-    total, state = holt_winters(y, *p, period, trend, multiplicative)
-    return state | {"weights": p, "sse": np.array([total])}
+    if weights is not None:
+        total, state = holt_winters(y, *weights, period, trend, multiplicative)
+        return state | {"weights": np.array(weights), "sse": np.array([total])}
+    p = np.clip(simplex(cost, np.array([0.3, 0.1, 0.1, 0.9][: 4 if damped else 3])), 1e-4, 1 - 1e-4)
+    total, state = run(p)
+    return state | {"weights": p[:3], "sse": np.array([total])}
 
 
 def difference(y: np.ndarray, d: int, lag: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -168,27 +178,52 @@ def roll(state: dict[str, np.ndarray], horizon: int) -> tuple[np.ndarray, np.nda
 
 
 def fit_ets(y: np.ndarray, period: int = 1) -> dict[str, np.ndarray]:
-    """Exponential smoothing whose trend and season are chosen by AIC."""
+    """Exponential smoothing whose trend (none, straight, damped) and season are
+    chosen by AIC."""
     best = None
-    for trend in (False, True):
+    for trend, damped in ((False, False), (True, False), (True, True)):
         for p, mult in {(1, False), (period, False), (period, bool((y > 0).all()))}:
-            found = fit_holt_winters(y, p, trend, mult)
-            k = 2 + trend + (p + 1 if p > 1 else 0)
+            found = fit_holt_winters(y, p, trend, mult, damped)
+            k = 2 + trend + damped + (p + 1 if p > 1 else 0)
             score = len(y) * np.log(max(found["sse"][0], 1e-12) / max(len(y), 1)) + 2 * k
-            if best is None or (score, p, trend) < best[0]:
-                best = ((score, p, trend), found)
+            if best is None or (score, p, trend, damped) < best[0]:
+                best = ((score, p, trend, damped), found)
     return best[1]
 
 
+def fit_auto_arima(y: np.ndarray, period: int = 1, most: int = 3, horizon: int = HORIZON) -> dict[str, np.ndarray]:
+    """ARIMA whose orders are chosen: differences while they lower the spread,
+    then the autoregressive and moving-average orders by corrected AIC."""
+    d, sd, z = 0, 0, y.astype(float)
+    if period > 1 and len(y) > 3 * period and (z[period:] - z[:-period]).std() < 0.9 * z.std():
+        sd, z = 1, z[period:] - z[:-period]
+    while d < 2 and len(z) > 4 and np.diff(z).std() < z.std():
+        d, z = d + 1, np.diff(z)
+    best = None
+    for ar in range(most + 1):
+        for ma in range(most + 1 - ar):
+            found = fit_arima(y, ar, d, ma, period, 0, sd, horizon)
+            n, k = len(z) - ar, ar + ma + 2
+            if n <= k + 1:
+                continue
+            score = n * np.log(max(found["sigma"][0] ** 2, 1e-12)) + 2 * k * n / (n - k - 1)
+            if best is None or (score, ar + ma, ar) < best[0]:
+                best = ((score, ar + ma, ar), found)
+    return best[1] if best else fit_arima(y, 0, d, 0, period, 0, sd, horizon)
+
+
 def fit(algorithm: str, y: np.ndarray, options: dict[str, float]) -> dict[str, np.ndarray]:
     if not len(y):
         raise ValueError("the training set is empty")
     if algorithm == "hwmodel":
-        return fit_holt_winters(y, int(options.get("period", 1)), bool(options.get("trend", True)), bool(options.get("multiplicative", False)))
+        weights = (options["alpha"], options["beta"], options["gamma"]) if "alpha" in options else None
+        return fit_holt_winters(y, int(options.get("period", 1)), bool(options.get("trend", True)), bool(options.get("multiplicative", False)), bool(options.get("damped", False)), weights)
     if algorithm == "armodel":
         if options.get("multiplicative"):
             raise NotImplementedError("multiplicative seasonal models can't forecast")
         return fit_arima(y, **{k: int(v) for k, v in options.items() if k != "multiplicative"})
+    if algorithm == "auto.arima":
+        return fit_auto_arima(y, int(options.get("period", 1)))
     if algorithm == "gnur":
         return fit_ets(y, int(options.get("period", 1)))
     raise ValueError(f"unknown algorithm {algorithm!r}")

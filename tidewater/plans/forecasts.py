@@ -59,7 +59,7 @@ def fc_target_date(spark: SparkSession, sf: str) -> DataFrame:
 
 @PLANS.query("""SELECT 'day' AS g UNION ALL SELECT 'week' UNION ALL SELECT 'month' UNION ALL SELECT 'quarter' UNION ALL SELECT 'year'""")
 def fc_granularity(spark: SparkSession, sf: str) -> DataFrame:
-    orders = load(spark, sf, "orders").filter("year(o_orderdate) > 1995")  # whole periods
+    orders = load(spark, sf, "orders")
     parts = [granularity_of(series(orders, "o_orderdate", F.count("*"), [], g), []) for g in ("week", "month", "quarter", "year")]
     events = granularity_of(series(load(spark, sf, "events"), "ts", F.count("*"), [], "day"), [])
     for p in parts:
@@ -158,3 +158,20 @@ def fc_arima(spark: SparkSession, sf: str) -> DataFrame:
 def fc_ets(spark: SparkSession, sf: str) -> DataFrame:
     s = series(load(spark, sf, "events"), "ts", F.sum("value"), ["event_type"], "day")
     return _shown(models.forecast(models.train(s, ["event_type"], "ets", period=7), 7, "day"), "event_type")
+
+
+@PLANS.query()
+def fc_auto_arima(spark: SparkSession, sf: str) -> DataFrame:
+    s = revenue(spark, sf, ["o_orderstatus"])
+    return _shown(models.forecast(models.train(s, ["o_orderstatus"], "auto_arima", period=12), 12), "o_orderstatus")
+
+
+@PLANS.query(f"""WITH RECURSIVE {_S}, h AS (SELECT avg(y) FILTER (WHERE x <= 12) AS f, avg(y) FILTER (WHERE x > 12 AND x <= 24) AS g FROM r),
+w(x, level, slope, season) AS (SELECT 12::BIGINT, f, (g - f) / 12, (SELECT list(y - f ORDER BY x) FROM r WHERE x <= 12) FROM h
+UNION ALL SELECT r.x, 0.4 * (r.y - season[1]) + 0.6 * (level + slope), 0.2 * (0.4 * (r.y - season[1]) + 0.6 * (level + slope) - level) + 0.8 * slope,
+list_append(season[2:], 0.3 * (r.y - (0.4 * (r.y - season[1]) + 0.6 * (level + slope))) + 0.7 * season[1]) FROM w JOIN r ON r.x = w.x + 1)
+SELECT k AS h, round(level + k * slope + season[k], 2) AS value FROM (SELECT * FROM w ORDER BY x DESC LIMIT 1), range(1, 7) t(k)""")
+def fc_holt_winters_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Holt-Winters with given weights."""
+    found = models.forecast(models.train(revenue(spark, sf), [], "holtwinters", period=12, alpha=0.4, beta=0.2, gamma=0.3), 6)
+    return found.select(F.col("h").cast("long").alias("h"), F.round("value", 2).alias("value"))
