@@ -18,7 +18,7 @@ the same fold takes the only path that is allowed.
 Units often found in a bounded sample of texts (``HEAD_UNITS`` of ``SAMPLE_DOCS``)
 are encoded first and sent to all tasks, which changes the cost but not the
 result; a text's other units are joined by unit, and to the text by its two
-64-bit hashes: texts are packed into codes of two or three bytes a unit where
+hashes (96 bits): texts are packed into codes of one to three bytes a unit where
 they are read, and only these are shuffled.  Units of over ``LONGEST`` characters
 would cost the square of their length in a fold; they go to the library.
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -40,17 +41,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.encode import default_path
-from tidewater.llm.shared import clean_text, materialize, text_slices
+from tidewater.llm.shared import clean_text, materialize, string_keys, text_slices
 from tidewater.llm.token_counts import head_threshold
 
 VOCABULARY = "piece_bpe_32k.model"
-HEAD_UNITS = 1 << 18
-SAMPLE_DOCS = 20_000
+HEAD_UNITS = 1 << 19
+SAMPLE_DOCS = 40_000
 LONGEST = 2048
 #: Texts whose rare units a task has sent; beyond so many it starts anew and may send some twice.
 SENT_TEXTS = 1 << 20
 #: Edges whose predecessors are looked up at a time.
 EDGES = 1 << 17
+#: Units whose lists of edges a task holds at once (some hundred bytes each).
+GROUPS = 1 << 17
+_GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 BLANK = "▁"
 UNKNOWN = -1
 
@@ -72,9 +76,18 @@ def piece_rows(path: str) -> pa.Table:
 
 
 @lru_cache(maxsize=2)
-def neighbours(path: str) -> np.ndarray:
-    """Sorted pairs of characters that stand side by side in some piece."""
-    return np.unique(np.array([(ord(a) << 21) | ord(b) for n in piece_rows(path)["piece"].to_pylist() for a, b in zip(n, n[1:], strict=False)], np.int64))
+def neighbours(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character that stands in a piece (0 for all others), and
+    which two of them stand side by side in some piece."""
+    names = piece_rows(path)["piece"].to_pylist()
+    number = np.zeros(0x110000, np.int32)
+    letters = sorted(set().union(*names))
+    number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    beside = np.zeros((len(letters) + 1,) * 2, bool)
+    for n in names:
+        at = number[[ord(c) for c in n]]
+        beside[at[:-1], at[1:]] = True
+    return number, beside
 
 
 class Merges:
@@ -141,23 +154,25 @@ class Merges:
         return ok
 
 
-def cut_units(units: pa.Array, pairs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def cut_units(units: pa.Array, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, np.ndarray]:
     """Units cut between characters that no piece holds side by side: all parts,
     and where each unit's parts start."""
     units = clean_text(pa.RecordBatch.from_arrays([units], names=["text"]))
     ends = np.frombuffer(units.buffers()[1], np.int64, len(units) + 1)
     raw = units.buffers()[2].to_pybytes()[: ends[-1]]
-    code = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    number, beside = pairs
+    code = number[np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)]
     begin = np.nonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[0]
-    key = (code[:-1] << 21) | code[1:]
-    at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-    cuts = np.union1d(ends, begin[1:][pairs[at] != key])
-    return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)), np.searchsorted(cuts, ends)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[ends] = True
+    cut[begin[1:][~beside[code[:-1], code[1:]]]] = True
+    cuts = np.nonzero(cut)[0]
+    return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)), np.cumsum(cut)[ends] - 1
 
 
 def blank_units(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct runs of blanks with what follows up to the next blank, the run of
-    each place and where each text starts."""
+    """Runs of blanks with what follows up to the next blank (each once; some may
+    not occur), the run of each place and where each text starts."""
     lists = pc.split_pattern(text, " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -175,21 +190,29 @@ def blank_units(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     rest = np.where(pc.binary_length(text).to_numpy(zero_copy_only=False) > 0, offsets[1:] - last, 0)
     tails = np.nonzero(rest > 0)[0]
     places = np.concatenate([at * 2, offsets[1:][tails] * 2 - 1])
-    keys = np.stack([np.concatenate([codes[at] + 1, np.zeros(len(tails), np.int64)]), np.concatenate([blanks, rest[tails]])], 1)
-    order = np.argsort(places, kind="stable")
-    kinds, unit = np.unique((keys[:, 0] << 32) | keys[:, 1], return_inverse=True)
+    code = np.concatenate([codes[at], np.full(len(tails), -1)])
+    lead = np.concatenate([blanks, rest[tails]])
+    order = np.argsort(places, kind="stable") if len(tails) else slice(None)
     counts = np.bincount(np.concatenate([doc[at], tails]).astype(np.int64), minlength=len(text))
-    parts = pa.concat_arrays([pa.array([""], encoded.dictionary.type), encoded.dictionary]).take(pa.array(kinds >> 32))
-    lead = pa.array([BLANK * int(k) for k in kinds & 0xFFFFFFFF], parts.type)
-    units = pc.binary_join_element_wise(lead, parts, pa.scalar("", parts.type)) if len(kinds) else parts
-    return units, unit.ravel()[order], np.concatenate([[0], np.cumsum(counts)])
-
-
-def text_units(text: pa.Array, pairs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    # a part behind one blank is known by its code; the few others are told apart by code and blanks
+    odd = np.nonzero((lead != 1) | (code < 0))[0]
+    kinds, own = np.unique(((code[odd] + 1) << 32) | lead[odd], return_inverse=True)
+    unit = code.copy()
+    unit[odd] = len(encoded.dictionary) + own.ravel()
+    parts = encoded.dictionary
+    more = pa.concat_arrays([pa.array([""], parts.type), parts]).take(pa.array(kinds >> 32))
+    none = pa.scalar("", parts.type)
+    units = pc.binary_join_element_wise(pa.scalar(BLANK, parts.type), parts, none) if len(parts) else parts
+    if len(kinds):
+        units = pa.concat_arrays([units, pc.binary_join_element_wise(pa.array([BLANK * int(k) for k in kinds & 0xFFFFFFFF], parts.type), more, none)])
+    return units, unit[order], np.concatenate([[0], np.cumsum(counts)])
+
+
+def text_units(text: pa.Array, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct units, the unit of each place and where each text starts."""
     runs, places, starts = blank_units(text)
-    if not len(runs):
-        return runs, places, starts
+    if not len(places):
+        return runs.slice(0, 0), places, starts
     parts, first = cut_units(runs, pairs)
     encoded = parts.dictionary_encode()
     size = np.diff(first)[places]
@@ -366,8 +389,8 @@ def unit_by_library(unit: str, path: str) -> list[int]:
     return processor(path).encode("\n" + unit.replace(BLANK, " "), num_threads=1)[len(lead) :]
 
 
-def head_units(docs: DataFrame, path: str, most: int) -> DataFrame:
-    """unit, ids of the units most often found in a sample of the texts."""
+def often_found(docs: DataFrame, path: str, most: int) -> DataFrame:
+    """unit, times of the units most often found in a sample of the texts."""
     share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,19 +402,62 @@ def head_units(docs: DataFrame, path: str, most: int) -> DataFrame:
 
     some = docs if share == 1 else docs.sample(share, seed=9)
     units = some.select("plain").mapInArrow(run, "unit string, times bigint").groupBy("unit").agg(F.sum("times").alias("times"))
-    units = materialize(units.filter(F.length("unit") <= 64), "pieces-head")
-    often = units.filter(F.col("times") >= head_threshold(units, most)).select("unit")
-    return unit_ids(often.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit"), path)
+    units = materialize(units.filter(F.length("unit") <= 64), "pieces-often")
+    return units.filter(F.col("times") >= head_threshold(units, most))
+
+
+@dataclass
+class Head:
+    """Units that every task knows, the most frequent first: their names, all
+    their ids and where each one's start."""
+
+    names: pa.Array
+    ids: np.ndarray
+    bounds: np.ndarray
+    keys: np.ndarray
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, names: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Head:
+        names = clean_text(pa.RecordBatch.from_arrays([names], names=["text"]))
+        keys = string_keys(names)
+        order = np.argsort(keys, kind="stable")
+        return cls(names, ids, bounds, keys[order], order)
+
+    def find(self, units: pa.Array) -> np.ndarray:
+        """The number of each unit in the head, or -1."""
+        if not len(units) or not len(self.keys):
+            return np.full(len(units), -1)
+        units = clean_text(pa.RecordBatch.from_arrays([units], names=["text"]))
+        at = self.places[np.minimum(np.searchsorted(self.keys, string_keys(units)), len(self.keys) - 1)]
+        same = pc.equal(self.names.take(pa.array(at)), units).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
+
+
+def make_head(docs: DataFrame, path: str, most: int) -> Head:
+    often = often_found(docs, path, most)
+    made = unit_ids(often.select("unit").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit"), path)
+    found, times = made.toArrow().combine_chunks(), often.toArrow().combine_chunks()  # at most ``most`` rows of up to 64 characters
+    if not found.num_rows:
+        return Head.of(pa.array([], pa.large_string()), np.empty(0, np.uint32), np.zeros(1, np.int64))
+    found = found.append_column("times", times["times"].take(pc.index_in(found["unit"], value_set=times["unit"].combine_chunks())))
+    found = found.sort_by([("times", "descending"), ("unit", "ascending")]).combine_chunks()
+    ids = found["ids"].combine_chunks()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
+    return Head.of(found["unit"].combine_chunks().cast(pa.large_string()), ids.flatten().to_numpy().astype(np.uint32), bounds)
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
-    """Numbers below 2**24 as bytes, lowest bytes first, compressed."""
-    return zlib.compress(b"".join(((codes >> s) & 0xFF).astype(np.uint8).tobytes() for s in (0, 8, 16)), 1)
+    """Numbers below 2**24, in two or three bytes each, lowest bytes first, compressed."""
+    shifts = (0, 8, 16) if len(codes) and codes.max() >> 16 else (0, 8)
+    raw = b"".join(((codes >> s) & 0xFF).astype(np.uint8).tobytes() for s in shifts)
+    return bytes([len(shifts)]) + len(codes).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
 
 def unpack_codes(packed: bytes) -> np.ndarray:
-    low, middle, high = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
-    return low | (middle << 8) | (high << 16)
+    width, n = packed[0], int.from_bytes(packed[1:9], "little")
+    raw = pa.decompress(packed[9:], width * n, "zstd", asbytes=True) if n else b""
+    return sum((x.astype(np.int64) << (8 * k) for k, x in enumerate(np.frombuffer(raw, np.uint8).reshape(width, n))), np.zeros(n, np.int64))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, head_units: int = HEAD_UNITS) -> DataFrame:
@@ -399,93 +465,97 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, head_units:
     every row."""
     path = vocabulary or default_path(VOCABULARY)
     spark = docs.sparkSession
+    if spark.conf.get(_GROUPS) == "128":  # else lists of edges are sorted and spilled from the 129th unit of a task on
+        spark.conf.set(_GROUPS, str(GROUPS))
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" "))
-    rows = docs.select("doc_id", plain.alias("plain")).withColumns({"h1": F.xxhash64("plain"), "h2": F.xxhash64(F.lit(1), "plain")})
-    head = _head(rows, path, head_units)
-    shared = spark.sparkContext.broadcast(head)
+    rows = docs.select("doc_id", plain.alias("plain")).withColumns({"h1": F.xxhash64("plain"), "h2": F.hash("plain")})
+    shared = spark.sparkContext.broadcast(make_head(rows, path, head_units))
+
+    def coded(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct units, their places in the head (or -1) and in order, and the
+        units of all texts with where each text starts."""
+        found, places, starts = text_units(clean_text(batch, "plain"), neighbours(path))
+        return found, shared.value.find(found), places, starts
 
     def rare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, _, _), pairs = shared.value, neighbours(path)
+        """Each text's units outside the head, sorted."""
         sent: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in text_slices(whole, "plain"):
-                h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
-                fresh = np.zeros(len(h1), bool)  # copies of a text send their units once
-                for i, both in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+                fresh = np.zeros(batch.num_rows, bool)  # copies of a text send their units once
+                for i, both in enumerate(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)):
                     if both not in sent:
                         fresh[i] = True
                         sent.add(both)
                 if len(sent) > SENT_TEXTS:
                     sent.clear()
                 batch = batch.filter(pa.array(fresh))
-                found, places, starts = text_units(clean_text(batch, "plain"), pairs)
-                rare = pc.index_in(found, value_set=known).is_null().to_numpy(zero_copy_only=False)
+                found, at, places, starts = coded(batch)
+                order = pc.sort_indices(found.cast(pa.large_binary())).to_numpy().astype(np.int64)
+                rank = np.empty(len(found), np.int64)
+                rank[order] = np.arange(len(found))
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-                some = rare[places] if len(places) else np.zeros(0, bool)
-                both = np.unique((doc[some] << 32) | places[some])
-                own = pa.array(both >> 32)
-                yield pa.RecordBatch.from_arrays([batch.column("h1").take(own), batch.column("h2").take(own), found.take(pa.array(both & 0xFFFFFFFF)).cast(pa.string())], names=["h1", "h2", "unit"])
+                some = at[places] < 0 if len(places) else np.zeros(0, bool)
+                both = np.unique((doc[some] << 32) | rank[places[some]])
+                bounds = np.searchsorted(both >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
+                units = pa.ListArray.from_arrays(pa.array(bounds), found.take(pa.array(order[both & 0xFFFFFFFF])).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), units], names=["h1", "h2", "units"])
 
-    missing = materialize(rows.select("h1", "h2", "plain").mapInArrow(rare_units, "h1 bigint, h2 bigint, unit string"), "pieces-rare")
-    made = unit_ids(missing.groupBy("unit").agg(F.first("h1")), path)
-    given = missing.join(made, "unit").groupBy("h1", "h2").agg(F.collect_set(F.struct("unit", "ids")).alias("given"))
+    told = materialize(rows.select("h1", "h2", "plain").mapInArrow(rare_units, "h1 bigint, h2 int, units array<string>"), "pieces-rare")
+    missing = told.select("h1", "h2", F.posexplode("units").alias("j", "unit"))
+    made = unit_ids(missing.groupBy("unit").agg(F.count("*").alias("times")), path)
+    given = missing.join(made, "unit").groupBy("h1", "h2").agg(F.collect_set(F.struct("j", "ids")).alias("given"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Codes of all places: a head unit's number, or behind those the number
         of a rare unit among the text's own, sorted."""
-        (known, _, _), pairs = shared.value, neighbours(path)
         for whole in batches:
             for batch in text_slices(whole, "plain"):
-                found, places, starts = text_units(clean_text(batch, "plain"), pairs)
-                at = pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.empty(len(found), np.int64)
-                order[pc.sort_indices(found.cast(pa.large_binary())).to_numpy()] = np.arange(len(found))
+                found, at, places, starts = coded(batch)
+                rank = np.empty(len(found), np.int64)
+                rank[pc.sort_indices(found.cast(pa.large_binary())).to_numpy()] = np.arange(len(found))
                 out = []
                 for a, b in zip(starts[:-1], starts[1:], strict=True):
                     code = at[places[a:b]]
                     left = np.nonzero(code < 0)[0]
-                    code[left] = len(known) + np.unique(order[places[a:b][left]], return_inverse=True)[1]
+                    if len(left):
+                        code[left] = len(shared.value.names) + np.unique(rank[places[a:b][left]], return_inverse=True)[1]
                     out.append(pack_codes(code))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(out, pa.binary())], names=["doc_id", "h1", "h2", "packed"])
 
-    packed = rows.mapInArrow(pack, "doc_id bigint, h1 bigint, h2 bigint, packed binary")
-
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values, bounds = shared.value
+        head = shared.value
+        size, start = np.diff(head.bounds), head.bounds[:-1]
         for batch in batches:
             out, ends, sums = [], [0], []
-            own = batch.column("given")
-            for i, codes in enumerate(map(unpack_codes, batch.column("packed").to_pylist())):
-                rare = sorted((g["unit"].encode(), g["ids"]) for g in own[i].as_py() or [])
-                more = np.array([x for _, ids in rare for x in ids], np.uint32)
-                size = np.concatenate([np.diff(bounds), [len(ids) for _, ids in rare]]).astype(np.int64) if rare else np.diff(bounds)
-                start = np.concatenate([bounds[:-1], len(values) + np.cumsum(size[len(known) :]) - size[len(known) :]]) if rare else bounds[:-1]
-                length = size[codes]
-                first = np.concatenate([[0], np.cumsum(length)])
-                at = np.repeat(start[codes] - first[:-1], length) + np.arange(first[-1])
-                ids = np.where(at < len(values), values[np.minimum(at, len(values) - 1)] if len(values) else 0, more[np.maximum(at - len(values), 0)] if len(more) else 0).astype("<u4")
+            given = batch.column("given").to_pylist()
+            for packed, own in zip(batch.column("packed").to_pylist(), given, strict=True):
+                codes = unpack_codes(packed)
+                rare = [g["ids"] for g in sorted(own or [], key=lambda g: g["j"])]
+                more = np.array([x for ids in rare for x in ids], np.uint32)
+                lengths = np.fromiter(map(len, rare), np.int64, len(rare))
+                known = codes < len(size)
+                k, r = codes[known], codes[~known] - len(size)
+                length, first = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+                length[known], length[~known] = size[k], lengths[r]
+                first[known], first[~known] = start[k], len(head.ids) + (np.cumsum(lengths) - lengths)[r]
+                bounds = np.concatenate([[0], np.cumsum(length)])
+                at = np.repeat(first - bounds[:-1], length) + np.arange(bounds[-1])
+                inside = at < len(head.ids)
+                ids = np.empty(len(at), "<u4")
+                ids[inside], ids[~inside] = head.ids[at[inside]], more[at[~inside] - len(head.ids)]
                 out.append(ids)
                 ends.append(ends[-1] + len(ids))
-                sums.append(zlib.crc32(ids.tobytes()))
+                sums.append(zlib.crc32(ids))
             flat = pa.array(np.concatenate([*out, np.empty(0, "<u4")]).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h1"), lists, pa.array(sums, pa.int64())], names=["doc_id", "text_hash", "ids", "ids_crc32"])
 
+    packed = rows.mapInArrow(pack, "doc_id bigint, h1 bigint, h2 int, packed binary")
     both = packed.join(given, ["h1", "h2"], "left").select("doc_id", "h1", "packed", "given")
     return both.mapInArrow(assemble, "doc_id bigint, text_hash bigint, ids array<int>, ids_crc32 bigint")
 
 
-def _head(rows: DataFrame, path: str, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Names of head units, all their ids, and where each unit's ids start: at
-    most ``most`` rows of up to 64 characters."""
-    found = head_units(rows, path, most).toArrow().combine_chunks()
-    if not found.num_rows:
-        return pa.array([], pa.large_string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
-    ids = found["ids"].combine_chunks()
-    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
-    return found["unit"].combine_chunks().cast(pa.large_string()), ids.flatten().to_numpy().astype(np.uint32), bounds
-
-
 def decode(ids: Column, vocabulary: str | None = None) -> Column:
     """The text of an array of ids: bytes of all pieces joined, without the
     blank put before the text.  Unknown and control ids give nothing."""

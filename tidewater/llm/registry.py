@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import embedding_dedup, gam, language_model, ngram_join, packing, pieces, quality_rules, token_counts, token_files, toxicity
+from tidewater.llm import embedding_dedup, gam, language_model, ngram_join, oracles, packing, pieces, quality_rules, token_counts, token_files, toxicity
 from tidewater.llm.shared import load, scratch_path
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_documents(load(spark, sf_dir, "documents"))[0]
+    return ngram_join.similar_documents(load(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_model": op10_language_model,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The tokenizers' files and fitted models are beyond SQL.
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": oracles.OP1, "op3_embedding_dedup": oracles.OP3, "op7_quality_rules": oracles.OP7}
