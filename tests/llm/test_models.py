@@ -153,3 +153,31 @@ def test_recall_of_planted_pairs(spark):
     want = {i: int((unit @ unit[i] >= 0.9).sum()) - 1 for i in range(0, 3000, 50)}
     assert sum(want.values()) > 5 and all(got[i] <= want[i] for i in want)
     assert sum(got[i] for i in want) >= 0.99 * sum(want.values())
+
+
+def test_inner_factor_sums_to_one_and_sees_the_history(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran to the man who ate") for i in range(1, 9)]
+    words = language_model.count_words(language_model.training_rows(spark.createDataFrame(rows, "doc_id long, text string")))
+    vocab = language_model.vocabulary(words)
+    rng = np.random.default_rng(0)
+    inner = rng.standard_normal((vocab.sizes.inner, language_model.BUCKETS)).astype(np.float32)
+    for c in range(language_model.CLASSES):
+        own = vocab.buckets[vocab.classes == c]
+        if len(own):
+            held = np.array([vocab.counts[(vocab.classes == c) & (vocab.buckets == b)].sum() for b in range(language_model.BUCKETS)])
+            assert np.exp(vocab.inner_bias[c]) == pytest.approx(held / held.sum(), abs=1e-6)
+            p = language_model.softmax(rng.integers(0, len(inner), (2, 5)), inner, np.repeat(vocab.inner_bias[c][None], 5, 0))
+            # all words of the class: the bucket's probability times the share within it
+            totals = sum(p[:, b] * 10 ** vocab.share[(vocab.classes == c) & (vocab.buckets == b)].sum() if (own == b).sum() == 1 else p[:, b] * (10 ** vocab.share[(vocab.classes == c) & (vocab.buckets == b)]).sum() for b in set(own.tolist()))
+            assert totals == pytest.approx(np.ones(5), abs=1e-5)
+
+
+def test_tables_grow_with_the_tokens_and_blocks_round_trip():
+    sizes = [language_model.Sizes.of(n) for n in (0, 10**8, 10**9, 10**10, 10**12)]
+    assert [s.rows for s in sizes] == sorted(s.rows for s in sizes) and sizes[-1].rows > 20 * sizes[0].rows and sizes[1].scale == 1
+    rng = np.random.default_rng(1)
+    w = language_model.Weights(*(rng.standard_normal(x.shape).astype(np.float32) for x in language_model.Weights.new(sizes[0]).parts()))
+    back = language_model.Weights.new(sizes[0])
+    for b in range(language_model.BLOCKS):
+        back.put(b, w.block(b))
+    assert all((x == y).all() for x, y in zip(w.parts(), back.parts(), strict=True))

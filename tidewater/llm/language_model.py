@@ -1,6 +1,6 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-``P(w | h) = P(class(w) | h) * P(w | class(w))``.
+``P(w | h) = P(class(w) | h) * P(bucket(w) | class(w), h) * P(w | bucket(w))``.
 
 *   Classes: one for all words outside the head of the vocabulary (rare and
     unseen words), one for the end of a text, one for each of the most frequent
@@ -10,11 +10,17 @@
     the endings of the last three.  The weights are trained by gradient steps:
     in every round each task goes over its part of all training texts in small
     batches, then the tasks' weights are averaged, block by block, by a shuffle.
-*   ``P(w | class)`` is the class's share of the word's count.  In the class of
+*   Within a class, words by frequency make up to ``BUCKETS`` buckets of about
+    equal mass; ``P(bucket | class, h)`` is a softmax over weights of the class
+    hashed with the last word and with its ending, trained in the same passes.
+*   ``P(w | bucket)`` is the bucket's share of the word's count.  In the class of
     rare words each count is discounted by ``DISCOUNT``, and what that frees is
     the probability of an unseen word, so all outcomes (V known tokens and one
     unknown) sum to one.
 
+The tables of weights grow with the square root of the training tokens, as
+vocabularies do (``Sizes``), and so does the number of words that are features by
+name; training runs in no more tasks than keep what they send below the input.
 Counts are over all training texts.  Words found often (``HEAD_WORDS`` at most,
 a fixed bound) are sent to all tasks; others are joined by word.
 
@@ -27,6 +33,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,9 +55,78 @@ DISCOUNT = 0.75
 #: endings of the last three words.
 WORD_ROWS, PAIR_ROWS, ENDING_ROWS = 2048, 4096, 512
 ROWS = 2 * WORD_ROWS + PAIR_ROWS + 3 * ENDING_ROWS
+BUCKETS, INNER_ROWS = 16, 4096
+NAMED_WORDS = 4096
+#: Training tokens up to which the tables have the sizes above.
+TOKENS = 200_000_000
 ROUNDS, BATCH, STEP = 2, 8192, 0.3
 BLOCKS = 128
 SHORT_RUN = 16
+#: Rows up to so wide are summed by numpy's own runs, which are slower for wide ones.
+NARROW = 32
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Rows of the tables and words known by name, ``scale`` times the least."""
+
+    scale: int = 1
+
+    @classmethod
+    def of(cls, tokens: int) -> Sizes:
+        return cls(1 << max(0, round(math.log2(math.sqrt(max(tokens, 1) / TOKENS)))))
+
+    @property
+    def words(self) -> int:
+        return WORD_ROWS * self.scale
+
+    @property
+    def pairs(self) -> int:
+        return PAIR_ROWS * self.scale
+
+    @property
+    def rows(self) -> int:
+        return 2 * self.words + self.pairs + 3 * ENDING_ROWS
+
+    @property
+    def inner(self) -> int:
+        return INNER_ROWS * self.scale
+
+    @property
+    def named(self) -> int:
+        return NAMED_WORDS * self.scale
+
+
+@dataclass
+class Weights:
+    """Weights of classes and of buckets, each row with the squares of its
+    gradients so far."""
+
+    outer: np.ndarray
+    outer_speed: np.ndarray
+    inner: np.ndarray
+    inner_speed: np.ndarray
+
+    @classmethod
+    def new(cls, sizes: Sizes) -> Weights:
+        return cls(np.zeros((sizes.rows, CLASSES), np.float32), np.ones(sizes.rows, np.float32), np.zeros((sizes.inner, BUCKETS), np.float32), np.ones(sizes.inner, np.float32))
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.outer, self.outer_speed, self.inner, self.inner_speed
+
+    def copy(self) -> Weights:
+        return Weights(*(x.copy() for x in self.parts()))
+
+    def block(self, b: int) -> np.ndarray:
+        """Part ``b`` of ``BLOCKS`` of all weights, one after another."""
+        return np.concatenate([np.array_split(x, BLOCKS)[b].ravel() for x in self.parts()]).astype(np.float32)
+
+    def put(self, b: int, values: np.ndarray) -> None:
+        at = 0
+        for x in self.parts():
+            own = np.array_split(x, BLOCKS)[b]  # a view
+            own[...] = values[at : at + own.size].reshape(own.shape)
+            at += own.size
 
 
 @dataclass
@@ -62,11 +138,14 @@ class Vocabulary:
     classes: np.ndarray
     singles: dict[str, int]
     endings: dict[str, int]
-    share: np.ndarray  # log10 P(w | class) of head words
+    buckets: np.ndarray
+    share: np.ndarray  # log10 P(w | bucket) of head words
     ends: int
     tokens: int
     types: int
     bias: np.ndarray
+    inner_bias: np.ndarray
+    sizes: Sizes
 
 
 def ending(word: str) -> str:
@@ -120,14 +199,21 @@ def vocabulary(words: DataFrame, head_words: int = HEAD_WORDS) -> Vocabulary:
     chosen = sorted(by_ending, key=lambda e: (-by_ending[e], e))[: ENDINGS - 1]
     endings = {e: 2 + SINGLES + i for i, e in enumerate(chosen)}
     classes = np.fromiter((word_class(w, singles, endings) for w in names), np.int64, len(names))
-    mass = np.bincount(classes, counts, CLASSES)
-    share = np.log10(counts / mass[classes]) if len(names) else np.empty(0)
+    mass = np.bincount(classes, counts, CLASSES).astype(float)
+    order = np.argsort(classes, kind="stable")  # within a class, the most frequent first
+    before = np.cumsum(counts[order]) - counts[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(classes, counts, CLASSES))])[:-1] if len(names) else np.zeros(CLASSES)
+    buckets = np.zeros(len(names), np.int64)
+    buckets[order] = np.minimum((before - first[classes[order]]) * BUCKETS // mass[classes[order]], BUCKETS - 1)
+    held_mass = np.bincount(classes * BUCKETS + buckets, counts, CLASSES * BUCKETS).reshape(CLASSES, BUCKETS)
+    share = np.log10(counts / held_mass[classes, buckets]) if len(names) else np.empty(0)
+    inner_bias = np.where(held_mass > 0, np.log(np.maximum(held_mass, 0.5) / np.maximum(mass, 0.5)[:, None]), -1e9).astype(np.float32)
     n, v, e = int(total["n"] or 0), int(total["v"] or 0), int(total["e"] or 0)
     mass[END] = e
     mass[RARE] = n - mass.sum()
     mass[[RARE, END]] = np.maximum(mass[[RARE, END]], 0.5)
-    bias = np.where(mass > 0, np.log(np.maximum(mass, 0.5) / mass.sum()), -1e9).astype(np.float32)  # a class without words takes nothing
-    return Vocabulary(head["word"].combine_chunks().cast(pa.large_string()), counts, classes, singles, endings, share, e, n, v, bias)
+    bias = np.where(mass > 0, np.log(np.maximum(mass, 0.5) / max(mass.sum(), 0.5)), -1e9).astype(np.float32)  # a class without words takes nothing
+    return Vocabulary(head["word"].combine_chunks().cast(pa.large_string()), counts, classes, singles, endings, buckets, share, e, n, v, bias, inner_bias, Sizes.of(n))
 
 
 def encode(text: pa.Array, vocab: Vocabulary):
@@ -147,7 +233,8 @@ def tokens_of(words: pa.Array, codes: np.ndarray, place: np.ndarray, offsets: np
     salt = np.array([_text_hash(e) for e in tail.dictionary.to_pylist()], np.int64)
     end_row = salt[tail.indices.to_numpy()] % (ENDING_ROWS - 1) + 1 if len(words) else np.empty(0, np.int64)
     target = np.where(place >= 0, vocab.classes[place], RARE) if len(vocab.classes) else np.full(len(place), RARE)
-    name = np.where((place >= 0) & (place < 4096), place + ENDING_ROWS, end_row)
+    sizes = vocab.sizes
+    name = np.where((place >= 0) & (place < sizes.named), place + ENDING_ROWS, end_row)
     n = len(offsets) - 1
     size = len(codes) + n
     at = np.arange(len(codes)) + owner(offsets)  # where words go, leaving room for ends
@@ -169,14 +256,15 @@ def tokens_of(words: pa.Array, codes: np.ndarray, place: np.ndarray, offsets: np
         return moved
 
     one, two = back(names, 1), back(names, 2)
+    endings = 2 * sizes.words + sizes.pairs
     features = np.stack(
         [
-            (mix(one + 1) % np.uint64(WORD_ROWS)).astype(np.int64),
-            WORD_ROWS + (mix(one * 1_000_003 + two + 7) % np.uint64(PAIR_ROWS)).astype(np.int64),
-            WORD_ROWS + PAIR_ROWS + (mix(two + 1_000_000_007) % np.uint64(WORD_ROWS)).astype(np.int64),
-            2 * WORD_ROWS + PAIR_ROWS + back(rows, 1),
-            2 * WORD_ROWS + PAIR_ROWS + ENDING_ROWS + back(rows, 2),
-            2 * WORD_ROWS + PAIR_ROWS + 2 * ENDING_ROWS + back(rows, 3),
+            (mix(one + 1) % np.uint64(sizes.words)).astype(np.int64),
+            sizes.words + (mix(one * 1_000_003 + two + 7) % np.uint64(sizes.pairs)).astype(np.int64),
+            sizes.words + sizes.pairs + (mix(two + 1_000_000_007) % np.uint64(sizes.words)).astype(np.int64),
+            endings + back(rows, 1),
+            endings + ENDING_ROWS + back(rows, 2),
+            endings + 2 * ENDING_ROWS + back(rows, 3),
         ]
     )
     return out, features, last
@@ -189,6 +277,17 @@ def _text_hash(text: str) -> int:
     return value
 
 
+def inner_tokens(codes: np.ndarray, place: np.ndarray, offsets: np.ndarray, target: np.ndarray, features: np.ndarray, vocab: Vocabulary):
+    """Tokens that are words of the head: their places, buckets, and rows of the
+    inner table (the class with the last word, and with its ending)."""
+    word = place[codes] >= 0
+    at = (np.arange(len(codes)) + owner(offsets))[word]
+    bucket = vocab.buckets[place[codes][word]]
+    own = target[at]
+    rows = [(mix(features[k, at] * CLASSES + own + 11) % np.uint64(vocab.sizes.inner)).astype(np.int64) for k in (0, 3)]
+    return at, bucket, np.stack(rows)
+
+
 def softmax(features: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     logits = weights.take(features[0], 0)
     for f in features[1:]:
@@ -218,39 +317,45 @@ def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def descend(target: np.ndarray, features: np.ndarray, weights: np.ndarray, speed: np.ndarray, bias: np.ndarray) -> None:
     """One pass of gradient steps over the tokens, in place; each row's step is
-    scaled by the squares of its gradients so far."""
+    scaled by the squares of its gradients so far.  ``bias`` is one row, or one
+    for each token."""
+    kind = np.uint16 if len(weights) <= 1 << 16 else np.int32  # 16 bits are sorted by radix
     for a in range(0, len(target), BATCH):
         part = features[:, a : a + BATCH]
-        slope = softmax(part, weights, bias)
+        slope = softmax(part, weights, bias if bias.ndim == 1 else bias[a : a + BATCH])
         slope[np.arange(slope.shape[0]), target[a : a + BATCH]] -= 1
         for f in part:
-            order = np.argsort(f.astype(np.int16), kind="stable")  # ROWS fit; sorts by radix
+            order = np.argsort(f.astype(kind), kind="stable")
             ranked = f[order]
             first = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0]
             rows = ranked[first]
-            g = run_sums(slope.take(order, 0), first)
-            speed[rows] += np.einsum("ij,ij->i", g, g) / CLASSES
+            ordered = slope.take(order, 0)
+            g = run_sums(ordered, first) if ordered.shape[1] > NARROW else np.add.reduceat(ordered, first, axis=0)
+            speed[rows] += np.einsum("ij,ij->i", g, g) / weights.shape[1]
             weights[rows] -= (STEP / np.sqrt(speed[rows]))[:, None] * g
 
 
-def train_round(train: DataFrame, vocab, weights: np.ndarray, speed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def train_round(train: DataFrame, vocab, weights: Weights) -> Weights:
     """Each task's pass over its texts, then the mean of the tasks' weights by
     their numbers of tokens.  ``vocab`` is a broadcast variable."""
     spark = train.sparkSession
-    start = spark.sparkContext.broadcast((weights, speed))
+    start = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, s = (x.copy() for x in start.value)
+        w, v = start.value.copy(), vocab.value
         seen = 0
         for whole in batches:
             for batch in text_slices(whole):
-                words, codes, place, offsets = encode(clean_text(batch), vocab.value)
-                target, features, _ = tokens_of(words, codes, place, offsets, vocab.value)
-                descend(target, features, w, s, vocab.value.bias)
+                words, codes, place, offsets = encode(clean_text(batch), v)
+                target, features, _ = tokens_of(words, codes, place, offsets, v)
+                descend(target, features, w.outer, w.outer_speed, v.bias)
+                at, bucket, rows = inner_tokens(codes, place, offsets, target, features, v)
+                for a in range(0, len(at), 32 * BATCH):
+                    some = slice(a, a + 32 * BATCH)
+                    descend(bucket[some], rows[:, some], w.inner, w.inner_speed, v.inner_bias[target[at[some]]])
                 seen += len(target)
         if seen:
-            parts = np.array_split(np.arange(ROWS), BLOCKS)
-            packed = [np.concatenate([w[p].ravel(), s[p]]).astype(np.float32).tobytes() for p in parts]
+            packed = [w.block(b).tobytes() for b in range(BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array(packed, pa.binary())], names=["block", "tokens", "w"])
 
     def mean(part: pa.Table) -> pa.Table:
@@ -261,27 +366,27 @@ def train_round(train: DataFrame, vocab, weights: np.ndarray, speed: np.ndarray)
             total += tokens
         return pa.table({"block": part["block"].slice(0, 1), "w": pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())})
 
-    sent = train.select("text").mapInArrow(run, "block int, tokens bigint, w binary")
-    got = dict(sent.groupBy("block").applyInArrow(mean, "block int, w binary").collect())
-    if not got:
-        return weights, speed
-    weights, speed = weights.copy(), speed.copy()
-    for b, p in enumerate(np.array_split(np.arange(ROWS), BLOCKS)):
-        values = np.frombuffer(got[b], np.float32)
-        weights[p] = values[: len(p) * CLASSES].reshape(len(p), CLASSES)
-        speed[p] = values[len(p) * CLASSES :]
-    return weights, speed
+    texts = train.select("text")
+    most = 4 * vocab.value.tokens // sum(x.nbytes for x in weights.parts()) + 1
+    if weights.outer.shape[0] > Sizes().rows and texts.rdd.getNumPartitions() > most:
+        texts = texts.coalesce(most)
+    sent = texts.mapInArrow(run, "block int, tokens bigint, w binary")
+    got = sent.groupBy("block").applyInArrow(mean, "block int, w binary").collect()  # one model
+    new = weights.copy()
+    for row in got:
+        new.put(row["block"], np.frombuffer(row["w"], np.float32))
+    return new
 
 
-def score(docs: DataFrame, words: DataFrame, vocab: Vocabulary, shared, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, words: DataFrame, vocab: Vocabulary, shared, weights: np.ndarray, inner: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(weights)
+    table = spark.sparkContext.broadcast((weights, Weights.new(vocab.sizes).inner if inner is None else inner))
     base_total = vocab.tokens + 0.1 * (vocab.types + 1)
     base_end = float(np.log10((vocab.ends + 0.1) / base_total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v, (outer, within) = shared.value, table.value
         base = np.log10((np.append(v.counts, 0) + 0.1) / base_total)
         share = np.append(v.share, 0.0)
         for whole in batches:
@@ -291,8 +396,13 @@ def score(docs: DataFrame, words: DataFrame, vocab: Vocabulary, shared, weights:
                 target, features, last = tokens_of(found, codes, place, offsets, v)
                 log_p = np.empty(len(target))
                 for a in range(0, len(target), BATCH):
-                    p = softmax(features[:, a : a + BATCH], table.value, v.bias)
+                    p = softmax(features[:, a : a + BATCH], outer, v.bias)
                     log_p[a : a + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), target[a : a + BATCH]], 1e-30))
+                words_at, bucket, rows = inner_tokens(codes, place, offsets, target, features, v)
+                for a in range(0, len(words_at), BATCH):
+                    own = words_at[a : a + BATCH]
+                    p = softmax(rows[:, a : a + BATCH], within, v.inner_bias[target[own]])
+                    log_p[own] += np.log10(np.maximum(p[np.arange(len(p)), bucket[a : a + BATCH]], 1e-30))
                 ends = np.append(0, last + 1)
                 sums = np.append(0, np.cumsum(log_p))[ends]
                 at = place[codes]
@@ -354,10 +464,10 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int =
     words = count_words(train)
     vocab = vocabulary(words, head_words)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    weights, speed = np.zeros((ROWS, CLASSES), np.float32), np.full(ROWS, 1.0, np.float32)
+    weights = Weights.new(vocab.sizes)
     for _ in range(rounds if vocab.tokens else 0):
-        weights, speed = train_round(train, shared, weights, speed)
-    scored = score(docs, words, vocab, shared, weights)
+        weights = train_round(train, shared, weights)
+    scored = score(docs, words, vocab, shared, weights.outer, weights.inner)
     if not vocab.tokens:
         scored = scored.withColumn("score", F.lit(0.0))
     held = F.coalesce(bucket("doc_id", 10) == 0, F.lit(False))
