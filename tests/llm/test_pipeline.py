@@ -84,3 +84,55 @@ def test_pair_tables_learn_an_interaction():
     model = gam.fit(x[:4000], y[:4000])
     assert (0, 1) in model.pairs
     assert np.mean((model.score(x[4000:]) > 0.5) == y[4000:]) > 0.9
+
+
+def test_packing_stage_takes_odd_rows(spark, sf):
+    text = "all these plain words make a fine and proper text"
+    data = [(1, text, "x"), (1, text, "x"), (None, text, None), (2, None, "y"), (3, "word " * 9000, "y")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, sequence_id string")
+    name, stage = corpus_pipeline.STAGES[3]
+    library = tokenizer(default_path(packing.VOCABULARY))
+    got = stage(spark, docs, sf).collect()
+    sizes = {i: sum(p.length for p in got if p.doc_id == i) for i in (1, 2, 3, None)}
+    n = len(library.encode(text, add_special_tokens=False).ids) + 1
+    assert name == "packing" and sizes == {1: 2 * n, 2: 1, 3: 9001, None: n}
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def brute_features(text):
+    """The classifier's features by plain counting."""
+    import collections
+    import re
+
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    n_words, chars, _, dup, repeats, _ = brute_rules(text)
+    lines = len([x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")])
+    w, c = max(n_words, 1), max(chars, 1)
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    mean = chars / w
+    squares = sum(len(x) ** 2 for x in words)
+    other = len(re.findall(r"[^\x20\x09-\x0dA-Za-z0-9#*$%&|<>!.,;:\x80-\U0010ffff]", text))
+    top = max(collections.Counter(words).values(), default=0)
+    return [
+        np.log1p(n_words), mean, np.sqrt(max(squares / w - mean**2, 0)), repeats / w, dup / max(lines, 1), len(re.findall(r"[#*$%&|<>]", text)) / c,
+        upper / max(upper + lower, 1), len(re.findall("[0-9]", text)) / c, text.count("!") / w, len(re.findall("[.,;:]", text)) / w,
+        other / c, len(re.findall("[\x80-\U0010ffff]", text)) / c, len(set(words)) / w, top / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w,
+        n_words / max(lines, 1),
+    ]
+
+
+def test_quality_scores_equal_brute_force(spark, sf):
+    """Features by plain counting, tables looked up one by one."""
+    import bisect
+    import math
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = gam.train(docs, labels.filter(~gam.held_out()), "quality")
+    got = {r.doc_id: r for r in gam.classify(docs, labels).collect()}
+    for r in docs.collect():
+        x = [np.float32(v) for v in brute_features(r.text)]
+        total = model.base + sum(t[bisect.bisect_right(e, v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+        total += sum(t[bisect.bisect_right(model.pair_edges[i], x[i]), bisect.bisect_right(model.pair_edges[j], x[j])] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        want = 1 / (1 + math.exp(-total))
+        assert abs(got[r.doc_id].score - want) < 1e-6 and got[r.doc_id].predicted == (want >= 0.3)

@@ -10,7 +10,10 @@ Training uses at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id
 
 Defined cases: a null or empty text gets features of zero and a score; null
 labels are not learned from; without rows of both labels the score is the share
-of label 1 (0.5 without rows); repeated rows count as often as they occur.
+of label 1 (0.5 without rows); repeated rows count as often as they occur, and
+are scored one by one; rows with a null id are scored, not learned from and not
+held out; an empty table gives no rows; further columns pass through, but a
+column of the name of a result gives way to it.
 """
 
 from __future__ import annotations

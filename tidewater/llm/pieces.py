@@ -45,8 +45,8 @@ from tidewater.llm.shared import clean_text, materialize, string_keys, text_slic
 from tidewater.llm.token_counts import head_threshold
 
 VOCABULARY = "piece_bpe_32k.model"
-HEAD_UNITS = 1 << 19
-SAMPLE_DOCS = 40_000
+HEAD_UNITS = 1 << 18
+SAMPLE_DOCS = 20_000
 LONGEST = 2048
 #: Texts whose rare units a task has sent; beyond so many it starts anew and may send some twice.
 SENT_TEXTS = 1 << 20
@@ -503,7 +503,8 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, head_units:
 
     told = materialize(rows.select("h1", "h2", "plain").mapInArrow(rare_units, "h1 bigint, h2 int, units array<string>"), "pieces-rare")
     missing = told.select("h1", "h2", F.posexplode("units").alias("j", "unit"))
-    made = unit_ids(missing.groupBy("unit").agg(F.count("*").alias("times")), path)
+    # dealt by a given number: a partition that is small now holds many edges later
+    made = unit_ids(missing.select("unit").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").distinct(), path)
     given = missing.join(made, "unit").groupBy("h1", "h2").agg(F.collect_set(F.struct("j", "ids")).alias("given"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
