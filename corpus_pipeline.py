@@ -4,6 +4,13 @@
 ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and
 read again as the next stage's ``docs``.  All but the last return the columns
 of ``documents``.
+
+Defined cases, for every stage: rows with null texts have no words (the rules
+reject them; packing gives them their end id); rows with null ids are judged by
+their texts, never merged, and packed; repeated rows are judged alike, and one of
+them is left by the near duplicates; ties fall to the smallest id; an empty table
+gives an empty table; further columns, whatever their names, pass through to the
+last stage, which returns pieces.
 """
 
 from __future__ import annotations
