@@ -8,13 +8,22 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions import arrays, dates, geometry, numbers, rows, strings, textsearch
+from tidewater.functions import arrays, dates, fuzzy, geometry, numbers, rows, strings, textsearch
 from tidewater.operators import aggregates, changes, joins, recursion
 
 L = F.lit
+WORDS = [("kitten", "sitting"), ("", "abc"), ("abc", ""), ("flaw", "lawn"), ("a", "a")]
 POINTS = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
 
 
+def edit_cost(a, b, insert, delete, change):
+    """Turning a into b, by trying every way."""
+    if not a or not b:
+        return len(b) * insert + len(a) * delete
+    kept = edit_cost(a[1:], b[1:], insert, delete, change) + (a[0] != b[0]) * change
+    return min(kept, edit_cost(a, b[1:], insert, delete, change) + insert, edit_cost(a[1:], b, insert, delete, change) + delete)
+
+
 def shape(*points):
     return F.array(*(geometry.point(L(x), L(y)) for x, y in points))
 
@@ -53,6 +62,8 @@ def cases():
         "seg": (F.array(*arrays.seg_parse(L("<1.5 .. "))), [1.5, math.inf]),
         "path_index": (arrays.path_index(L("a.b.c.b"), L("b.c")), 1),
         "path_index_none": (arrays.path_index(L("a.b"), L("a.b.c")), -1),
+        "is_of": (rows.is_of(L(1), "int", "bigint") & ~rows.is_of(L("a"), "int"), True),
+        "costs": (F.array(*(fuzzy.levenshtein_with_costs(L(a), L(b), 2, 3, 4) for a, b in WORDS)), [edit_cost(a, b, 2, 3, 4) for a, b in WORDS]),
         "mac": (rows.macaddr(L("0800.2b01.02FF")), "08:00:2b:01:02:ff"),
         "xml_root": (rows.xmlroot(L('<?xml version="1.0"?><a/>'), "1.1"), '<?xml version="1.1"?><a/>'),
         "box_area": (geometry.box_area(box), 6.0),

@@ -16,6 +16,11 @@ def enum_range(labels: list[str], first: str | None = None, last: str | None = N
     return labels[labels.index(first) if first else 0 : labels.index(last) + 1 if last else len(labels)]
 
 
+def is_of(value: Column, *types: str) -> Column:
+    """value IS OF (types): by the names of Spark's types."""
+    return F.typeof(value).isin(*types)
+
+
 def domain(value: Column, check: Column, name: str) -> Column:
     """``value``, or an error if it is not null and fails the check."""
     return F.when(value.isNotNull() & ~F.coalesce(check, F.lit(True)), F.raise_error(F.lit(f"value for domain {name} violates check constraint"))).otherwise(value)
