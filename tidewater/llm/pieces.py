@@ -41,12 +41,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.encode import default_path
-from tidewater.llm.shared import clean_text, materialize, string_keys, text_slices
+from tidewater.llm.shared import clean_text, give_back, materialize, string_keys, text_slices
 from tidewater.llm.token_counts import head_threshold
 
 VOCABULARY = "piece_bpe_32k.model"
-HEAD_UNITS = 1 << 18
-SAMPLE_DOCS = 20_000
+HEAD_UNITS = 1 << 19
+SAMPLE_DOCS = 40_000
 LONGEST = 2048
 #: Texts whose rare units a task has sent; beyond so many it starts anew and may send some twice.
 SENT_TEXTS = 1 << 20
@@ -437,10 +437,9 @@ class Head:
 def make_head(docs: DataFrame, path: str, most: int) -> Head:
     often = often_found(docs, path, most)
     made = unit_ids(often.select("unit").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit"), path)
-    found, times = made.toArrow().combine_chunks(), often.toArrow().combine_chunks()  # at most ``most`` rows of up to 64 characters
+    found = made.join(often, "unit").toArrow().combine_chunks()  # at most ``most`` rows of up to 64 characters
     if not found.num_rows:
         return Head.of(pa.array([], pa.large_string()), np.empty(0, np.uint32), np.zeros(1, np.int64))
-    found = found.append_column("times", times["times"].take(pc.index_in(found["unit"], value_set=times["unit"].combine_chunks())))
     found = found.sort_by([("times", "descending"), ("unit", "ascending")]).combine_chunks()
     ids = found["ids"].combine_chunks()
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])
@@ -470,6 +469,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, head_units:
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" "))
     rows = docs.select("doc_id", plain.alias("plain")).withColumns({"h1": F.xxhash64("plain"), "h2": F.hash("plain")})
     shared = spark.sparkContext.broadcast(make_head(rows, path, head_units))
+    give_back()  # of the driver's Python
 
     def coded(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct units, their places in the head (or -1) and in order, and the
