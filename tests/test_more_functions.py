@@ -156,3 +156,9 @@ def test_rank_by_cover_density(spark):
     got = textsearch.ts_rank_cd(textsearch.ts_rank_cd(texts, v, ["cat", "hat"], "r"), textsearch.setweight(v, "A"), ["cat", "hat"], "w", 32).collect()
     assert [r.r for r in got] == pytest.approx([0.1 / 2 + 0.1 / 3, 0.0, 0.0, 0.0])
     assert [r.w for r in got] == pytest.approx([(5 / 6) / (1 + 5 / 6), 0.0, 0.0, 0.0])
+
+
+def test_interval_sums_beyond_one_interval(spark):
+    spans = spark.range(3).select(F.make_dt_interval(days=F.lit(100_000_000), hours=F.lit(30), secs=F.lit(-0.5)).alias("s"))
+    told = spans.agg(aggregates.interval_sum(F.col("s")).alias("t")).first().t
+    assert (told.days, float(told.seconds)) == (300_000_003, 3 * (6 * 3600 - 0.5))

@@ -23,6 +23,14 @@ def exact_avg(value: Column) -> Column:
     return F.avg(value.cast("decimal(20,6)"))
 
 
+def interval_sum(span: Column) -> Column:
+    """The sum of day-time intervals as (days, seconds), neither carried into the
+    other.  Spark's own sum is one interval, which ends at 106,751,991 days."""
+    part = lambda unit: F.extract(F.lit(unit), span)
+    seconds = part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
+    return F.struct(F.sum(part("DAY").cast("long")).alias("days"), F.sum(seconds).alias("seconds"))
+
+
 def xmlagg(value: Column, *order: Column) -> Column:
     kept = F.filter(F.coalesce(array_agg(value, *order), F.array().cast("array<string>")), lambda x: x.isNotNull())
     return F.when(F.size(kept) > 0, F.array_join(kept, ""))

@@ -150,11 +150,11 @@ def agg_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of integers, extremes of texts and dates, sums of decimals and intervals."""
     d = F.col("o_orderdate")
     since = F.datediff(d.cast("date"), F.lit("1995-01-01").cast("date"))
-    spans = F.sum(F.make_dt_interval(days=since))
+    spans = aggregates.interval_sum(F.make_dt_interval(days=since))
     return load(spark, sf, "orders").groupBy("o_orderstatus").agg(
         F.round(aggregates.exact_avg(F.col("o_custkey")), 6).cast("double").alias("mean"), F.min("o_orderpriority").alias("low"), F.max("o_orderpriority").alias("high"),
         F.date_format(F.min(d), "yyyy-MM-dd").alias("first"), F.date_format(F.max(d), "yyyy-MM-dd").alias("last"),
-        F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("exact"), F.extract(F.lit("DAY"), spans).cast("long").alias("days"),
+        F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("exact"), spans["days"].alias("days"),
     )
 
 
