@@ -162,3 +162,12 @@ def test_interval_sums_beyond_one_interval(spark):
     spans = spark.range(3).select(F.make_dt_interval(days=F.lit(100_000_000), hours=F.lit(30), secs=F.lit(-0.5)).alias("s"))
     told = spans.agg(aggregates.interval_sum(F.col("s")).alias("t")).first().t
     assert (told.days, float(told.seconds)) == (300_000_003, 3 * (6 * 3600 - 0.5))
+
+
+def test_concat_reads_the_first_vector_once(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda i: F.concat(F.lit("w"), (i % 5000).cast("string"))), " ")
+    v = spark.range(1).select(textsearch.tsvector(F.concat(text, F.lit(" end"))).alias("v")).localCheckpoint()
+    df = v.select(textsearch.concat(F.col("v"), textsearch.setweight(F.col("v"), "A")).alias("c"))
+    inside = df._jdf.queryExecution().optimizedPlan().toString().partition("map_zip_with")[2]
+    assert inside and "array_max" not in inside  # else all places are read for each place
+    assert df.select("c.w1").first()[0] == [1, 5001, (3 << textsearch.PLACE_BITS) + 10_002, (3 << textsearch.PLACE_BITS) + 15_002]

@@ -32,8 +32,12 @@ def _runs(ordered: Column) -> Column:
     n = F.size(ordered)
     places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    ends = F.when(n > 0, F.array_append(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), n)).otherwise(F.array().cast("array<int>"))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("next")))
+
+    def pairs(starts: Column) -> Column:
+        ends = F.when(n > 0, F.array_append(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), n)).otherwise(F.array().cast("array<int>"))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("next")))
+
+    return _let(starts, pairs)
 
 
 def _let(value: Column, body) -> Column:
@@ -81,9 +85,12 @@ def place_of(x: Column) -> Column:
 
 def concat(a: Column, b: Column) -> Column:
     """Two vectors; the places of ``b`` go on behind the last one of ``a``."""
-    last = F.coalesce(F.array_max(F.transform(F.flatten(F.map_values(a)), place_of)), F.lit(0))
     none = F.array().cast("array<int>")
-    return F.map_zip_with(a, b, lambda _, x, y: F.concat(F.coalesce(x, none), F.transform(F.coalesce(y, none), lambda p: p + last)))
+
+    def joined(last: Column) -> Column:
+        return F.map_zip_with(a, b, lambda _, x, y: F.concat(F.coalesce(x, none), F.transform(F.coalesce(y, none), lambda p: p + last)))
+
+    return _let(F.coalesce(F.array_max(F.transform(F.flatten(F.map_values(a)), place_of)), F.lit(0)), joined)
 
 
 def parse(query: str) -> tuple:
