@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import arrays, dates, fuzzy, geometry, numbers, rows, strings, textsearch
 from tidewater.operators import aggregates, changes, joins, recursion
+from tidewater.registry import QUERIES
 
 L = F.lit
 WORDS = [("kitten", "sitting"), ("", "abc"), ("abc", ""), ("flaw", "lawn"), ("a", "a")]
@@ -171,3 +172,14 @@ def test_concat_reads_the_first_vector_once(spark):
     inside = df._jdf.queryExecution().optimizedPlan().toString().partition("map_zip_with")[2]
     assert inside and "array_max" not in inside  # else all places are read for each place
     assert df.select("c.w1").first()[0] == [1, 5001, (3 << textsearch.PLACE_BITS) + 10_002, (3 << textsearch.PLACE_BITS) + 15_002]
+
+
+def test_inherited_self_join_counts_before_it_joins(spark, tmp_path):
+    """Two million pairs of one key come from one row of each side."""
+    spark.range(2000).select(F.format_string("s%d", "id").alias("s_name"), F.lit(7).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1000).select(F.format_string("c%d", "id").alias("c_name"), F.lit(7).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    df = QUERIES["join_inherited_self"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert plan.count("Aggregate", join) == 2
+    assert {(r.left_table, r.right_table): r.pairs for r in df.collect()} == {("supplier", "supplier"): 4_000_000, ("customer", "supplier"): 2_000_000}

@@ -123,12 +123,14 @@ def set_nested(spark: SparkSession, sf: str) -> DataFrame:
 @PLANS.query("""WITH a AS (SELECT s_name AS name, s_nationkey AS n, 'supplier' AS t FROM supplier UNION ALL SELECT c_name, c_nationkey, 'customer' FROM customer)
 SELECT x.t AS left_table, y.t AS right_table, count(*) AS pairs FROM a x JOIN (SELECT * FROM a WHERE t = 'supplier') y ON x.n = y.n GROUP BY 1, 2""")
 def join_inherited_self(spark: SparkSession, sf: str) -> DataFrame:
-    """A tree of tables joined with its own root."""
+    """A tree of tables joined with its own root.  Rows of a key are counted
+    first, so the pairs are products of counts."""
     parent = load(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("n"))
     child = load(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
     whole = with_children(parent, {"customer": child}, "supplier")
-    root = whole.filter("tableoid = 'supplier'").select("n", F.col("tableoid").alias("right_table"))
-    return whole.withColumnRenamed("tableoid", "left_table").join(root, "n").groupBy("left_table", "right_table").agg(F.count("*").alias("pairs"))
+    counts = lambda rows, name: rows.groupBy("n", F.col("tableoid").alias(f"{name}_table")).agg(F.count("*").alias(name))
+    both = counts(whole, "left").join(counts(whole.filter("tableoid = 'supplier'"), "right"), "n")
+    return both.groupBy("left_table", "right_table").agg(F.sum(F.col("left") * F.col("right")).alias("pairs"))
 
 
 @PLANS.query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)")
