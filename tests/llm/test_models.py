@@ -181,3 +181,45 @@ def test_tables_grow_with_the_tokens_and_blocks_round_trip():
     for b in range(language_model.BLOCKS):
         back.put(b, w.block(b))
     assert all((x == y).all() for x, y in zip(w.parts(), back.parts(), strict=True))
+
+
+def test_sums_of_runs_and_shared_features_equal_plain_ones():
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 5), (1, 5), (700, 3), (700, 400)):
+        rows, key = rng.standard_normal((n, 64)).astype(np.float32), rng.integers(0, top, n)
+        want = np.zeros((top, 64))
+        np.add.at(want, key, rows)
+        if n:
+            order, first, size = language_model._runs(key)
+            got, by = language_model.run_sums(rows, order, size)
+            assert len(got) == len(set(key.tolist()))
+            assert got == pytest.approx(want[key[order[first[by]]]], abs=1e-4)
+    key, other, target = rng.integers(0, 60, 3000), rng.integers(0, 50, 3000), rng.integers(0, 64, 3000)
+    features = np.stack([key % 40, 100 + other, 200 + key % 7])
+    bias = rng.standard_normal(64).astype(np.float32)
+    bias[5] = -1e9
+    made = []
+    for shared in ((), ((key, (0, 2)),)):
+        w, speed = np.zeros((300, 64), np.float32), np.ones(300, np.float32)
+        for _ in range(3):
+            language_model.descend(target, features, w, speed, bias, shared)
+        made.append(w)
+    assert made[0] == pytest.approx(made[1], abs=1e-4) and np.abs(made[0]).max() > 0.1
+    far = np.array([[900.0] + [0.0] * 63, [-900.0] * 64], np.float32)
+    assert language_model.softmax(np.array([[0, 1]]), far, np.zeros(64, np.float32)).sum(1) == pytest.approx([1, 1])
+
+
+def test_texts_are_looked_up_once(spark, sf, monkeypatch):
+    """Rounds and scores read the numbers of ``encode_texts``, which say all that the texts do."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    words = language_model.count_words(language_model.training_rows(docs))
+    vocab = language_model.vocabulary(words, 1000)
+    told = language_model.encode_texts(docs, vocab, spark.sparkContext.broadcast(vocab)).toArrow().combine_chunks()
+    texts = dict(docs.select("doc_id", "text").toPandas().values.tolist())
+    batch = told.to_batches()[0]
+    known, offsets = language_model._words_of(batch)
+    got = language_model.token_features(known, offsets, vocab)
+    want = language_model.tokens_of(*language_model.encode(pa.array([texts[i] or "" for i in batch["doc_id"].to_pylist()], pa.large_string()), vocab), vocab)
+    assert all((g == w).all() for g, w in zip(got, want, strict=False)) and (known < 0).any()
+    later = language_model._words_of(batch.slice(7, 3))
+    assert (later[0] == known[offsets[7] : offsets[10]]).all() and (later[1] == offsets[7:11] - offsets[7]).all()

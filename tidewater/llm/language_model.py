@@ -10,6 +10,8 @@
     the endings of the last three.  The weights are trained by gradient steps:
     in every round each task goes over its part of all training texts in small
     batches, then the tasks' weights are averaged, block by block, by a shuffle.
+    Texts are split and looked up once, to a number for each word, and rounds
+    and scores read those numbers.
 *   Within a class, words by frequency make up to ``BUCKETS`` buckets of about
     equal mass; ``P(bucket | class, h)`` is a softmax over weights of the class
     hashed with the last word and with its ending, trained in the same passes.
@@ -40,7 +42,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.gam import bucket
@@ -61,9 +63,12 @@ NAMED_WORDS = 4096
 TOKENS = 200_000_000
 ROUNDS, BATCH, STEP = 2, 8192, 0.3
 BLOCKS = 128
-SHORT_RUN = 16
-#: Rows up to so wide are summed by numpy's own runs, which are slower for wide ones.
-NARROW = 32
+#: Distinct words of several slices that a task holds while counting.
+HELD = 1 << 18
+#: Rows of a batch that are worked on at a time, and rows of a run summed in one turn.
+CACHED, PIECE = 1024, 8
+#: Exponents up to so far from zero need no shift.
+SAFE = 60.0
 
 
 @dataclass(frozen=True)
@@ -140,6 +145,7 @@ class Vocabulary:
     endings: dict[str, int]
     buckets: np.ndarray
     share: np.ndarray  # log10 P(w | bucket) of head words
+    end_rows: np.ndarray
     ends: int
     tokens: int
     types: int
@@ -159,18 +165,34 @@ def word_class(word: str, singles: dict[str, int], endings: dict[str, int]) -> i
     return endings.get(ending(word), 2 + SINGLES + ENDINGS - 1)
 
 
+def is_training() -> Column:
+    return F.coalesce(bucket("doc_id", 10) != 0, F.lit(True))
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
-    return docs.filter(F.coalesce(bucket("doc_id", 10) != 0, F.lit(True)))
+    return docs.filter(is_training())
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, c; what several slices hold is summed until there are ``HELD`` rows."""
+    held: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
     for whole in batches:
         for batch in text_slices(whole):
             flat, _ = split_words(pc.ascii_lower(clean_text(batch)))
             encoded = flat.dictionary_encode()
             times = np.bincount(encoded.indices.to_numpy(), minlength=len(encoded.dictionary)).astype(np.int64)
             words = pa.concat_arrays([encoded.dictionary.cast(pa.string()), pa.array([None], pa.string())])
-            yield pa.RecordBatch.from_arrays([words, pa.array(np.append(times, batch.num_rows))], names=["word", "c"])
+            held.append(pa.table({"word": words, "c": np.append(times, batch.num_rows)}))
+            if sum(map(len, held)) > HELD:
+                held = [summed()]
+                if len(held[0]) > HELD // 2:
+                    yield from held.pop().to_batches(max_chunksize=1 << 16)
+    if held:
+        yield from summed().to_batches(max_chunksize=1 << 16)
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -213,7 +235,7 @@ def vocabulary(words: DataFrame, head_words: int = HEAD_WORDS) -> Vocabulary:
     mass[RARE] = n - mass.sum()
     mass[[RARE, END]] = np.maximum(mass[[RARE, END]], 0.5)
     bias = np.where(mass > 0, np.log(np.maximum(mass, 0.5) / max(mass.sum(), 0.5)), -1e9).astype(np.float32)  # a class without words takes nothing
-    return Vocabulary(head["word"].combine_chunks().cast(pa.large_string()), counts, classes, singles, endings, buckets, share, e, n, v, bias, inner_bias, Sizes.of(n))
+    return Vocabulary(head["word"].combine_chunks().cast(pa.large_string()), counts, classes, singles, endings, buckets, share, ending_rows(head["word"].combine_chunks()), e, n, v, bias, inner_bias, Sizes.of(n))
 
 
 def encode(text: pa.Array, vocab: Vocabulary):
@@ -226,48 +248,73 @@ def encode(text: pa.Array, vocab: Vocabulary):
     return words, encoded.indices.to_numpy().astype(np.int64), place, offsets
 
 
+def ending_rows(words: pa.Array) -> np.ndarray:
+    """The row of each word's ending, from 1."""
+    if not len(words):
+        return np.empty(0, np.int32)
+    tail = pc.dictionary_encode(pc.utf8_slice_codeunits(pc.utf8_rtrim(words, characters=".,;:!?\"')"), -2, None))
+    salt = np.array([_text_hash(e) for e in tail.dictionary.to_pylist()], np.int64)
+    return (salt[tail.indices.to_numpy()] % (ENDING_ROWS - 1) + 1).astype(np.int32)
+
+
+def known_words(words: pa.Array, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """All that the model sees of each word: its place in the head, or -1 less
+    the row of its ending."""
+    told = place.astype(np.int32)
+    rare = np.nonzero(place < 0)[0]
+    told[rare] = -1 - ending_rows(words.take(pa.array(rare)))
+    return told[codes]
+
+
 def tokens_of(words: pa.Array, codes: np.ndarray, place: np.ndarray, offsets: np.ndarray, vocab: Vocabulary):
     """Targets and feature rows of all tokens (words, then the end, per text)."""
-    ends = pc.utf8_rtrim(words, characters=".,;:!?\"')")
-    tail = pc.dictionary_encode(pc.utf8_slice_codeunits(ends, -2, None) if len(ends) else ends)
-    salt = np.array([_text_hash(e) for e in tail.dictionary.to_pylist()], np.int64)
-    end_row = salt[tail.indices.to_numpy()] % (ENDING_ROWS - 1) + 1 if len(words) else np.empty(0, np.int64)
-    target = np.where(place >= 0, vocab.classes[place], RARE) if len(vocab.classes) else np.full(len(place), RARE)
+    return token_features(known_words(words, codes, place), offsets, vocab)[:3]
+
+
+def name_rows(vocab: Vocabulary) -> np.ndarray:
+    """Features 0, 2, 3 and 4 (as rows) of all names of words: those of endings,
+    then those of the words that are known by name."""
     sizes = vocab.sizes
-    name = np.where((place >= 0) & (place < sizes.named), place + ENDING_ROWS, end_row)
+    tails = np.concatenate([np.arange(ENDING_ROWS), vocab.end_rows[: sizes.named]])
+    names, endings = np.arange(len(tails)), 2 * sizes.words + sizes.pairs
+    first = mix(names + 1) % np.uint64(sizes.words)
+    skipped = sizes.words + sizes.pairs + (mix(names + 1_000_000_007) % np.uint64(sizes.words)).astype(np.int64)
+    return np.stack([first.astype(np.int64), skipped, endings + tails, endings + ENDING_ROWS + tails]).astype(np.int32)
+
+
+def token_features(known: np.ndarray, offsets: np.ndarray, vocab: Vocabulary):
+    """Targets, feature rows, where texts end, and the names of the last two words
+    of each token: one gives features 0 and 3, the other 2 and 4."""
+    sizes, head = vocab.sizes, known >= 0
+    place = known[head]
+    name = -1 - known
+    name[head] = np.where(place < sizes.named, place + ENDING_ROWS, vocab.end_rows[place])
+    target = np.full(len(known), RARE, np.int32)
+    target[head] = vocab.classes[place]
     n = len(offsets) - 1
-    size = len(codes) + n
-    at = np.arange(len(codes)) + owner(offsets)  # where words go, leaving room for ends
+    size = len(known) + n
+    at = np.arange(len(known)) + owner(offsets)  # where words go, leaving room for ends
     last = offsets[1:] + np.arange(n)
-    out = np.full(size, END)
-    out[at] = target[codes]
-    names, rows = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    names[at], rows[at] = name[codes], end_row[codes]
-    names[last], rows[last] = 0, 0
-
-    def back(values: np.ndarray, k: int) -> np.ndarray:
-        """Values k tokens earlier; 0 beyond a text's first word (an end has 0)."""
-        moved = np.zeros_like(values)
-        moved[k:] = values[:-k]
+    out = np.full(size, END, np.int32)
+    out[at] = target
+    names = np.zeros(size, np.int32)
+    names[at] = name
+
+    def back(k: int) -> np.ndarray:
+        """Names k tokens earlier; 0 beyond a text's first word (an end has 0)."""
+        moved = np.zeros_like(names)
+        moved[k:] = names[:-k]
         first = np.concatenate([[0], last[:-1] + 1])
         for j in range(k):
             here = first + j
             moved[here[here <= last]] = 0
         return moved
 
-    one, two = back(names, 1), back(names, 2)
-    endings = 2 * sizes.words + sizes.pairs
-    features = np.stack(
-        [
-            (mix(one + 1) % np.uint64(sizes.words)).astype(np.int64),
-            sizes.words + (mix(one * 1_000_003 + two + 7) % np.uint64(sizes.pairs)).astype(np.int64),
-            sizes.words + sizes.pairs + (mix(two + 1_000_000_007) % np.uint64(sizes.words)).astype(np.int64),
-            endings + back(rows, 1),
-            endings + ENDING_ROWS + back(rows, 2),
-            endings + 2 * ENDING_ROWS + back(rows, 3),
-        ]
-    )
-    return out, features, last
+    one, two = back(1), back(2)
+    first, skipped, tail, before = name_rows(vocab)
+    pair = sizes.words + (mix(one.astype(np.int64) * 1_000_003 + two + 7) & np.uint64(sizes.pairs - 1)).astype(np.int32)  # a power of two
+    features = np.stack([first[one], pair, skipped[two], tail[one], before[two], before[back(3)] + ENDING_ROWS])
+    return out, features, last, (one, two)
 
 
 def _text_hash(text: str) -> int:
@@ -277,67 +324,129 @@ def _text_hash(text: str) -> int:
     return value
 
 
-def inner_tokens(codes: np.ndarray, place: np.ndarray, offsets: np.ndarray, target: np.ndarray, features: np.ndarray, vocab: Vocabulary):
+def inner_tokens(known: np.ndarray, offsets: np.ndarray, target: np.ndarray, features: np.ndarray, vocab: Vocabulary):
     """Tokens that are words of the head: their places, buckets, and rows of the
     inner table (the class with the last word, and with its ending)."""
-    word = place[codes] >= 0
-    at = (np.arange(len(codes)) + owner(offsets))[word]
-    bucket = vocab.buckets[place[codes][word]]
+    word = known >= 0
+    at = (np.arange(len(known)) + owner(offsets))[word]
+    bucket = vocab.buckets[known[word]]
     own = target[at]
-    rows = [(mix(features[k, at] * CLASSES + own + 11) % np.uint64(vocab.sizes.inner)).astype(np.int64) for k in (0, 3)]
+    rows = [(mix(features[k, at].astype(np.int64) * CLASSES + own + 11) & np.uint64(vocab.sizes.inner - 1)).astype(np.int32) for k in (0, 3)]  # a power of two
     return at, bucket, np.stack(rows)
 
 
 def softmax(features: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    logits = weights.take(features[0], 0)
-    for f in features[1:]:
-        logits += weights.take(f, 0)
-    logits += bias
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
-
-
-def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows that start at ``first``: long runs one by one as
-    products, short ones place by place for all runs at once."""
-    size = np.diff(np.append(first, len(rows)))
-    out = rows.take(first, 0)
-    for i in np.nonzero(size > SHORT_RUN)[0]:
-        out[i] = np.ones(size[i], np.float32) @ rows[first[i] : first[i] + size[i]]
-    few = np.nonzero((size > 1) & (size <= SHORT_RUN))[0]
-    for k in range(1, SHORT_RUN):
-        few = few[size[few] > k]
-        if not len(few):
-            break
-        out[few] += rows.take(first[few] + k, 0)
+    return softmax_of([(weights, f) for f in features], bias)
+
+
+def softmax_of(terms: list[tuple[np.ndarray, np.ndarray]], bias: np.ndarray | None) -> np.ndarray:
+    """Probabilities of each token from the sum of a row of each table (and of a
+    bias for all or each token), a part at a time that stays in a core's cache."""
+    n, width = len(terms[0][1]), terms[0][0].shape[1]
+    out = np.empty((n, width), terms[0][0].dtype)
+    more = np.empty((min(n, CACHED), width), out.dtype)
+    ones = np.ones(width, out.dtype)
+    for a in range(0, n, CACHED):
+        z = out[a : a + CACHED]
+        other = more[: len(z)]
+        for k, (table, rows) in enumerate(terms):
+            np.take(table, rows[a : a + CACHED], 0, other if k else z, "clip")  # "raise" would copy; rows are remainders by the table's size
+            if k:
+                z += other
+        if bias is not None:
+            z += bias if bias.ndim == 1 else bias[a : a + CACHED]
+        if z.max() > SAFE or z[:, 0].min() < -SAFE:  # else no sum overflows or vanishes
+            z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (1 / (z @ ones))[:, None]
     return out
 
 
-def descend(target: np.ndarray, features: np.ndarray, weights: np.ndarray, speed: np.ndarray, bias: np.ndarray) -> None:
+def run_sums(rows: np.ndarray, order: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of runs of ``rows`` taken in ``order``, and the run of each sum: runs
+    are cut into pieces of ``PIECE`` rows, the longest first, and summed place by
+    place for all pieces at once; then pieces are the rows of the next turn."""
+    while True:
+        first, count = np.cumsum(size) - size, -(-size // PIECE)
+        whole = len(count) == 0 or count.max() == 1
+        if not whole:
+            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            first, size = np.repeat(first, count) + inside * PIECE, np.minimum(np.repeat(size, count) - inside * PIECE, PIECE)
+        by = np.argsort((PIECE - size).astype(np.uint8), kind="stable")
+        first = first[by]
+        sums = rows.take(order[first], 0)
+        more = np.empty((min(len(sums), CACHED), rows.shape[1]), rows.dtype)
+        longer = len(size) - np.cumsum(np.bincount(size, minlength=PIECE + 1))
+        for k in range(1, PIECE):
+            at = order[first[: longer[k]] + k]
+            for a in range(0, len(at), CACHED):
+                some = at[a : a + CACHED]
+                np.take(rows, some, 0, more[: len(some)], "clip")
+                sums[a : a + len(some)] += more[: len(some)]
+        if whole:
+            return sums, by
+        rows, size, order = sums, count, np.empty(len(by), np.int64)
+        order[by] = np.arange(len(by))
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts rows, and where each run of equal ones starts and its size."""
+    order = np.argsort(rows.astype(np.uint16) if len(rows) and rows.max() < 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
+    ranked = rows[order]
+    first = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0]
+    return order, first, np.diff(np.append(first, len(rows)))
+
+
+def descend(target: np.ndarray, features: np.ndarray, weights: np.ndarray, speed: np.ndarray, bias: np.ndarray, shared: tuple[tuple[np.ndarray, tuple[int, ...]], ...] = ()) -> None:
     """One pass of gradient steps over the tokens, in place; each row's step is
     scaled by the squares of its gradients so far.  ``bias`` is one row, or one
-    for each token."""
-    kind = np.uint16 if len(weights) <= 1 << 16 else np.int32  # 16 bits are sorted by radix
+    for each token.  ``shared`` names keys and the features that follow from
+    them: these are added up, and their gradients summed, once for each key."""
+    alone = [k for k in range(len(features)) if not any(k in ks for _, ks in shared)]
     for a in range(0, len(target), BATCH):
         part = features[:, a : a + BATCH]
-        slope = softmax(part, weights, bias if bias.ndim == 1 else bias[a : a + BATCH])
+        terms, groups = [(weights, part[k]) for k in alone], []
+        rest = bias if bias.ndim == 1 else bias[a : a + BATCH]
+        for key, own in shared:
+            order, first, size = _runs(key[a : a + BATCH])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.repeat(np.arange(len(first)), size)
+            rows = [part[k][order[first]] for k in own]
+            table = sum(weights.take(f, 0) for f in rows)
+            if rest is bias:
+                table, rest = table + bias, None
+            terms.append((table, place))
+            groups.append((order, size, rows))
+        slope = softmax_of(terms, rest)
         slope[np.arange(slope.shape[0]), target[a : a + BATCH]] -= 1
-        for f in part:
-            order = np.argsort(f.astype(kind), kind="stable")
-            ranked = f[order]
-            first = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0]
-            rows = ranked[first]
-            ordered = slope.take(order, 0)
-            g = run_sums(ordered, first) if ordered.shape[1] > NARROW else np.add.reduceat(ordered, first, axis=0)
+        sums = [(slope, part[k]) for k in alone]
+        for order, size, rows in groups:
+            g, by = run_sums(slope, order, size)
+            sums += [(g, f[by]) for f in rows]
+        for values, f in sums:
+            order, first, size = _runs(f)
+            g, by = run_sums(values, order, size)
+            rows = f[order[first[by]]]
             speed[rows] += np.einsum("ij,ij->i", g, g) / weights.shape[1]
-            weights[rows] -= (STEP / np.sqrt(speed[rows]))[:, None] * g
+            g *= (STEP / np.sqrt(speed[rows]))[:, None]
+            new = weights.take(rows, 0)
+            new -= g
+            weights[rows] = new
+
+
+def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as ``known_words`` gave them, and where each text's start."""
+    column = batch.column("words")
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].tobytes() if data is not None else b""
+    return np.frombuffer(raw, np.int32), (offsets - offsets[0]) // 4
 
 
 def train_round(train: DataFrame, vocab, weights: Weights) -> Weights:
-    """Each task's pass over its texts, then the mean of the tasks' weights by
-    their numbers of tokens.  ``vocab`` is a broadcast variable."""
+    """Each task's pass over its texts (``words`` of ``encode_texts``), then the
+    mean of the tasks' weights by their numbers of tokens.  ``vocab`` is a
+    broadcast variable."""
     spark = train.sparkSession
     start = spark.sparkContext.broadcast(weights)
 
@@ -345,11 +454,11 @@ def train_round(train: DataFrame, vocab, weights: Weights) -> Weights:
         w, v = start.value.copy(), vocab.value
         seen = 0
         for whole in batches:
-            for batch in text_slices(whole):
-                words, codes, place, offsets = encode(clean_text(batch), v)
-                target, features, _ = tokens_of(words, codes, place, offsets, v)
-                descend(target, features, w.outer, w.outer_speed, v.bias)
-                at, bucket, rows = inner_tokens(codes, place, offsets, target, features, v)
+            for batch in text_slices(whole, "words"):
+                known, offsets = _words_of(batch)
+                target, features, _, (one, two) = token_features(known, offsets, v)
+                descend(target, features, w.outer, w.outer_speed, v.bias, ((one, (0, 3)), (two, (2, 4))))
+                at, bucket, rows = inner_tokens(known, offsets, target, features, v)
                 for a in range(0, len(at), 32 * BATCH):
                     some = slice(a, a + 32 * BATCH)
                     descend(bucket[some], rows[:, some], w.inner, w.inner_speed, v.inner_bias[target[at[some]]])
@@ -366,7 +475,7 @@ def train_round(train: DataFrame, vocab, weights: Weights) -> Weights:
             total += tokens
         return pa.table({"block": part["block"].slice(0, 1), "w": pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())})
 
-    texts = train.select("text")
+    texts = train.select("words")
     most = 4 * vocab.value.tokens // sum(x.nbytes for x in weights.parts()) + 1
     if weights.outer.shape[0] > Sizes().rows and texts.rdd.getNumPartitions() > most:
         texts = texts.coalesce(most)
@@ -378,55 +487,78 @@ def train_round(train: DataFrame, vocab, weights: Weights) -> Weights:
     return new
 
 
-def score(docs: DataFrame, words: DataFrame, vocab: Vocabulary, shared, weights: np.ndarray, inner: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast((weights, Weights.new(vocab.sizes).inner if inner is None else inner))
+def encode_texts(docs: DataFrame, vocab: Vocabulary, shared) -> DataFrame:
+    """row, doc_id, train, n_tokens, known, base, rare (words outside the head and
+    how often) and words (as ``known_words`` gives them) of every row."""
     base_total = vocab.tokens + 0.1 * (vocab.types + 1)
     base_end = float(np.log10((vocab.ends + 0.1) / base_total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (outer, within) = shared.value, table.value
+        v = shared.value
         base = np.log10((np.append(v.counts, 0) + 0.1) / base_total)
-        share = np.append(v.share, 0.0)
         for whole in batches:
             for batch in text_slices(whole):
-                text = clean_text(batch)
-                found, codes, place, offsets = encode(text, v)
-                target, features, last = tokens_of(found, codes, place, offsets, v)
-                log_p = np.empty(len(target))
-                for a in range(0, len(target), BATCH):
-                    p = softmax(features[:, a : a + BATCH], outer, v.bias)
-                    log_p[a : a + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), target[a : a + BATCH]], 1e-30))
-                words_at, bucket, rows = inner_tokens(codes, place, offsets, target, features, v)
-                for a in range(0, len(words_at), BATCH):
-                    own = words_at[a : a + BATCH]
-                    p = softmax(rows[:, a : a + BATCH], within, v.inner_bias[target[own]])
-                    log_p[own] += np.log10(np.maximum(p[np.arange(len(p)), bucket[a : a + BATCH]], 1e-30))
-                ends = np.append(0, last + 1)
-                sums = np.append(0, np.cumsum(log_p))[ends]
+                found, codes, place, offsets = encode(clean_text(batch), v)
                 at = place[codes]
-                inside = np.append(0, np.cumsum(share[at]))[offsets]
                 plain = np.append(0, np.cumsum(np.where(at >= 0, base[at], 0)))[offsets]
                 known = per_text(at >= 0, offsets)
                 rare = np.nonzero(at < 0)[0]
                 pairs, times = np.unique((owner(offsets)[rare] << 32) | codes[rare], return_counts=True)
-                bounds = np.searchsorted(pairs >> 32, np.arange(len(text) + 1)).astype(np.int32)
+                bounds = np.searchsorted(pairs >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
                 struct = pa.StructArray.from_arrays([found.take(pa.array(pairs & 0xFFFFFFFF)).cast(pa.string()), pa.array(times.astype(np.int64))], names=["word", "freq"])
+                told = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(known_words(found, codes, place))])
                 arrays = [
-                    batch.column("row"),
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in ("row", "doc_id", "train")),
                     pa.array(np.diff(offsets) + 1),
                     pa.array(known + int(v.ends > 0)),
                     pa.array(np.diff(plain) + base_end),
-                    pa.array(np.diff(sums) + np.diff(inside)),
                     pa.ListArray.from_arrays(pa.array(bounds), struct),
+                    told,
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "n_tokens", "known", "base", "model", "rare"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "train", "n_tokens", "known", "base", "rare", "words"])
+
+    schema = "row bigint, doc_id bigint, train boolean, n_tokens bigint, known bigint, base double, rare array<struct<word:string,freq:bigint>>, words binary"
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", is_training().alias("train"), "text")
+    return materialize(rows.mapInArrow(run, schema), "encoded")
+
+
+def score(docs: DataFrame, words: DataFrame, vocab: Vocabulary, shared, weights: np.ndarray, inner: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every row."""
+    return score_encoded(encode_texts(docs, vocab, shared), words, vocab, shared, weights, Weights.new(vocab.sizes).inner if inner is None else inner)
+
+
+def score_encoded(told: DataFrame, words: DataFrame, vocab: Vocabulary, shared, weights: np.ndarray, inner: np.ndarray) -> DataFrame:
+    """``score`` of the rows of ``encode_texts``."""
+    spark = told.sparkSession
+    table = spark.sparkContext.broadcast((weights, inner))
+    base_total = vocab.tokens + 0.1 * (vocab.types + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, (outer, within) = shared.value, table.value
+        share = np.append(v.share, 0.0)
+        rows_of = name_rows(v)
+        by_one, by_two = (outer.take(rows_of[k], 0) + outer.take(rows_of[k + 2], 0) for k in (0, 1))
+        by_one += v.bias
+        for whole in batches:
+            for batch in text_slices(whole, "words"):
+                known, offsets = _words_of(batch)
+                target, features, last, (one, two) = token_features(known, offsets, v)
+                log_p = np.empty(len(target))
+                for a in range(0, len(target), BATCH):
+                    some = slice(a, a + BATCH)
+                    p = softmax_of([(by_one, one[some]), (by_two, two[some]), (outer, features[1, some]), (outer, features[5, some])], None)
+                    log_p[a : a + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), target[a : a + BATCH]], 1e-30))
+                words_at, bucket, rows = inner_tokens(known, offsets, target, features, v)
+                for a in range(0, len(words_at), BATCH):
+                    own = words_at[a : a + BATCH]
+                    p = softmax(rows[:, a : a + BATCH], within, v.inner_bias[target[own]])
+                    log_p[own] += np.log10(np.maximum(p[np.arange(len(p)), bucket[a : a + BATCH]], 1e-30))
+                sums = np.append(0, np.cumsum(log_p))[np.append(0, last + 1)]
+                inside = np.append(0, np.cumsum(share[np.maximum(known, -1)]))[offsets]
+                model = pa.array(np.diff(sums) + np.diff(inside))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_tokens", "known", "base")), model], names=["row", "doc_id", "n_tokens", "known", "base", "model"])
 
-    schema = "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, model double, rare array<struct<word:string,freq:bigint>>"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    found = materialize(rows.mapInArrow(run, schema), "scored")
+    found = told.select("row", "doc_id", "n_tokens", "known", "base", "words").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, model double")
     # the class of rare words: discounted counts, and the rest for the unseen
     rare_words = words.filter("word is not null").join(_head_frame(spark, vocab), "word", "left_anti") if len(vocab.counts) else words.filter("word is not null")
     tail = materialize(rare_words, "tail")
@@ -435,14 +567,14 @@ def score(docs: DataFrame, words: DataFrame, vocab: Vocabulary, shared, weights:
     unseen = float(np.log10(DISCOUNT * types / mass)) if mass else 0.0
     c = F.coalesce("c", F.lit(0))
     inside = F.when(c > 0, F.log10((c - F.lit(DISCOUNT)) / F.lit(float(mass or 1)))).otherwise(F.lit(unseen))
-    terms = found.select("row", F.inline("rare")).join(tail, "word", "left").select(
+    terms = told.select("row", F.inline("rare")).join(tail, "word", "left").select(
         "row",
         F.when(c > 0, F.col("freq")).otherwise(0).alias("known"),
         (F.col("freq") * F.log10((c + 0.1) / F.lit(base_total))).alias("base"),
         (F.col("freq") * inside).alias("model"),
     )
     rest = terms.groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("model").alias("m"))
-    both = found.drop("rare").join(rest, "row", "left")
+    both = found.join(rest, "row", "left")
     zero = F.lit(0)
     return both.select(
         "doc_id",
@@ -465,9 +597,16 @@ def score_documents(docs: DataFrame, head_words: int = HEAD_WORDS, rounds: int =
     vocab = vocabulary(words, head_words)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
     weights = Weights.new(vocab.sizes)
-    for _ in range(rounds if vocab.tokens else 0):
-        weights = train_round(train, shared, weights)
-    scored = score(docs, words, vocab, shared, weights.outer, weights.inner)
+    told = encode_texts(docs, vocab, shared)
+    spark, tasks = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(tasks, None)
+    spark.conf.set(tasks, str(max(docs.rdd.getNumPartitions(), 1)))  # as many tasks as read the texts, whose files these are
+    try:
+        for _ in range(rounds if vocab.tokens else 0):
+            weights = train_round(told.filter("train"), shared, weights)
+    finally:
+        spark.conf.unset(tasks) if before is None else spark.conf.set(tasks, before)
+    scored = score_encoded(told, words, vocab, shared, weights.outer, weights.inner)
     if not vocab.tokens:
         scored = scored.withColumn("score", F.lit(0.0))
     held = F.coalesce(bucket("doc_id", 10) == 0, F.lit(False))
