@@ -17,8 +17,8 @@ the same fold takes the only path that is allowed.
 
 Units often found in a bounded sample of texts (``HEAD_UNITS`` of ``SAMPLE_DOCS``)
 are encoded first and sent to all tasks, which changes the cost but not the
-result; a text's other units are joined by unit, and to the text by its two
-hashes (96 bits): texts are packed into codes of one to three bytes a unit where
+result; a text's other units are dealt by unit with their places, and joined to
+the text by its two hashes (96 bits): texts are packed into codes of one to four bytes a unit where
 they are read, and only these are shuffled.  Units of over ``LONGEST`` characters
 would cost the square of their length in a fold; they go to the library.
 
@@ -39,6 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.encode import default_path
 from tidewater.llm.shared import clean_text, give_back, materialize, string_keys, text_slices
@@ -47,6 +48,12 @@ from tidewater.llm.token_counts import head_threshold
 VOCABULARY = "piece_bpe_32k.model"
 HEAD_UNITS = 1 << 19
 SAMPLE_DOCS = 40_000
+#: Characters of a unit of the head at most, and parts that the places of a longer one are dealt in.
+HEAD_LENGTH, PARTS = 64, 64
+#: Numbers of units that take one byte.
+ONE = 192
+#: Names whose keys are made at a time.
+NAMES = 1 << 15
 LONGEST = 2048
 #: Texts whose rare units a task has sent; beyond so many it starts anew and may send some twice.
 SENT_TEXTS = 1 << 20
@@ -226,16 +233,23 @@ def lattice(units: DataFrame, pieces: DataFrame, longest_piece: int) -> DataFram
     substring that is a piece, as one number.
 
     ``units`` come dealt by unit, and substrings stay with their unit's task, so
-    the grouping shuffles nothing.  The empty substring keeps units without any.
+    the grouping shuffles nothing.  The empty substring keeps units without any,
+    and their ``places``, if there are such; further columns tell units apart.
     """
-    at = units.select("unit").withColumn("at", F.explode(F.sequence(F.lit(1), F.length("unit"))))
+    keys, carried = [c for c in units.columns if c != "places"], "places" in units.columns
+    at = units.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("unit"))))
+    if carried:
+        at = at.withColumn("places", F.when(F.col("at") == 1, F.col("places")))
     first = F.when(F.col("at") == 1, 0).otherwise(1)
     spans = at.withColumn("size", F.explode(F.sequence(first, F.least(F.lit(longest_piece), F.length("unit") - F.col("at") + 1))))
     spans = spans.withColumn("piece", F.substr("unit", F.col("at"), F.col("size")))
+    if carried:
+        spans = spans.withColumn("places", F.when(F.col("size") == 0, F.col("places")))
     known = pieces.select("piece", "place").union(pieces.sparkSession.sql("SELECT '' AS piece, 0L AS place"))
     found = spans.join(F.broadcast(known), "piece")  # the vocabulary: a fixed size
     edge = (F.col("at") - 1).cast("long") * (1 << 32) + F.col("size") * (1 << 24) + F.col("place")
-    return found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    more = [F.first("places", ignorenulls=True).alias("places")] if carried else []
+    return found.groupBy(*keys).agg(F.collect_list(edge).alias("edges"), *more)
 
 
 def _edge_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -249,7 +263,7 @@ def _edge_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def follow_batches(table: pa.Table, merges: Merges | None, unknown: float):
-    """For ``mapInArrow``: (unit, edges) to unit and, for each end position, the
+    """For ``mapInArrow``: units with their edges to units and, for each end position, the
     edges there: size, id, score and the sizes of edges that it may follow."""
     ids, score = table["id"].to_numpy().astype(np.int64), table["score"].to_numpy()
 
@@ -303,7 +317,8 @@ def follow_batches(table: pa.Table, merges: Merges | None, unknown: float):
                     [pa.array(size.astype(np.int32)), pa.array(np.where(place >= 0, ids[known_place], UNKNOWN).astype(np.int32)), pa.array(value), pa.array(after)], names=["size", "id", "score", "after"]
                 )
                 ends = pa.ListArray.from_arrays(pa.array(inner), edge)
-                yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.ListArray.from_arrays(pa.array(outer), ends)], names=["unit", "ends"])
+                own = [c for c in batch.schema.names if c != "edges"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.ListArray.from_arrays(pa.array(outer), ends)], names=[*own, "ends"])
 
     return run
 
@@ -341,7 +356,7 @@ def viterbi(ends: Column) -> Column:
 
 
 def encode_units(units: DataFrame, pieces: DataFrame, fold: str = "merge", longest_piece: int = 16, first_byte: int | None = 3, unknown_id: int = 0, unknown: float = -1e6) -> DataFrame:
-    """unit and ids (array<int>) of units of up to ``LONGEST`` characters.
+    """``units`` of up to ``LONGEST`` characters with their ids (array<int>).
 
     ``units`` should come dealt by unit (as a grouping leaves them)."""
     spark = units.sparkSession
@@ -354,8 +369,10 @@ def encode_units(units: DataFrame, pieces: DataFrame, fold: str = "merge", longe
         yield from follow_batches(*shared.value, unknown)(batches)
 
     edge = "struct<size:int,id:int,score:double,after:int>"
-    told = lattice(units, placed, longest_piece).mapInArrow(follow, f"unit string, ends array<array<{edge}>>")
-    path = told.select("unit", F.reverse(viterbi(F.col("ends"))).alias("path"))
+    found = lattice(units, placed, longest_piece)
+    own = [f for f in found.schema.fields if f.name != "edges"]
+    told = found.select(*(f.name for f in own), "edges").mapInArrow(follow, T.StructType([*own, T.StructField("ends", T.DataType.fromDDL(f"array<array<{edge}>>"))]))
+    path = told.select(*(f.name for f in own), F.reverse(viterbi(F.col("ends"))).alias("path"))
 
     def spelled(x: Column) -> Column:
         if first_byte is None:
@@ -366,20 +383,22 @@ def encode_units(units: DataFrame, pieces: DataFrame, fold: str = "merge", longe
 
     plain = F.transform("path", lambda x: x["id"])
     odd = F.flatten(F.transform("path", lambda x: F.when(x["id"] == UNKNOWN, spelled(x)).otherwise(F.array(x["id"]))))
-    return path.select("unit", F.when(F.exists("path", lambda x: x["id"] == UNKNOWN), odd).otherwise(plain).alias("ids"))
+    return path.select(*(f.name for f in own), F.when(F.exists("path", lambda x: x["id"] == UNKNOWN), odd).otherwise(plain).alias("ids"))
 
 
 def unit_ids(units: DataFrame, path: str) -> DataFrame:
-    """unit, ids of distinct units (dealt by unit)."""
+    """``units``, distinct and dealt by unit, with their ids."""
+    own = units.schema.fields
 
     def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "unit"):
-                yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([unit_by_library(u, path) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))], names=["unit", "ids"])
+                ids = pa.array([unit_by_library(u, path) for u in batch.column("unit").to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
     short = encode_units(units.filter(F.length("unit") <= LONGEST), units.sparkSession.createDataFrame(piece_rows(path)))
-    long = units.select("unit").filter(F.length("unit") > LONGEST).mapInArrow(by_library, "unit string, ids array<int>")
-    return short.union(long)
+    long = units.filter(F.length("unit") > LONGEST).mapInArrow(by_library, T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return short.unionByName(long)
 
 
 def unit_by_library(unit: str, path: str) -> list[int]:
@@ -402,7 +421,7 @@ def often_found(docs: DataFrame, path: str, most: int) -> DataFrame:
 
     some = docs if share == 1 else docs.sample(share, seed=9)
     units = some.select("plain").mapInArrow(run, "unit string, times bigint").groupBy("unit").agg(F.sum("times").alias("times"))
-    units = materialize(units.filter(F.length("unit") <= 64), "pieces-often")
+    units = materialize(units.filter(F.length("unit") <= HEAD_LENGTH), "pieces-often")
     return units.filter(F.col("times") >= head_threshold(units, most))
 
 
@@ -420,7 +439,8 @@ class Head:
     @classmethod
     def of(cls, names: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> Head:
         names = clean_text(pa.RecordBatch.from_arrays([names], names=["text"]))
-        keys = string_keys(names)
+        parts = pa.table({"text": names}).to_batches(max_chunksize=NAMES)
+        keys = np.concatenate([np.empty(0, np.uint64), *(string_keys(clean_text(p)) for p in parts)])  # some hundred bytes a name while they are made
         order = np.argsort(keys, kind="stable")
         return cls(names, ids, bounds, keys[order], order)
 
@@ -446,17 +466,37 @@ def make_head(docs: DataFrame, path: str, most: int) -> Head:
     return Head.of(found["unit"].combine_chunks().cast(pa.large_string()), ids.flatten().to_numpy().astype(np.uint32), bounds)
 
 
+def _squeeze(raw: bytes) -> bytes:
+    packed = pa.compress(raw, "zstd", asbytes=True) if raw else b""
+    return packed if len(packed) < len(raw) else raw
+
+
+def _expand(packed: bytes, size: int, kind: str) -> np.ndarray:
+    raw = packed if len(packed) == size else pa.decompress(packed, size, "zstd", asbytes=True)
+    return np.frombuffer(raw, kind)
+
+
 def pack_codes(codes: np.ndarray) -> bytes:
-    """Numbers below 2**24, in two or three bytes each, lowest bytes first, compressed."""
-    shifts = (0, 8, 16) if len(codes) and codes.max() >> 16 else (0, 8)
-    raw = b"".join(((codes >> s) & 0xFF).astype(np.uint8).tobytes() for s in shifts)
-    return bytes([len(shifts)]) + len(codes).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+    """Numbers below 2**24: the ``ONE`` most frequent in one byte, the next in
+    two, all others in four; first, second and last bytes are compressed apart."""
+    rest = codes[codes >= ONE] - ONE
+    high = rest >> 8
+    first = codes.astype(np.uint8)
+    first[codes >= ONE] = np.minimum(high + ONE, 255)
+    parts = [_squeeze(x) for x in (first.tobytes(), (rest & 0xFF).astype(np.uint8).tobytes(), high[high >= 255 - ONE].astype("<u2").tobytes())]
+    return np.array([len(codes), len(parts[0]), len(parts[1])], "<u4").tobytes() + b"".join(parts)
 
 
 def unpack_codes(packed: bytes) -> np.ndarray:
-    width, n = packed[0], int.from_bytes(packed[1:9], "little")
-    raw = pa.decompress(packed[9:], width * n, "zstd", asbytes=True) if n else b""
-    return sum((x.astype(np.int64) << (8 * k) for k, x in enumerate(np.frombuffer(raw, np.uint8).reshape(width, n))), np.zeros(n, np.int64))
+    n, a, b = np.frombuffer(packed, "<u4", 3).tolist()
+    first = _expand(packed[12 : 12 + a], n, "u1").astype(np.int64)
+    more = first >= ONE
+    high = first[more] - ONE
+    low = _expand(packed[12 + a : 12 + a + b], len(high), "u1")
+    far = high == 255 - ONE
+    high[far] = _expand(packed[12 + a + b :], 2 * int(far.sum()), "<u2")
+    first[more] = (high << 8) + low + ONE
+    return first
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, head_units: int = HEAD_UNITS) -> DataFrame:
@@ -503,9 +543,12 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, head_units:
 
     told = materialize(rows.select("h1", "h2", "plain").mapInArrow(rare_units, "h1 bigint, h2 int, units array<string>"), "pieces-rare")
     missing = told.select("h1", "h2", F.posexplode("units").alias("j", "unit"))
-    # dealt by a given number: a partition that is small now holds many edges later
-    made = unit_ids(missing.select("unit").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit").distinct(), path)
-    given = missing.join(made, "unit").groupBy("h1", "h2").agg(F.collect_set(F.struct("j", "ids")).alias("given"))
+    # units of the head's length are rare; longer ones may be in all texts, and are dealt in parts
+    missing = missing.withColumn("part", F.when(F.length("unit") > HEAD_LENGTH, F.pmod("h1", F.lit(PARTS)).cast("int")).otherwise(0))
+    # dealt once, by a given number (a partition that is small now holds many edges later); a unit keeps the places it goes to
+    dealt = missing.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit", "part")
+    made = unit_ids(dealt.groupBy("unit", "part").agg(F.collect_list(F.struct("h1", "h2", "j")).alias("places")), path)
+    given = made.select(F.inline("places"), "ids").groupBy("h1", "h2").agg(F.collect_set(F.struct("j", "ids")).alias("given"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Codes of all places: a head unit's number, or behind those the number
