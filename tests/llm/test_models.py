@@ -223,3 +223,67 @@ def test_texts_are_looked_up_once(spark, sf, monkeypatch):
     assert all((g == w).all() for g, w in zip(got, want, strict=False)) and (known < 0).any()
     later = language_model._words_of(batch.slice(7, 3))
     assert (later[0] == known[offsets[7] : offsets[10]]).all() and (later[1] == offsets[7:11] - offsets[7]).all()
+
+
+def plain_descent(target, features, weights, speed, bias):
+    """``descend`` in double precision, a feature after another."""
+    z = weights[features].sum(0) + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(p)), target] -= 1
+    for f in features:
+        g = np.zeros_like(weights)
+        np.add.at(g, f, p)
+        used = np.unique(f)
+        speed[used] += (g[used] ** 2).mean(1)
+        weights[used] -= language_model.STEP / np.sqrt(speed[used])[:, None] * g[used]
+
+
+def test_exponentials_are_taken_once_a_row(monkeypatch):
+    rng, n, seen, real = np.random.default_rng(4), 4000, [], np.exp
+    key, kind, target = rng.integers(0, 90, n), rng.integers(0, 5, n), rng.integers(0, 16, n)
+    own_rows = np.stack([key % 40, 100 + rng.integers(0, 50, n), 200 + key % 7])
+    one_table = np.stack([key % 40, 20 + kind * 9])  # rows in common
+    bias = rng.standard_normal((5, 16)).astype(np.float32)
+    bias[3, 5] = -1e9
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (seen.append(x.size), real(x, *a, **k))[1])
+    for features, shared, by_kind in ((own_rows, ((key, (0, 2)),), False), (one_table, (), True)):
+        for scale in (0.5, 40):  # sums of the second may overflow
+            w, speed = (rng.standard_normal((300, 16)) * scale).astype(np.float32), np.ones(300, np.float32)
+            want, fast = w.astype(float), speed.astype(float)
+            plain_descent(target, features, want, fast, bias[kind] if by_kind else bias[1])
+            seen.clear()
+            language_model.descend(target, features, w, speed, bias if by_kind else bias[1], shared, kind if by_kind else None)
+            assert w == pytest.approx(want, abs=1e-3 * scale) and speed == pytest.approx(fast, rel=1e-3)
+            if scale < 1:
+                assert sum(seen) <= 16 * (90 + 50 + 5)  # of tables' rows, not of 4,000 tokens
+    places = [rng.integers(0, 50, n) for _ in range(4)]
+    for scale in (0.5, 40):
+        tables = [(rng.standard_normal((50, 16)) * scale).astype(np.float32) for _ in places]
+        safe = language_model.are_safe(tables)
+        assert safe == (scale < 1)
+        terms = list(zip([real(t) for t in tables] if safe else tables, places, strict=True))
+        z = sum(t[f].astype(float) for t, f in zip(tables, places, strict=True))
+        p = real(z - z.max(1, keepdims=True))
+        p = np.log10(np.maximum(p[np.arange(n), target] / p.sum(1), 1e-30))
+        assert language_model.target_logs(terms, target, safe) == pytest.approx(p, abs=1e-3)
+
+
+def test_head_words_are_found_by_keys(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    words = language_model.count_words(language_model.training_rows(docs))
+    vocab = language_model.vocabulary(words, 1000)
+    probe = pa.array(["", "zz zz", "naïve", *vocab.head.to_pylist()[::-3], "unseenword"], pa.large_string())
+    want = pa.compute.fill_null(pa.compute.index_in(probe, value_set=vocab.head), -1).to_pylist()
+    assert max(want) > 100 and min(want) == -1
+    with monkeypatch.context() as patch:
+        patch.setattr(pa.compute, "index_in", None)  # it hashes the whole head at each call
+        found, codes, place, _ = language_model.encode(pa.array([" ".join(probe.to_pylist())], pa.large_string()), vocab)
+        assert vocab.places(probe).tolist() == want and len(codes) == len(probe)
+        assert vocab.places(probe.slice(3, 9)).tolist() == want[3:12]
+    monkeypatch.setattr(language_model, "string_keys", lambda text: np.zeros(len(text), np.uint64))
+    alike = language_model.vocabulary(words, 1000)
+    assert not len(alike.keys) and alike.places(probe).tolist() == want
+    # a word that isn't in the head but has the key of one that is
+    vocab.keys[:] = 0
+    assert vocab.places(pa.array(["unseenword"], pa.large_string())).tolist() == [-1]

@@ -24,7 +24,9 @@ The tables of weights grow with the square root of the training tokens, as
 vocabularies do (``Sizes``), and so does the number of words that are features by
 name; training runs in no more tasks than keep what they send below the input.
 Counts are over all training texts.  Words found often (``HEAD_WORDS`` at most,
-a fixed bound) are sent to all tasks; others are joined by word.
+a fixed bound) are sent to all tasks; others are joined by word.  Within
+a batch weights are added up and exponentials taken once for each distinct row or
+pair of names, then multiplied; sums that could overflow are shifted first.
 
 Defined cases: a null or empty text is its end alone; repeated rows are learned
 from and scored as often as they occur; rows with a null id are learned from
@@ -46,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.gam import bucket
-from tidewater.llm.shared import clean_text, materialize, mix, owner, per_text, split_words, text_slices
+from tidewater.llm.shared import clean_text, materialize, mix, owner, per_text, split_words, string_keys, text_slices
 
 HEAD_WORDS = 1 << 19
 SINGLES, ENDINGS = 24, 38
@@ -65,8 +67,11 @@ ROUNDS, BATCH, STEP = 2, 8192, 0.3
 BLOCKS = 128
 #: Distinct words of several slices that a task holds while counting.
 HELD = 1 << 18
-#: Rows of a batch that are worked on at a time, and rows of a run summed in one turn.
-CACHED, PIECE = 1024, 8
+#: Words whose keys are made at a time.
+KEYED = 1 << 13
+#: Rows of a batch that are worked on at a time, and rows from which on a run is
+#: summed alone.
+CACHED, LONG = 1024, 24
 #: Exponents up to so far from zero need no shift.
 SAFE = 60.0
 
@@ -152,6 +157,27 @@ class Vocabulary:
     bias: np.ndarray
     inner_bias: np.ndarray
     sizes: Sizes
+    keys: np.ndarray  # of head words, ascending; none if two words have one
+    key_places: np.ndarray
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of words in the head (-1: not there), found by keys and compared:
+        ``pc.index_in`` would hash the whole head for every slice of texts."""
+        if not len(self.keys):
+            return pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        key = word_keys(words)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.nonzero(self.keys[at] == key)[0]
+        place = self.key_places[at[hit]]
+        same = pc.equal(words.take(pa.array(hit)), self.head.take(pa.array(place))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1, np.int64)
+        out[hit[same]] = place[same]
+        return out
+
+
+def word_keys(words: pa.Array) -> np.ndarray:
+    """``string_keys`` of so many words at a time that little memory is needed."""
+    return np.concatenate([np.empty(0, np.uint64), *(string_keys(words.slice(a, KEYED)) for a in range(0, len(words), KEYED))])
 
 
 def ending(word: str) -> str:
@@ -235,7 +261,13 @@ def vocabulary(words: DataFrame, head_words: int = HEAD_WORDS) -> Vocabulary:
     mass[RARE] = n - mass.sum()
     mass[[RARE, END]] = np.maximum(mass[[RARE, END]], 0.5)
     bias = np.where(mass > 0, np.log(np.maximum(mass, 0.5) / max(mass.sum(), 0.5)), -1e9).astype(np.float32)  # a class without words takes nothing
-    return Vocabulary(head["word"].combine_chunks().cast(pa.large_string()), counts, classes, singles, endings, buckets, share, ending_rows(head["word"].combine_chunks()), e, n, v, bias, inner_bias, Sizes.of(n))
+    spelled = head["word"].combine_chunks().cast(pa.large_string())
+    keys = word_keys(spelled)
+    by_key = np.argsort(keys, kind="stable")
+    keys = keys[by_key]
+    if (keys[1:] == keys[:-1]).any():
+        keys = keys[:0]
+    return Vocabulary(spelled, counts, classes, singles, endings, buckets, share, ending_rows(head["word"].combine_chunks()), e, n, v, bias, inner_bias, Sizes.of(n), keys, by_key)
 
 
 def encode(text: pa.Array, vocab: Vocabulary):
@@ -244,8 +276,7 @@ def encode(text: pa.Array, vocab: Vocabulary):
     flat, offsets = split_words(pc.ascii_lower(text))
     encoded = flat.dictionary_encode()
     words = encoded.dictionary.cast(pa.large_string())
-    place = pc.fill_null(pc.index_in(words, value_set=vocab.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return words, encoded.indices.to_numpy().astype(np.int64), place, offsets
+    return words, encoded.indices.to_numpy().astype(np.int64), vocab.places(words), offsets
 
 
 def ending_rows(words: pa.Array) -> np.ndarray:
@@ -285,20 +316,20 @@ def name_rows(vocab: Vocabulary) -> np.ndarray:
 def token_features(known: np.ndarray, offsets: np.ndarray, vocab: Vocabulary):
     """Targets, feature rows, where texts end, and the names of the last two words
     of each token: one gives features 0 and 3, the other 2 and 4."""
-    sizes, head = vocab.sizes, known >= 0
-    place = known[head]
-    name = -1 - known
-    name[head] = np.where(place < sizes.named, place + ENDING_ROWS, vocab.end_rows[place])
-    target = np.full(len(known), RARE, np.int32)
-    target[head] = vocab.classes[place]
+    sizes = vocab.sizes
+    # by what is known of a word, from the last ending on
+    name_of = np.concatenate([np.arange(ENDING_ROWS)[::-1], np.arange(len(vocab.classes)) + ENDING_ROWS]).astype(np.int32)
+    name_of[ENDING_ROWS + sizes.named :] = vocab.end_rows[sizes.named :]
+    class_of = np.concatenate([np.full(ENDING_ROWS, RARE), vocab.classes]).astype(np.int32)
+    told = known + ENDING_ROWS
     n = len(offsets) - 1
     size = len(known) + n
     at = np.arange(len(known)) + owner(offsets)  # where words go, leaving room for ends
     last = offsets[1:] + np.arange(n)
     out = np.full(size, END, np.int32)
-    out[at] = target
+    out[at] = class_of.take(told)
     names = np.zeros(size, np.int32)
-    names[at] = name
+    names[at] = name_of.take(told)
 
     def back(k: int) -> np.ndarray:
         """Names k tokens earlier; 0 beyond a text's first word (an end has 0)."""
@@ -312,8 +343,12 @@ def token_features(known: np.ndarray, offsets: np.ndarray, vocab: Vocabulary):
 
     one, two = back(1), back(2)
     first, skipped, tail, before = name_rows(vocab)
-    pair = sizes.words + (mix(one.astype(np.int64) * 1_000_003 + two + 7) & np.uint64(sizes.pairs - 1)).astype(np.int32)  # a power of two
-    features = np.stack([first[one], pair, skipped[two], tail[one], before[two], before[back(3)] + ENDING_ROWS])
+    features = np.empty((6, size), np.int32)
+    for k, table, rows in ((0, first, one), (2, skipped, two), (3, tail, one), (4, before, two), (5, before + ENDING_ROWS, back(3))):
+        table.take(rows, 0, features[k], "clip")
+    for a in range(0, size, 1 << 15):  # parts that stay in a core's cache
+        some = slice(a, a + (1 << 15))
+        features[1, some] = sizes.words + (mix(one[some].astype(np.int64) * 1_000_003 + two[some] + 7) & np.uint64(sizes.pairs - 1)).astype(np.int32)  # a power of two
     return out, features, last, (one, two)
 
 
@@ -339,99 +374,137 @@ def softmax(features: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.n
     return softmax_of([(weights, f) for f in features], bias)
 
 
-def softmax_of(terms: list[tuple[np.ndarray, np.ndarray]], bias: np.ndarray | None) -> np.ndarray:
+def softmax_of(terms: list[tuple[np.ndarray, np.ndarray]], bias: np.ndarray | None, powers: bool = False) -> np.ndarray:
     """Probabilities of each token from the sum of a row of each table (and of a
-    bias for all or each token), a part at a time that stays in a core's cache."""
+    bias for all or each token), a part at a time that stays in a core's cache;
+    ``powers`` says that tables hold exponentials, of which products are taken."""
     n, width = len(terms[0][1]), terms[0][0].shape[1]
     out = np.empty((n, width), terms[0][0].dtype)
     more = np.empty((min(n, CACHED), width), out.dtype)
     ones = np.ones(width, out.dtype)
+    join = np.multiply if powers else np.add
     for a in range(0, n, CACHED):
         z = out[a : a + CACHED]
         other = more[: len(z)]
         for k, (table, rows) in enumerate(terms):
             np.take(table, rows[a : a + CACHED], 0, other if k else z, "clip")  # "raise" would copy; rows are remainders by the table's size
             if k:
-                z += other
-        if bias is not None:
-            z += bias if bias.ndim == 1 else bias[a : a + CACHED]
-        if z.max() > SAFE or z[:, 0].min() < -SAFE:  # else no sum overflows or vanishes
-            z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
+                join(z, other, out=z)
+        if not powers:
+            if bias is not None:
+                z += bias if bias.ndim == 1 else bias[a : a + CACHED]
+            if z.max() > SAFE or z[:, 0].min() < -SAFE:  # else no sum overflows or vanishes
+                z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
         z *= (1 / (z @ ones))[:, None]
     return out
 
 
+def target_logs(terms: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, powers: bool) -> np.ndarray:
+    """log10 of what ``softmax_of`` gives each token's target."""
+    if not powers:
+        own = softmax_of(terms, None)[np.arange(len(target)), target]
+    else:
+        own = np.empty(len(target), terms[0][0].dtype)
+        for a in range(0, len(target), CACHED):
+            some = slice(a, a + CACHED)
+            left, right = (table.take(rows[some], 0, None, "clip") for table, rows in terms[:2])
+            for k, (table, rows) in enumerate(terms[2:]):
+                side = left if k % 2 else right
+                side *= table.take(rows[some], 0, None, "clip")
+            at = np.arange(len(left)), target[some]
+            own[some] = left[at] * right[at] / np.einsum("ij,ij->i", left, right)
+    return np.log10(np.maximum(own, 1e-30))
+
+
+def are_safe(tables: list[np.ndarray]) -> bool:
+    """No product of exponentials of a row of each table overflows, and none
+    vanishes in the first column, as that of all never does in sums."""
+    return sum(max(t.max(), 0) for t in tables) <= SAFE and sum(min(t[:, 0].min(), 0) for t in tables) >= -SAFE
+
+
 def run_sums(rows: np.ndarray, order: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of runs of ``rows`` taken in ``order``, and the run of each sum: runs
-    are cut into pieces of ``PIECE`` rows, the longest first, and summed place by
-    place for all pieces at once; then pieces are the rows of the next turn."""
-    while True:
-        first, count = np.cumsum(size) - size, -(-size // PIECE)
-        whole = len(count) == 0 or count.max() == 1
-        if not whole:
-            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            first, size = np.repeat(first, count) + inside * PIECE, np.minimum(np.repeat(size, count) - inside * PIECE, PIECE)
-        by = np.argsort((PIECE - size).astype(np.uint8), kind="stable")
-        first = first[by]
-        sums = rows.take(order[first], 0)
-        more = np.empty((min(len(sums), CACHED), rows.shape[1]), rows.dtype)
-        longer = len(size) - np.cumsum(np.bincount(size, minlength=PIECE + 1))
-        for k in range(1, PIECE):
-            at = order[first[: longer[k]] + k]
-            for a in range(0, len(at), CACHED):
-                some = at[a : a + CACHED]
-                np.take(rows, some, 0, more[: len(some)], "clip")
-                sums[a : a + len(some)] += more[: len(some)]
-        if whole:
-            return sums, by
-        rows, size, order = sums, count, np.empty(len(by), np.int64)
-        order[by] = np.arange(len(by))
+    """Sums of runs of ``rows`` taken in ``order``, and the run of each sum, the
+    longest first: runs of ``LONG`` rows one by one, others place by place for
+    all runs at once."""
+    by = np.argsort((LONG - np.minimum(size, LONG)).astype(np.uint8), kind="stable")
+    first, size = (np.cumsum(size) - size)[by], size[by]
+    sums = np.empty((len(size), rows.shape[1]), rows.dtype)
+    long = int(np.count_nonzero(size >= LONG))
+    more = np.empty((max(CACHED, int(size.max(initial=0))), rows.shape[1]), rows.dtype)
+    ones = np.ones(len(more), rows.dtype)
+    for k, (a, n) in enumerate(zip(first[:long].tolist(), size[:long].tolist(), strict=True)):
+        np.dot(ones[:n], rows.take(order[a : a + n], 0, more[:n], "clip"), sums[k])
+    first, rest = first[long:], sums[long:]
+    rows.take(order[first], 0, rest, "clip")
+    longer = len(first) - np.cumsum(np.bincount(size[long:], minlength=LONG))
+    for k in range(1, LONG):
+        if not longer[k]:
+            break
+        at = order[first[: longer[k]] + k]
+        for a in range(0, len(at), CACHED):
+            some = at[a : a + CACHED]
+            rest[a : a + len(some)] += rows.take(some, 0, more[: len(some)], "clip")
+    return sums, by
 
 
 def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts rows, and where each run of equal ones starts and its size."""
-    order = np.argsort(rows.astype(np.uint16) if len(rows) and rows.max() < 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
+    low = rows.min() if len(rows) else 0
+    order = np.argsort((rows - low).astype(np.uint16) if len(rows) and rows.max() - low < 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
     ranked = rows[order]
     first = np.nonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[0]
     return order, first, np.diff(np.append(first, len(rows)))
 
 
-def descend(target: np.ndarray, features: np.ndarray, weights: np.ndarray, speed: np.ndarray, bias: np.ndarray, shared: tuple[tuple[np.ndarray, tuple[int, ...]], ...] = ()) -> None:
+def descend(target: np.ndarray, features: np.ndarray, weights: np.ndarray, speed: np.ndarray, bias: np.ndarray, shared: tuple[tuple[np.ndarray, tuple[int, ...]], ...] = (), kind: np.ndarray | None = None) -> None:
     """One pass of gradient steps over the tokens, in place; each row's step is
-    scaled by the squares of its gradients so far.  ``bias`` is one row, or one
-    for each token.  ``shared`` names keys and the features that follow from
-    them: these are added up, and their gradients summed, once for each key."""
+    scaled by the squares of its gradients so far.  ``bias`` is one row, or the
+    row of each token's ``kind``.  ``shared`` names keys and the features that
+    follow from them; then no two features may have a row in common.  Weights are
+    added up, their exponentials taken and their gradients summed once for each
+    key, or each row of a feature without one."""
     alone = [k for k in range(len(features)) if not any(k in ks for _, ks in shared)]
     for a in range(0, len(target), BATCH):
         part = features[:, a : a + BATCH]
-        terms, groups = [(weights, part[k]) for k in alone], []
-        rest = bias if bias.ndim == 1 else bias[a : a + BATCH]
-        for key, own in shared:
-            order, first, size = _runs(key[a : a + BATCH])
+        terms = [] if kind is None else [(bias, kind[a : a + BATCH])]
+        orders, sizes, rows, runs, held = [], [], [], [], 0
+        for key, own in [*((part[k], (k,)) for k in alone), *((key[a : a + BATCH], own) for key, own in shared)]:
+            order, first, size = _runs(key)
             place = np.empty(len(order), np.int64)
-            place[order] = np.repeat(np.arange(len(first)), size)
-            rows = [part[k][order[first]] for k in own]
-            table = sum(weights.take(f, 0) for f in rows)
-            if rest is bias:
-                table, rest = table + bias, None
+            place[order] = np.repeat(np.arange(len(size)), size)
+            at = order[first]
+            mine = [part[k][at] for k in own]
+            table = weights.take(mine[0], 0)
+            for f in mine[1:]:
+                table += weights.take(f, 0)
+            if not terms:
+                table += bias
             terms.append((table, place))
-            groups.append((order, size, rows))
-        slope = softmax_of(terms, rest)
-        slope[np.arange(slope.shape[0]), target[a : a + BATCH]] -= 1
-        sums = [(slope, part[k]) for k in alone]
-        for order, size, rows in groups:
-            g, by = run_sums(slope, order, size)
-            sums += [(g, f[by]) for f in rows]
-        for values, f in sums:
+            orders.append(order)
+            sizes.append(size)
+            rows += mine
+            runs += [np.arange(held, held + len(size))] * len(mine)
+            held += len(size)
+        powers = are_safe([table for table, _ in terms])
+        slope = softmax_of([(np.exp(table), place) for table, place in terms] if powers else terms, None, powers)
+        slope.reshape(-1)[np.arange(len(slope)) * slope.shape[1] + target[a : a + BATCH]] -= 1
+        sums, by = run_sums(slope, np.concatenate(orders), np.concatenate(sizes))  # of all keys at once
+        place = np.empty(held, np.int64)
+        place[by] = np.arange(held)
+        if shared:  # several keys may have one row
+            f = np.concatenate(rows)
             order, first, size = _runs(f)
-            g, by = run_sums(values, order, size)
-            rows = f[order[first[by]]]
-            speed[rows] += np.einsum("ij,ij->i", g, g) / weights.shape[1]
-            g *= (STEP / np.sqrt(speed[rows]))[:, None]
-            new = weights.take(rows, 0)
+            sums, by = run_sums(sums, place[np.concatenate(runs)[order]], size)
+            steps = [(f[order[first[by]]], sums)]
+        else:
+            steps = [(f, sums.take(place[r], 0)) for f, r in zip(rows, runs, strict=True)]
+        for f, g in steps:
+            speed[f] += np.einsum("ij,ij->i", g, g) / weights.shape[1]
+            g *= (STEP / np.sqrt(speed[f]))[:, None]
+            new = weights.take(f, 0)
             new -= g
-            weights[rows] = new
+            weights[f] = new
 
 
 def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -461,7 +534,7 @@ def train_round(train: DataFrame, vocab, weights: Weights) -> Weights:
                 at, bucket, rows = inner_tokens(known, offsets, target, features, v)
                 for a in range(0, len(at), 32 * BATCH):
                     some = slice(a, a + 32 * BATCH)
-                    descend(bucket[some], rows[:, some], w.inner, w.inner_speed, v.inner_bias[target[at[some]]])
+                    descend(bucket[some], rows[:, some], w.inner, w.inner_speed, v.inner_bias, kind=target[at[some]])
                 seen += len(target)
         if seen:
             packed = [w.block(b).tobytes() for b in range(BLOCKS)]
@@ -539,6 +612,14 @@ def score_encoded(told: DataFrame, words: DataFrame, vocab: Vocabulary, shared,
         rows_of = name_rows(v)
         by_one, by_two = (outer.take(rows_of[k], 0) + outer.take(rows_of[k + 2], 0) for k in (0, 1))
         by_one += v.bias
+        pairs, ends = outer[v.sizes.words :][: v.sizes.pairs], outer[-ENDING_ROWS:]
+        tables, inner_tables = [by_one, by_two, pairs, ends], [v.inner_bias, within, within]
+        powers, inner_powers = are_safe(tables), are_safe(inner_tables)
+        if powers:
+            tables = [np.exp(t) for t in tables]
+        if inner_powers:
+            bias_powers, powers_within = np.exp(v.inner_bias), np.exp(within)
+            inner_tables = [bias_powers, powers_within, powers_within]
         for whole in batches:
             for batch in text_slices(whole, "words"):
                 known, offsets = _words_of(batch)
@@ -546,13 +627,13 @@ def score_encoded(told: DataFrame, words: DataFrame, vocab: Vocabulary, shared,
                 log_p = np.empty(len(target))
                 for a in range(0, len(target), BATCH):
                     some = slice(a, a + BATCH)
-                    p = softmax_of([(by_one, one[some]), (by_two, two[some]), (outer, features[1, some]), (outer, features[5, some])], None)
-                    log_p[a : a + BATCH] = np.log10(np.maximum(p[np.arange(len(p)), target[a : a + BATCH]], 1e-30))
+                    places = one[some], two[some], features[1, some] - v.sizes.words, features[5, some] - (len(outer) - ENDING_ROWS)
+                    log_p[some] = target_logs(list(zip(tables, places, strict=True)), target[some], powers)
                 words_at, bucket, rows = inner_tokens(known, offsets, target, features, v)
                 for a in range(0, len(words_at), BATCH):
-                    own = words_at[a : a + BATCH]
-                    p = softmax(rows[:, a : a + BATCH], within, v.inner_bias[target[own]])
-                    log_p[own] += np.log10(np.maximum(p[np.arange(len(p)), bucket[a : a + BATCH]], 1e-30))
+                    some = slice(a, a + BATCH)
+                    own = words_at[some]
+                    log_p[own] += target_logs(list(zip(inner_tables, (target[own], *rows[:, some]), strict=True)), bucket[some], inner_powers)
                 sums = np.append(0, np.cumsum(log_p))[np.append(0, last + 1)]
                 inside = np.append(0, np.cumsum(share[np.maximum(known, -1)]))[offsets]
                 model = pa.array(np.diff(sums) + np.diff(inside))
